@@ -36,10 +36,10 @@ def matrix_cells(facts: DataFrame, row: str, column: str, value: Column) -> Data
     return facts.groupBy(row, column).agg(F.max(value).alias("cell"))
 
 
-def branch_columns(libraries: DataFrame, branches: DataFrame, expanded: Sequence) -> DataFrame:
+def branch_columns(libraries: DataFrame, branches: DataFrame, expanded: DataFrame) -> DataFrame:
     """Column headings: every library, then the branches of the expanded ones that have more than one."""
     libs = libraries.select("library_id", F.lit("lib").alias("kind"), F.lit(None).cast("string").alias("branch"))
-    opened = branches.filter(F.col("library_id").isin(*expanded))
+    opened = branches.join(expanded.select("library_id").distinct(), "library_id", "left_semi")
     many = opened.groupBy("library_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("library_id")
     subs = opened.join(many, "library_id", "left_semi").select("library_id", F.lit("branch").alias("kind"), F.col("branch").cast("string").alias("branch"))
     return libs.unionByName(subs)
