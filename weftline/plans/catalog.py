@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from weftline.plans import suite_keys, suite_tables  # noqa: F401
+from weftline.plans import suite_keys, suite_tables, suite_text  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
