@@ -1,8 +1,7 @@
 """Benefit text -> structured offer, as ranked rules on one text column.
 
-``extract_coupon`` is staged: shared text forms first, then the rule that
-applies, then the values of that rule, so no expression is evaluated per rule
-branch more than once.
+``offer`` binds the shared text forms first, then the numbers, then the rule that
+applies, then the values of that rule: every regex is written (and run) once.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
-from weftline.functions.core import code_map, col, contains_any, fmt_num, grab, has, map_codes, match_window, squeeze, swap, text_or_null, trim_zeros
+from weftline.functions.core import bind, code_map, col, contains_any, fmt_num, grab, has, let, map_codes, match_window, squeeze, swap, text_or_null, trim_zeros
 from weftline.functions.text import decode_listed_entities, fold_width
 
 POLICY = ("array<struct<audience:string,form:string,value:double,count:int,"
@@ -55,13 +54,12 @@ def extract_capacity(c) -> Column:
     hit = grab(t, hinted, 1)
     around = F.lower(F.concat(F.coalesce(hit, F.lit("")), F.regexp_extract(t, f"(?iU){hinted}", 3)))
     vehicle = hit.isNotNull() & ~has(hit, fx.VEHICLE_EXCLUSION) & ~around.contains("kiosk")
-    number = F.coalesce(*[word_number(grab(t, p, 1)) for p in fx.CAPACITY_PATTERNS])
-    unit = F.lower(F.coalesce(*[F.when(word_number(grab(t, p, 1)).isNotNull(), grab(t, p, 2)) for p in fx.CAPACITY_PATTERNS]))
-    kind = F.when(unit.contains("ticket"), F.lit("ticket")).otherwise(F.lit("people"))
-    none = F.lit(None).cast("int")
     pair = lambda k, n: F.struct(k.alias("kind"), n.cast("int").alias("n"))
-    return F.when(vehicle, pair(F.lit("vehicle"), F.lit(1))).when(number.isNotNull(), pair(kind, number)) \
-        .otherwise(pair(F.lit("unspecified"), none))
+    kind = lambda p: F.when(F.lower(grab(t, p, 2)).contains("ticket"), F.lit("ticket")).otherwise(F.lit("people"))
+    def counted_by(p):
+        return let(word_number(grab(t, p, 1)), lambda n: F.when(n.isNotNull(), pair(kind(p), n)))
+    counted = [counted_by(p) for p in fx.CAPACITY_PATTERNS]
+    return F.coalesce(F.when(vehicle, pair(F.lit("vehicle"), F.lit(1))), *counted, pair(F.lit("unspecified"), F.lit(None)))
 
 
 def classify_pass_form(text, slug) -> Column:
@@ -158,8 +156,7 @@ def pass_type_from_body(body) -> Column:
 
 def normalize_benefit(c) -> Column:
     """STRUCT<label,label_class>: short display label of a benefit text."""
-    t = F.lower(squeeze(fold_width(F.coalesce(col(c), F.lit("")))))
-    return _label(t)
+    return let(F.lower(squeeze(fold_width(F.coalesce(col(c), F.lit(""))))), _label)
 
 
 def _label(t: Column) -> Column:
@@ -195,68 +192,83 @@ def _any(c: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, p: a | has(c, p), patterns, F.lit(False))
 
 
-def extract_coupon(df: DataFrame, text: str, slug: str, platform: str, phrases: str | None = None, out: str = "offer") -> DataFrame:
-    """Append STRUCT ``out``: status, error, pass_form, capacity, policies, summary, restrictions, residency.
+def offer(text, slug, platform, phrases=None) -> Column:
+    """Benefit text -> STRUCT<status,error,pass_form,capacity,audience_policies,summary,source_phrase_block,restrictions,residency_restriction>.
 
     Ranked rules: two-for-one, free headline, family-rate equivalent, free clause,
     adult + child prices, percent, dollar-off, per person, generic discount, failed.
     """
-    src = joined_source(phrases, text) if phrases else clean_benefit(text)
-    d = df.withColumn("_text", clean_benefit(text)).withColumn("_all", src)
-    d = d.withColumn("_match", without_negative_prices("_all")).withColumn("_cap", extract_capacity("_all"))
-    m = F.col("_match")
+    src = joined_source(phrases, text) if phrases is not None else clean_benefit(text)
+    return bind(_with_match, text=clean_benefit(text), all=src, slug=F.coalesce(col(slug), F.lit("")), platform=col(platform))
+
+
+def _with_match(b: Column) -> Column:
+    return bind(_with_numbers, b=b, match=without_negative_prices(b["all"]), cap=extract_capacity(b["all"]))
+
+
+def _with_numbers(x: Column) -> Column:
+    m = x["match"]
     pct = F.coalesce(grab(m, fx.PERCENT, 1).cast("double"), F.when(has(m, fx.HALF), F.lit(50.0)))
-    d = d.withColumns({
-        "_pct": pct, "_adult": _first_number(m, fx.ADULT_PRICE), "_child": _first_number(m, fx.CHILD_PRICE),
-        "_off": _first_number(m, fx.DOLLAR_OFF), "_each": _first_number(m, fx.PER_PERSON)})
-    blocked = has(m, fx.FREE_OR_REDUCED) | F.col("_pct").isNotNull() | has(m, fx.DOLLAR_OFF[0]) | _any(m, fx.PER_PERSON[:4])
-    rule = (F.when(F.col("_text") == "", "no benefit text")
-            .when(is_navigation_only("_text"), "no benefit text available")
-            .when(has("_all", fx.BOGO), "bogo")
+    return bind(_with_rule, x=x, pct=pct, adult=_first_number(m, fx.ADULT_PRICE), child=_first_number(m, fx.CHILD_PRICE),
+                off=_first_number(m, fx.DOLLAR_OFF), each=_first_number(m, fx.PER_PERSON))
+
+
+def _with_rule(n: Column) -> Column:
+    m, b = n["x"]["match"], n["x"]["b"]
+    blocked = has(m, fx.FREE_OR_REDUCED) | n["pct"].isNotNull() | has(m, fx.DOLLAR_OFF[0]) | _any(m, fx.PER_PERSON[:4])
+    rule = (F.when(b["text"] == "", "no benefit text")
+            .when(is_navigation_only(b["text"]), "no benefit text available")
+            .when(has(b["all"], fx.BOGO), "bogo")
             .when(_free_headline(m), "free")
             .when(has(m, fx.FAMILY_RATE), "discount")
             .when(has(m, fx.FREE_CLAUSE) & ~blocked, "free")
-            .when(F.col("_adult").isNotNull() & F.col("_child").isNotNull(), "adult-child")
-            .when(F.col("_pct").isNotNull(), "percent-off")
-            .when(F.col("_off").isNotNull(), "dollar-off")
-            .when(F.col("_each").isNotNull(), "per-person-price")
+            .when(n["adult"].isNotNull() & n["child"].isNotNull(), "adult-child")
+            .when(n["pct"].isNotNull(), "percent-off")
+            .when(n["off"].isNotNull(), "dollar-off")
+            .when(n["each"].isNotNull(), "per-person-price")
             .when(has(m, fx.GENERIC_DISCOUNT), "discount")
             .otherwise("unparsed benefit"))
-    d = d.withColumn("_rule", rule)
-    r = F.col("_rule")
+    return bind(_offer_struct, n=n, rule=rule)
+
+
+def _offer_struct(v: Column) -> Column:
+    r, n = v["rule"], v["n"]
+    b, cap = n["x"]["b"], n["x"]["cap"]
     ok = r.isin("bogo", "free", "discount", "adult-child", "percent-off", "dollar-off", "per-person-price")
-    value = (F.when(r == "free", F.lit(0.0)).when(r == "percent-off", F.col("_pct")).when(r == "dollar-off", F.col("_off"))
-             .when(r == "per-person-price", F.col("_each")))
-    window = F.substring(F.col("_all"), 1, 280)
+    value = (F.when(r == "free", F.lit(0.0)).when(r == "percent-off", n["pct"]).when(r == "dollar-off", n["off"])
+             .when(r == "per-person-price", n["each"]))
+    window = F.substring(b["all"], 1, 280)
     def policy(audience, form, val, count, low=None, high=None):
         ages = F.struct(F.lit(low).cast("int").alias("min"), F.lit(high).cast("int").alias("max")) if low is not None \
             else F.lit(None).cast("struct<min:int,max:int>")
         return F.struct(F.lit(audience).alias("audience"), form.alias("form"), val.cast("double").alias("value"),
                         count.cast("int").alias("count"), ages.alias("age_range"), window.alias("source_phrase"))
-    none = F.lit(None)
-    per_head = F.lit("per-person-price")
-    main = policy("Everyone", r, value, F.col("_cap.n"))
-    child = policy("children", per_head, F.col("_child"), none)
-    policies = (F.when(r == "adult-child", F.array(policy("adults", per_head, F.col("_adult"), none, 18, 200), child))
-                .when((r == "percent-off") & F.col("_child").isNotNull(), F.array(main, child))
+    none, per_head = F.lit(None), F.lit("per-person-price")
+    main = policy("Everyone", r, value, cap["n"])
+    child = policy("children", per_head, n["child"], none)
+    policies = (F.when(r == "adult-child", F.array(policy("adults", per_head, n["adult"], none, 18, 200), child))
+                .when((r == "percent-off") & n["child"].isNotNull(), F.array(main, child))
                 .when(ok, F.array(main)))
-    first = F.get(F.split(F.trim(F.col("_all")), r"(?<=[.!?])(?U:\s+)", 2), F.lit(0))
-    parking = (col(platform) == "libcal") & has(first, r"\bparking\b")
+    first = F.get(F.split(F.trim(b["all"]), r"(?<=[.!?])(?U:\s+)", 2), F.lit(0))
+    parking = (b["platform"] == "libcal") & has(first, r"\bparking\b")
     money = lambda c: F.concat(F.lit("$"), fmt_num(c))
     summary = (F.when(r == "bogo", "BOGO").when((r == "free") & parking, "FREE parking").when(r == "free", "FREE")
-               .when(r == "adult-child", F.concat(money("_adult"), F.lit("/person")))
-               .when(r == "percent-off", F.concat(fmt_num("_pct"), F.lit("% off")))
-               .when(r == "dollar-off", F.concat(money("_off"), F.lit(" off")))
-               .when(r == "per-person-price", F.concat(money("_each"), F.lit("/person")))
-               .when((r == "discount") & F.col("_cap.n").isNotNull(), "Discount").when(r == "discount", "discount"))
-    offer = F.struct(
+               .when(r == "adult-child", F.concat(money(n["adult"]), F.lit("/person")))
+               .when(r == "percent-off", F.concat(fmt_num(n["pct"]), F.lit("% off")))
+               .when(r == "dollar-off", F.concat(money(n["off"]), F.lit(" off")))
+               .when(r == "per-person-price", F.concat(money(n["each"]), F.lit("/person")))
+               .when((r == "discount") & cap["n"].isNotNull(), "Discount").when(r == "discount", "discount"))
+    return F.struct(
         F.when(ok, "ok").otherwise("failed").alias("status"), F.when(~ok, r).alias("error"),
-        F.when(ok, classify_pass_form("_all", slug)).alias("pass_form"), F.when(ok, F.col("_cap")).alias("capacity"),
-        policies.alias("audience_policies"), summary.alias("summary"), F.when(ok, F.col("_text")).alias("source_phrase_block"),
-        F.when(ok, extract_restrictions("_all")).alias("restrictions"),
-        F.when(ok, extract_residency_restriction("_all")).alias("residency_restriction"))
-    helpers = ["_text", "_all", "_match", "_cap", "_pct", "_adult", "_child", "_off", "_each", "_rule"]
-    return d.withColumn(out, offer).drop(*helpers)
+        F.when(ok, classify_pass_form(b["all"], b["slug"])).alias("pass_form"), F.when(ok, cap).alias("capacity"),
+        policies.alias("audience_policies"), summary.alias("summary"), F.when(ok, b["text"]).alias("source_phrase_block"),
+        F.when(ok, extract_restrictions(b["all"])).alias("restrictions"),
+        F.when(ok, extract_residency_restriction(b["all"])).alias("residency_restriction"))
+
+
+def extract_coupon(df: DataFrame, text: str, slug: str, platform: str, phrases: str | None = None, out: str = "offer") -> DataFrame:
+    """Append the offer STRUCT of every row."""
+    return df.withColumn(out, offer(text, slug, platform, phrases))
 
 
 # ---- stored extraction records -------------------------------------------
@@ -267,9 +279,9 @@ def headline(policies) -> Column:
     paid = F.filter(p, lambda x: F.coalesce(x["form"] != "free", F.lit(True)))
     pool = F.when(F.size(paid) > 0, paid).otherwise(p)
     strength = lambda x: map_codes(x["form"], fx.FORM_STRENGTH, 0)
-    best = F.array_max(F.transform(pool, strength))
-    strongest = F.get(F.filter(pool, lambda x: strength(x) == best), F.lit(0))
-    return _headline_text(F.coalesce(adult, strongest), p)
+    best = lambda ps: F.array_max(F.transform(ps, strength))
+    strongest = let(pool, lambda ps: let(best(ps), lambda top: F.get(F.filter(ps, lambda x: strength(x) == top), F.lit(0))))
+    return bind(lambda b: _headline_text(b["x"], b["p"]), x=F.coalesce(adult, strongest), p=p)
 
 
 def _headline_text(x: Column, p: Column) -> Column:

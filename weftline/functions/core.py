@@ -114,6 +114,20 @@ def pct(part, total) -> Column:
     return F.when(col(total) > 0, F.bround(F.lit(100.0) * col(part) / col(total), 1)).otherwise(F.lit(0.0))
 
 
+def let(value, body) -> Column:
+    """Bind an expression once and use it many times in ``body``.
+
+    Without it Catalyst may inline a long expression at every place that refers to it, and higher-order functions would
+    evaluate it again for every element.
+    """
+    return F.get(F.transform(F.array(col(value)), body), F.lit(0))
+
+
+def bind(body, **values) -> Column:
+    """``let`` for several named values: ``body`` receives a STRUCT of them."""
+    return let(F.struct(*[col(v).alias(n) for n, v in values.items()]), body)
+
+
 def match_window(c, pattern: str, before: int, after: int) -> Column:
     """First match with context on both sides, clamped to the text; NULL without a match."""
     at = F.regexp_instr(col(c), F.lit(rx(pattern)))
@@ -129,20 +143,19 @@ def find_all(c, pattern: str, flags: str = "iU", before: int = 0, after: int = 0
     """
     p = rx(pattern, flags)
     text = col(c)
-    hits = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    gaps = F.transform(F.split(text, p, -1), F.length)
-    sizes = F.transform(hits, F.length)
     total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
-    def located(hit, i):
-        at = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(sizes, F.lit(1), i))
-        start = F.greatest(F.lit(0), at - before)
-        return F.struct(at.alias("at"), hit.alias("hit"), text.substr(start + 1, at - start).alias("pre"),
-                        text.substr(at + F.length(hit) + 1, F.lit(after)).alias("post"))
-    return F.transform(hits, located)
+    def located(b):
+        def one(hit, i):
+            at = total(F.slice(b["gaps"], F.lit(1), i + 1)) + total(F.transform(F.slice(b["hits"], F.lit(1), i), F.length))
+            start = F.greatest(F.lit(0), at - before)
+            return F.struct(at.alias("at"), hit.alias("hit"), b["text"].substr(start + 1, at - start).alias("pre"),
+                            b["text"].substr(at + F.length(hit) + 1, F.lit(after)).alias("post"))
+        return F.transform(b["hits"], one)
+    return let(text, lambda t: bind(located, text=t, hits=F.regexp_extract_all(t, F.lit(p), F.lit(0)), gaps=F.transform(F.split(t, p, -1), F.length)))
 
 
 def first_hits(values, key) -> Column:
     """Elements whose key occurs for the first time, in order; ``key`` maps an element to its key."""
-    v = col(values)
-    keys = F.transform(v, key)
-    return F.filter(v, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    def kept(v):
+        return let(F.transform(v, key), lambda keys: F.filter(v, lambda x, i: F.array_position(keys, key(x)) == i + 1))
+    return let(values, kept)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
-from weftline.functions.core import array_or_null, code_map, col, fmt_num, map_codes, swap, text_or_null
+from weftline.functions.core import array_or_null, bind, code_map, col, fmt_num, let, map_codes, swap, text_or_null
 
 
 def form_label(form) -> Column:
@@ -90,7 +90,11 @@ def cell_discount(policies, summary) -> Column:
     """Compact offer of a matrix cell: everyone, else adult, else first policy."""
     p = col(policies)
     pick = lambda word: F.get(F.filter(p, lambda x: F.coalesce(F.lower(x["audience"]).contains(word), F.lit(False))), F.lit(0))
-    x = F.coalesce(pick("everyone"), pick("adult"), F.get(p, F.lit(0)))
+    chosen = F.coalesce(pick("everyone"), pick("adult"), F.get(p, F.lit(0)))
+    return bind(lambda b: _cell_text(b["x"], b["p"], summary), x=chosen, p=p)
+
+
+def _cell_text(x: Column, p: Column, summary) -> Column:
     form, v, bare = F.lower(F.coalesce(x["form"], F.lit(""))), fmt_num(x["value"]), short_summary(summary)
     say = lambda before, after: F.when(v.isNotNull(), F.concat(F.lit(before), v, F.lit(after))).otherwise(bare)
     return (F.when(array_or_null(p).isNull(), bare).when(form == "percent-off", say("-", "%")).when(form == "free", "FREE")
@@ -121,4 +125,4 @@ def canonical_labels(labels, mapping: dict | None = None, order: list | None = N
     """Raw labels -> canonical ones, unknown dropped, distinct, in the fixed order."""
     mapping, order = mapping or fx.CATEGORY_MAP, order or fx.CATEGORY_ORDER
     mapped = F.transform(F.coalesce(col(labels), F.array().cast("array<string>")), lambda x: F.try_element_at(code_map(mapping), x))
-    return F.filter(F.array(*[F.lit(o) for o in order]), lambda o: F.exists(mapped, lambda m: F.coalesce(m == o, F.lit(False))))
+    return let(mapped, lambda ms: F.filter(F.array(*[F.lit(o) for o in order]), lambda o: F.exists(ms, lambda m: F.coalesce(m == o, F.lit(False)))))

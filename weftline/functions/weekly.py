@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
-from weftline.functions.core import col, grab, text_or_null
+from weftline.functions.core import bind, col, grab, let
 
 
 def week_array() -> Column:
@@ -46,26 +46,30 @@ def hour_label(hhmm) -> Column:
 
 
 def hours_label(value) -> Column:
-    raw = F.coalesce(col(value), F.lit(""))
-    v = F.lower(F.trim(raw))
     pattern = r"^(\d{1,2}:\d{2})\s*[-–]\s*(\d{1,2}:\d{2})$"
-    span = F.concat(hour_label(F.regexp_extract(v, pattern, 1)), F.lit(" – "), hour_label(F.regexp_extract(v, pattern, 2)))
-    return (F.when(v.isin("", "—", "unknown"), F.lit("—")).when(v == "closed", F.lit("Closed"))
-            .when(v.rlike(pattern), span).otherwise(raw))
+    def label(raw):
+        v = F.lower(F.trim(raw))
+        side = lambda g: let(F.regexp_extract(v, pattern, g), hour_label)
+        return (F.when(v.isin("", "—", "unknown"), F.lit("—")).when(v == "closed", F.lit("Closed"))
+                .when(v.rlike(pattern), F.concat(side(1), F.lit(" – "), side(2))).otherwise(raw))
+    return let(F.coalesce(col(value), F.lit("")), label)
 
 
 def compact_hours(hours) -> Column:
     """Runs of equal consecutive days: ARRAY<STRUCT<days,value,first,last>>, built inside the row (no shuffle)."""
     h = col(hours)
-    labels = F.transform(week_array(), lambda d: hours_label(F.trim(F.coalesce(F.try_element_at(h, d), F.lit("")))))
     abbr = F.array(*[F.lit(a) for a in fx.WEEK_ABBR])
-    idx = F.sequence(F.lit(0), F.lit(6))
-    starts = F.filter(idx, lambda i: (i == 0) | (F.get(labels, i) != F.get(labels, i - 1)))
-    def run(start, k):
-        last = F.coalesce(F.get(starts, k + 1), F.lit(7)) - 1
-        name = F.when(last == start, F.get(abbr, start)).otherwise(F.concat(F.get(abbr, start), F.lit("–"), F.get(abbr, last)))
-        return F.struct(name.alias("days"), F.get(labels, start).alias("value"), start.alias("first"), last.alias("last"))
-    return F.when(h.isNull(), F.lit(None)).otherwise(F.transform(starts, run))
+    def runs(labels):
+        starts = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: (i == 0) | (F.get(labels, i) != F.get(labels, i - 1)))
+        def all_runs(first):
+            def run(start, k):
+                last = F.coalesce(F.get(first, k + 1), F.lit(7)) - 1
+                name = F.when(last == start, F.get(abbr, start)).otherwise(F.concat(F.get(abbr, start), F.lit("–"), F.get(abbr, last)))
+                return F.struct(name.alias("days"), F.get(labels, start).alias("value"), start.alias("first"), last.alias("last"))
+            return F.transform(first, run)
+        return let(starts, all_runs)
+    labels = F.transform(week_array(), lambda d: hours_label(F.trim(F.coalesce(F.try_element_at(h, d), F.lit("")))))
+    return F.when(h.isNotNull(), let(labels, runs))
 
 
 # ---- clock reading -------------------------------------------------------
@@ -75,7 +79,11 @@ _CLOCK = r"^\s*(\d{1,2})(?::(\d{2}))?\s*(am|pm|noon|midnight)?\s*$"
 def clock(raw) -> Column:
     """'10am', '5:00 p.m.', '14:30', 'Noon' -> 'HH:MM', NULL when it is no clock time."""
     low = F.lower(F.trim(col(raw)))
-    norm = F.regexp_replace(low, r"([ap])\.?\s*m\.?", "$1m")
+    return bind(_clock, low=low, norm=F.regexp_replace(low, r"([ap])\.?\s*m\.?", "$1m"))
+
+
+def _clock(b: Column) -> Column:
+    low, norm = b["low"], b["norm"]
     hour = F.nullif(F.regexp_extract(norm, _CLOCK, 1), F.lit("")).cast("int")
     minute = F.coalesce(F.nullif(F.regexp_extract(norm, _CLOCK, 2), F.lit("")).cast("int"), F.lit(0))
     half = F.regexp_extract(norm, _CLOCK, 3)
@@ -93,10 +101,13 @@ def has_half_day(raw) -> Column:
 
 def clock_span(raw1, raw2) -> Column:
     """Opening span with the missing am/pm inferred so that the day reads forward; NULL if a side is unreadable."""
-    t1, t2 = clock(raw1), clock(raw2)
-    has1, has2 = has_half_day(raw1), has_half_day(raw2)
     end_pm = F.lower(col(raw2)).rlike(r"p\.?\s*m")
     borrowed = clock(F.concat(F.trim(col(raw1)), F.when(end_pm, F.lit(" pm")).otherwise(F.lit(" am"))))
+    return bind(_span, t1=clock(raw1), t2=clock(raw2), has1=has_half_day(raw1), has2=has_half_day(raw2), end_pm=end_pm, borrowed=borrowed)
+
+
+def _span(b: Column) -> Column:
+    t1, t2, has1, has2, end_pm, borrowed = (b[n] for n in ("t1", "t2", "has1", "has2", "end_pm", "borrowed"))
     early = end_pm & (F.substring(t1, 1, 2).cast("int") < 7)
     usable = F.coalesce(borrowed < t2, F.lit(False))
     start = F.when(~has1 & has2 & usable & (~(t1 < t2) | early), borrowed).otherwise(t1)
@@ -109,7 +120,10 @@ def clock_span(raw1, raw2) -> Column:
 
 def clock_12h(raw) -> Column:
     """'10 AM' -> '10:00', 'noon' -> '12:00'; needs an am/pm mark."""
-    low = F.lower(F.trim(col(raw)))
+    return let(F.lower(F.trim(col(raw))), _clock_12h)
+
+
+def _clock_12h(low: Column) -> Column:
     hour = grab(low, fx.CLOCK_12H, 1).cast("int") % 12
     minute = F.coalesce(grab(low, fx.CLOCK_12H, 2).cast("int"), F.lit(0))
     h24 = F.when(grab(low, fx.CLOCK_12H, 3) == "p", hour + 12).otherwise(hour)
@@ -119,23 +133,15 @@ def clock_12h(raw) -> Column:
 
 def day_value_12h(raw) -> Column:
     """One day of the old hours form ('10 AM – 5 PM', 'Closed', '') in the new form."""
-    v = F.trim(F.coalesce(col(raw), F.lit("")))
-    parts = F.split(v, r"\s*[–-]\s*", 2)
-    a, b = clock_12h(F.get(parts, F.lit(0))), clock_12h(F.get(parts, F.lit(1)))
-    span = F.concat(a, F.lit("-"), b)
-    return (F.when(v == "", F.lit("unknown")).when(F.lower(v).isin("closed", "close"), F.lit("closed"))
-            .when(F.size(parts) == 2, F.coalesce(span, F.lit("unknown"))).otherwise(F.lit("unknown")))
+    def read(v):
+        parts = F.split(v, r"\s*[–-]\s*", 2)
+        span = F.concat(clock_12h(F.get(parts, F.lit(0))), F.lit("-"), clock_12h(F.get(parts, F.lit(1))))
+        return (F.when(v == "", F.lit("unknown")).when(F.lower(v).isin("closed", "close"), F.lit("closed"))
+                .when(F.size(parts) == 2, F.coalesce(span, F.lit("unknown"))).otherwise(F.lit("unknown")))
+    return let(F.trim(F.coalesce(col(raw), F.lit(""))), read)
 
 
 def convert_hours(short) -> Column:
     """MAP keyed mon..sun with 12-hour text -> MAP keyed monday..sunday; NULL when no day is known."""
-    keys = [d[:3] for d in fx.WEEK]
-    pairs = []
-    for full, key in zip(fx.WEEK, keys):
-        pairs += [F.lit(full), day_value_12h(F.try_element_at(col(short), F.lit(key)))]
-    out = F.create_map(*pairs)
-    return F.when(col(short).isNotNull() & (known_days(out) > 0), out)
-
-
-def non_blank(value) -> Column:
-    return text_or_null(value)
+    values = F.transform(week_array(), lambda day: day_value_12h(F.try_element_at(col(short), F.substring(day, 1, 3))))
+    return F.when(col(short).isNotNull(), let(F.map_from_arrays(week_array(), values), lambda week: F.when(known_days(week) > 0, week)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
-from weftline.functions.core import code_map, col, find_all, grab, has, map_codes, match_window, rx, squeeze
+from weftline.functions.core import bind, code_map, col, find_all, grab, has, let, map_codes, match_window, rx, squeeze
 from weftline.functions.html import absolute, anchors, booking_href, html_paragraphs, html_text, link_score, pass_holder_href
 from weftline.functions.text import source_marker
 from weftline.functions.weekly import clock_span
@@ -41,12 +41,10 @@ def evidence_manifest(entities: DataFrame, pages: DataFrame, entity: str) -> Dat
 # ---------------------------------------------------------------- admission prices
 def _nearest_audience(ctx: Column, at: Column) -> Column:
     """Audience keyword closest to the price (distance to either end of the word); earlier audience wins a tie."""
-    found = []
-    for i, (label, pattern) in enumerate(fx.PRICE_AUDIENCES):
-        ends = F.regexp_extract_all(ctx, F.lit(f"(?iUs){pattern}(?<=(^.{{0,400}}))"), F.lit(2))
-        words = F.regexp_extract_all(ctx, F.lit(f"(?iUs){pattern}(?<=(^.{{0,400}}))"), F.lit(1))
-        dist = F.zip_with(ends, words, lambda e, w: F.least(F.abs(F.length(e) - F.length(w) - at), F.abs(F.length(e) - at)))
-        found.append(F.when(F.size(words) > 0, F.struct(F.array_min(dist).alias("d"), F.lit(i).alias("i"), F.lit(label).alias("label"))))
+    def closest(i, label, pattern):
+        dist = F.transform(find_all(ctx, pattern), lambda m: F.least(F.abs(m["at"] - at), F.abs(m["at"] + F.length(m["hit"]) - at)))
+        return let(F.array_min(dist), lambda d: F.when(d.isNotNull(), F.struct(d.alias("d"), F.lit(i).alias("i"), F.lit(label).alias("label"))))
+    found = [closest(i, label, pattern) for i, (label, pattern) in enumerate(fx.PRICE_AUDIENCES)]
     return F.array_min(F.array_compact(F.array(*found)))["label"]
 
 
@@ -94,16 +92,14 @@ def _group_no(pattern: str, name: str) -> int | None:
 
 def _hour_hits(text: Column) -> Column:
     """All hits of all patterns: ARRAY<STRUCT<rank,at,kind,d1,d2,t1,t2,pre,hit>>."""
-    parts = []
-    for rank, (kind, pattern) in enumerate(fx.HOURS_PATTERNS):
-        def one(m, rank=rank, kind=kind, pattern=pattern):
-            def g(name):
-                n = _group_no(pattern, name)
-                return F.regexp_extract(m["hit"], rx(pattern), n) if n else F.lit(None).cast("string")
-            return F.struct(F.lit(rank).alias("rank"), m["at"].alias("at"), F.lit(kind).alias("kind"), g("d1").alias("d1"), g("d2").alias("d2"),
-                            g("t1").alias("t1"), g("t2").alias("t2"), m["pre"].alias("pre"), m["hit"].alias("hit"))
-        parts.append(F.transform(find_all(text, pattern, "iU", 25), one))
-    return F.concat(*parts)
+    def hits(rank, kind, pattern):
+        def group(m, name):
+            n = _group_no(pattern, name)
+            return (F.regexp_extract(m["hit"], rx(pattern), n) if n else F.lit(None).cast("string")).alias(name)
+        return F.transform(find_all(text, pattern, "iU", 25), lambda m: F.struct(
+            F.lit(rank).alias("rank"), m["at"].alias("at"), F.lit(kind).alias("kind"), *[group(m, g) for g in ("d1", "d2", "t1", "t2")],
+            m["pre"].alias("pre"), m["hit"].alias("hit")))
+    return F.concat(*[hits(rank, kind, pattern) for rank, (kind, pattern) in enumerate(fx.HOURS_PATTERNS)])
 
 
 def hour_values(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
@@ -168,25 +164,29 @@ def extract_reservation(df: DataFrame, entity: str, order: str, html: str) -> Da
 # ---------------------------------------------------------------- visitor eligibility
 def visitor_eligibility(text) -> Column:
     """STRUCT<rank,residency,scope,locals_free,note,source_phrase> of one page; lower rank is the stronger reading."""
-    t = col(text)
     local = lambda h: F.concat(F.right(h["pre"], F.lit(25)), h["hit"], F.left(h["post"], F.lit(5)))
-    real = F.filter(find_all(t, r"residents?\b", "iU", 100, 100), lambda h: ~has(local(h), fx.RESIDENT_FALSE_POSITIVE))
-    state = F.get(find_all(t, fx.PAGE_MA_RESIDENT, "iU", 80, 80), F.lit(0))
-    state_ok = state.isNotNull() & ~has(local(state), fx.RESIDENT_FALSE_POSITIVE)
-    state_window = F.trim(F.concat(state["pre"], state["hit"], state["post"]))
-    near = lambda h: F.trim(F.concat(h["pre"], h["hit"], h["post"]))
-    free = F.get(F.filter(real, lambda h: has(near(h), fx.FREE_NEARBY)), F.lit(0))
-    town = grab(F.right(free["pre"], F.lit(60)), fx.PRECEDING_TOWN, 1, "")
-    free_window = F.trim(F.concat(F.right(free["pre"], F.lit(90)), free["hit"], F.left(free["post"], F.lit(90))))
+    genuine = lambda h: ~has(local(h), fx.RESIDENT_FALSE_POSITIVE)
+    whole = lambda h: F.trim(F.concat(h["pre"], h["hit"], h["post"]))
     none = F.lit(None).cast("string")
     row = lambda rank, residency, scope, locals_free, note, phrase: F.struct(
         F.lit(rank).alias("rank"), F.lit(residency).alias("residency"), scope.alias("scope"), locals_free.alias("locals_free"), note.alias("note"),
         F.substring(phrase, 1, 180).alias("source_phrase"))
-    some = F.size(real) > 0
-    return (F.when(some & state_ok, row(1, "ma_resident", F.lit("MA"), has(state_window, fx.FREE_NEARBY), F.lit("MA residents mentioned"), state_window))
-            .when(free.isNotNull(), row(2, "none", town, F.lit(True), F.concat(F.lit("locals-free day mentioned for "), F.coalesce(town, F.lit("town residents"))), free_window))
-            .when(some, row(3, "unknown", none, F.lit(False), F.lit("ambiguous residency mention, no free-admission association"), local(F.get(real, F.lit(0)))))
-            .otherwise(row(4, "unknown", none, F.lit(False), F.lit("no residency policy found on page"), none)))
+    def state_row(h):
+        return F.when(h.isNotNull() & genuine(h), let(whole(h), lambda w: row(1, "ma_resident", F.lit("MA"), has(w, fx.FREE_NEARBY), F.lit("MA residents mentioned"), w)))
+    def town_row(h):
+        town = grab(F.right(h["pre"], F.lit(60)), fx.PRECEDING_TOWN, 1, "")
+        window = F.trim(F.concat(F.right(h["pre"], F.lit(90)), h["hit"], F.left(h["post"], F.lit(90))))
+        return F.when(h.isNotNull(), let(town, lambda t: row(
+            2, "none", t, F.lit(True), F.concat(F.lit("locals-free day mentioned for "), F.coalesce(t, F.lit("town residents"))), window)))
+    def reading(b):
+        real = b["real"]
+        free = F.get(F.filter(real, lambda h: has(whole(h), fx.FREE_NEARBY)), F.lit(0))
+        state = F.get(find_all(b["t"], fx.PAGE_MA_RESIDENT, "iU", 80, 80), F.lit(0))
+        vague = row(3, "unknown", none, F.lit(False), F.lit("ambiguous residency mention, no free-admission association"), local(F.get(real, F.lit(0))))
+        return F.when(F.size(real) > 0, F.coalesce(let(state, state_row), let(free, town_row), vague))
+    silent = row(4, "unknown", none, F.lit(False), F.lit("no residency policy found on page"), none)
+    hits = lambda t: F.filter(find_all(t, r"residents?\b", "iU", 100, 100), genuine)
+    return F.coalesce(F.when(col(text).rlike("(?i)resident"), let(text, lambda t: bind(reading, t=t, real=hits(t)))), silent)
 
 
 def extract_visitor_eligibility(df: DataFrame, entity: str, order: str, html: str) -> DataFrame:

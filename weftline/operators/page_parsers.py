@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
 from weftline.functions.benefit import classify_pass_type_text, normalize_benefit, pass_type_from_body, pass_type_from_detail
-from weftline.functions.core import col, find_all, first_hits, grab, grab_all, has, map_codes, squeeze, swap, text_or_null
+from weftline.functions.core import bind, col, find_all, first_hits, grab, grab_all, has, map_codes, squeeze, swap, text_or_null
 from weftline.functions.html import html_text, strip_tags
 from weftline.functions.text import slugify, title_case, unescape, url_key
 from weftline.operators.keys import first_per
@@ -85,13 +85,13 @@ def parse_fragment_two_state(df: DataFrame, keys: Sequence[str], html: str) -> D
 def parse_calendar_limited(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
     """Older calendar: available / booked, upgraded to 'limited' where a partial-availability mark follows."""
     raw = F.arrays_zip(grab_all(html, fx.OLD_CELL, 1).alias("d"), grab_all(html, fx.OLD_CELL, 2).alias("c"))
-    partial = grab_all(html, fx.OLD_PARTIAL_CELL, 1)
-    def cell(x):
+    partial = F.when(F.col(html).contains("time-partially-available"), grab_all(html, fx.OLD_PARTIAL_CELL, 1)).otherwise(F.array().cast("array<string>"))
+    def cell(x, partial):
         status = F.when(x["c"].contains("day-has-openings"), "available").when(x["c"].contains("day-no-openings"), "booked")
         hidden = x["c"].contains("day-past") | x["c"].contains("day-blank")
         limited = (status == "available") & F.array_contains(partial, x["d"])
         return F.struct(x["d"].alias("day"), F.when(~hidden, F.when(limited, "limited").otherwise(status)).alias("status"))
-    cells = F.filter(F.transform(raw, cell), lambda c: c["status"].isNotNull())
+    cells = F.filter(bind(lambda b: F.transform(b["raw"], lambda x: cell(x, b["partial"])), raw=raw, partial=partial), lambda c: c["status"].isNotNull())
     return _rows(df, keys, F.reverse(first_hits(F.reverse(cells), lambda c: c["day"]))).withColumn("day", F.to_date("day"))
 
 
@@ -145,17 +145,18 @@ def clean_detail_text(block) -> Column:
 def parse_two_theme_index(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
     """Museum buttons of either theme with the id before (first theme) or after (second theme) the name, and the benefit of that id."""
     h = F.col(html)
-    old = F.regexp_instr(h, F.lit(fx.THEME1_NAME)) > 0
-    ids = find_all(h, fx.MUSEUM_ID, "")
     number = lambda x: F.regexp_extract(x["hit"], fx.MUSEUM_ID, 1)
-    def named(pattern, pick):
-        return F.transform(find_all(h, pattern, ""), lambda n: F.struct(F.regexp_extract(n["hit"], pattern, 1).alias("name"), pick(n).alias("musid")))
-    last_before = lambda n: F.try_element_at(F.transform(F.filter(ids, lambda x: x["at"] < n["at"]), number), F.lit(-1))
-    first_after = lambda n: F.get(F.transform(F.filter(ids, lambda x: x["at"] >= n["at"] + F.length(n["hit"])), number), F.lit(0))
-    names = F.when(old, named(fx.THEME1_NAME, last_before)).otherwise(named(fx.THEME2_NAME, first_after))
+    def named(ids, pattern, pick):
+        return F.transform(find_all(h, pattern, ""), lambda n: F.struct(F.regexp_extract(n["hit"], pattern, 1).alias("name"), pick(ids, n).alias("musid")))
+    last_before = lambda ids, n: F.try_element_at(F.transform(F.filter(ids, lambda x: x["at"] < n["at"]), number), F.lit(-1))
+    first_after = lambda ids, n: F.get(F.transform(F.filter(ids, lambda x: x["at"] >= n["at"] + F.length(n["hit"])), number), F.lit(0))
+    names = lambda ids: F.when(h.rlike(fx.THEME1_NAME), named(ids, fx.THEME1_NAME, last_before)).otherwise(named(ids, fx.THEME2_NAME, first_after))
     blocks = F.map_from_entries(F.reverse(first_hits(F.reverse(F.arrays_zip(grab_all(html, fx.DETAIL_BLOCK, 1).alias("k"), grab_all(html, fx.DETAIL_BLOCK, 2).alias("v"))),
                                                      lambda e: e["k"])))
-    items = F.transform(F.filter(names, lambda n: F.length(n["musid"]) > 0), lambda n: F.struct(n["name"], n["musid"], F.try_element_at(blocks, n["musid"]).alias("block")))
+    def with_block(b):
+        known = F.filter(names(b["ids"]), lambda n: F.length(n["musid"]) > 0)
+        return F.transform(known, lambda n: F.struct(n["name"].alias("name"), n["musid"].alias("musid"), F.try_element_at(b["blocks"], n["musid"]).alias("block")))
+    items = bind(with_block, ids=find_all(h, fx.MUSEUM_ID, ""), blocks=blocks)
     d = _rows(df, keys, items).withColumn("title", F.trim(unescape("name"))).filter(F.col("title") != "")
     d = d.withColumn("attraction_slug", slugify("title")).withColumn("benefit_text", F.coalesce(clean_detail_text("block"), F.lit("")))
     d = d.select(*keys, "pos", "title", "attraction_slug", "musid", F.concat(F.lit("?musID="), F.col("musid")).alias("reserve_query"), "benefit_text")
