@@ -174,14 +174,13 @@ def _label(t: Column) -> Column:
 
 def _free_headline(m: Column) -> Column:
     """'Free' appears within the first four sentences before any $ or percent figure."""
-    sentences = F.split(F.trim(m), r"(?<=[.!?])(?U:\s+)|\n+")
-    out = F.lit(False)
-    for k in range(4, 0, -1):
-        lead = F.concat(F.lit(" "), F.array_join(F.slice(sentences, 1, k), " "))
+    def reading(lead):
         priced = lead.contains("$") | has(lead, fx.PERCENT) | has(lead, fx.HALF)
-        free = has(lead, fx.FREE_HEADLINE) | has(lead, fx.FOR_FREE)
-        out = F.when(priced, F.lit(False)).when(free, F.lit(True)).otherwise(out)
-    return out
+        return F.when(priced, F.lit(False)).when(has(lead, fx.FREE_HEADLINE) | has(lead, fx.FOR_FREE), F.lit(True))
+    lead = lambda s, k: F.concat(F.lit(" "), F.array_join(F.slice(s, 1, k), " "))
+    cut = F.split(F.regexp_replace(F.trim(m), r"(?<=[.!?])(?U:\s+)|\n+", "\u0001"), "\u0001", -1)
+    first_decided = let(cut, lambda s: F.coalesce(*[let(lead(s, k), reading) for k in range(1, 5)], F.lit(False)))
+    return has(m, r"free|charge|complimentary|cost|parking|membership|parkspass|general\s+admission|cars?\b|family|carload", "i") & first_decided
 
 
 def _first_number(c: Column, patterns: list[str]) -> Column:
@@ -271,6 +270,11 @@ def extract_coupon(df: DataFrame, text: str, slug: str, platform: str, phrases:
     return df.withColumn(out, offer(text, slug, platform, phrases))
 
 
+def policy_rows(df: DataFrame, keys: list[str], offer_col: str = "offer") -> DataFrame:
+    """One row per audience policy. An outer explode keeps the optimizer from testing (and so computing) the offer twice."""
+    return df.select(*keys, F.explode_outer(f"{offer_col}.audience_policies").alias("p")).filter(F.col("p").isNotNull())
+
+
 # ---- stored extraction records -------------------------------------------
 def headline(policies) -> Column:
     """Short offer of the adult/everyone policy; else the strongest non-free one; first maximum wins."""

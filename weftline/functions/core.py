@@ -136,10 +136,14 @@ def match_window(c, pattern: str, before: int, after: int) -> Column:
     return F.when(at > 0, col(c).substr(start, at - start + size + after))
 
 
+_CUT = "\u0001"
+
+
 def find_all(c, pattern: str, flags: str = "iU", before: int = 0, after: int = 0) -> Column:
     """All matches in order as ARRAY<STRUCT<at,hit,pre,post>>: 0-based offset, matched text, and its context.
 
-    Offsets come from the lengths of the pieces between matches, so everything stays inside the row.
+    Offsets come from the lengths of the pieces between matches, so everything stays inside the row. The pieces are cut at a
+    control character put in place of each match: a regex split would compile the pattern again for every row.
     """
     p = rx(pattern, flags)
     text = col(c)
@@ -151,7 +155,11 @@ def find_all(c, pattern: str, flags: str = "iU", before: int = 0, after: int = 0
             return F.struct(at.alias("at"), hit.alias("hit"), b["text"].substr(start + 1, at - start).alias("pre"),
                             b["text"].substr(at + F.length(hit) + 1, F.lit(after)).alias("post"))
         return F.transform(b["hits"], one)
-    return let(text, lambda t: bind(located, text=t, hits=F.regexp_extract_all(t, F.lit(p), F.lit(0)), gaps=F.transform(F.split(t, p, -1), F.length)))
+    def search(t):
+        gaps = F.transform(F.split(F.regexp_replace(t, p, _CUT), _CUT, -1), F.length)
+        found = bind(located, text=t, hits=F.regexp_extract_all(t, F.lit(p), F.lit(0)), gaps=gaps)
+        return F.when(t.rlike(p), found).otherwise(F.array().cast("array<struct<at:int,hit:string,pre:string,post:string>>"))
+    return let(F.translate(text, _CUT, " "), search)
 
 
 def first_hits(values, key) -> Column:

@@ -102,46 +102,58 @@ def _hour_hits(text: Column) -> Column:
     return F.concat(*[hits(rank, kind, pattern) for rank, (kind, pattern) in enumerate(fx.HOURS_PATTERNS)])
 
 
-def hour_values(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
-    """(keys, day number, value, rank, at, hit): every statement about a day that can be read."""
-    d = df.withColumn("_t", F.regexp_replace(html_text(html), fx.DASHES, "-"))
-    d = d.filter(F.col("_t").rlike(r"(?i)\d|noon|midnight|closed"))
-    h = d.select(*keys, F.explode(_hour_hits(F.col("_t"))).alias("h")).select(*keys, "h.*")
-    first, last = _day_number(F.col("d1")), _day_number(F.col("d2"))
-    span = F.when(first <= last, F.sequence(first, last)).when(first > last, F.concat(F.sequence(first, F.lit(6)), F.sequence(F.lit(0), last)))
-    days = (F.when(F.col("kind").isin("daily", "daily_after"), F.sequence(F.lit(0), F.lit(6)))
-            .when(F.col("kind") == "weekdays", F.sequence(F.lit(0), F.lit(4))).when(F.col("kind") == "weekends", F.array(F.lit(5), F.lit(6)))
-            .when(F.col("kind") == "pair", F.when(first.isNotNull() & last.isNotNull(), F.array(first, last)))
-            .when(F.col("kind").isin("range", "range_after", "closed_range"), span)
-            .otherwise(F.when(first.isNotNull(), F.array(first))))
-    bare = F.col("t1").rlike(r"^\s*\d{1,2}\s*$") & F.col("t2").rlike(r"^\s*\d{1,2}\s*$")
-    ages = bare & has("pre", fx.AGE_CONTEXT)
-    value = F.when(F.col("kind").startswith("closed"), F.lit("closed")).when(~ages, clock_span("t1", "t2"))
-    h = h.withColumn("_days", days).withColumn("value", value).filter(F.col("value").isNotNull())
-    return h.select(*keys, F.explode("_days").alias("day"), "value", "rank", "at", "hit")
+def _covered(h: Column) -> Column:
+    """Day numbers a hit speaks about; NULL when a day word is not one."""
+    def span(b):
+        first, last = b["first"], b["last"]
+        return F.when(first <= last, F.sequence(first, last)).when(first > last, F.concat(F.sequence(first, F.lit(6)), F.sequence(F.lit(0), last)))
+    def days(b):
+        kind = h["kind"]
+        return (F.when(kind.isin("daily", "daily_after"), F.sequence(F.lit(0), F.lit(6)))
+                .when(kind == "weekdays", F.sequence(F.lit(0), F.lit(4))).when(kind == "weekends", F.array(F.lit(5), F.lit(6)))
+                .when(kind == "pair", F.when(b["first"].isNotNull() & b["last"].isNotNull(), F.array(b["first"], b["last"])))
+                .when(kind.isin("range", "range_after", "closed_range"), span(b))
+                .otherwise(F.when(b["first"].isNotNull(), F.array(b["first"]))))
+    return bind(days, first=_day_number(h["d1"]), last=_day_number(h["d2"]))
+
+
+def _stated(h: Column) -> Column:
+    """'closed' or an opening span; NULL for age ranges and unreadable times."""
+    bare = h["t1"].rlike(r"^\s*\d{1,2}\s*$") & h["t2"].rlike(r"^\s*\d{1,2}\s*$")
+    return F.when(h["kind"].startswith("closed"), F.lit("closed")).when(~(bare & has(h["pre"], fx.AGE_CONTEXT)), clock_span(h["t1"], h["t2"]))
+
+
+def _season(text: Column) -> Column:
+    """STRUCT<start_month,end_month,note> of 'Open May - October', NULL without one."""
+    month = lambda g: map_codes(F.lower(grab(text, fx.SEASON, g)), fx.MONTH_NUMBERS)
+    return bind(lambda b: F.when(b["start_month"].isNotNull() & b["end_month"].isNotNull(), b),
+                start_month=month(1), end_month=month(2), note=grab(text, fx.SEASON, 0))
+
+
+def hour_statements(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
+    """(keys, season, statement STRUCT<days,value,rank,at,hit> or NULL): pages without a statement keep one row."""
+    flat = F.regexp_replace(html_text(html), fx.DASHES, "-")
+    read = lambda h: F.struct(_covered(h).alias("days"), _stated(h).alias("value"), h["rank"].alias("rank"), h["at"].alias("at"), h["hit"].alias("hit"))
+    hinted = lambda t: t.rlike(r"(?i)\d|noon|midnight|closed")
+    page = lambda t: F.struct(_season(t).alias("season"), F.when(hinted(t), F.transform(_hour_hits(t), read)).alias("statements"))
+    d = df.select(*keys, flat.alias("_t")).select(*keys, let("_t", page).alias("_p"))
+    return d.select(*keys, "_p.season", F.explode_outer("_p.statements").alias("s"))
 
 
 def extract_hours(df: DataFrame, entity: str, order: str, html: str) -> DataFrame:
-    """Seven day columns per entity ('unknown' where nothing is stated). Patterns are tried in rank order over all pages;
-    the first statement about a day stands."""
-    v = hour_values(df, [entity, order], html)
-    at = F.struct("rank", order, "at")
-    first = v.groupBy(entity, "day").agg(F.min_by("value", at).alias("value"))
-    week = first.groupBy(entity).agg(*[F.max(F.when(F.col("day") == i, F.col("value"))).alias(d) for i, d in enumerate(fx.WEEK)])
-    phrase = v.filter(F.col("value") != "closed").groupBy(entity).agg(F.substring(F.trim(F.min_by("hit", at)), 1, 180).alias("source_phrase"))
-    season = seasons(df, entity, order, html)
-    base = df.select(entity).distinct()
-    out = base.join(week, entity, "left").join(phrase, entity, "left").join(season, entity, "left")
-    return out.withColumns({d: F.coalesce(F.col(d), F.lit("unknown")) for d in fx.WEEK})
-
-
-def seasons(df: DataFrame, entity: str, order: str, html: str) -> DataFrame:
-    """'Open May - October' per entity, from the first page that says so."""
-    t = df.filter(F.col(html).rlike("(?i)open")).withColumn("_t", F.regexp_replace(html_text(html), fx.DASHES, "-"))
-    month = lambda g: map_codes(F.lower(grab("_t", fx.SEASON, g)), fx.MONTH_NUMBERS)
-    s = t.select(entity, order, month(1).alias("start_month"), month(2).alias("end_month"), grab("_t", fx.SEASON, 0).alias("note"))
-    s = s.filter(F.col("start_month").isNotNull() & F.col("end_month").isNotNull())
-    return s.groupBy(entity).agg(F.min_by(F.struct("start_month", "end_month", "note"), order).alias("seasonal"))
+    """Seven day columns per entity ('unknown' where nothing is stated), phrase and season.
+
+    Patterns are tried in rank order over all pages; the first statement about a day stands. One scan and one aggregate.
+    """
+    d = hour_statements(df, [entity, order], html)
+    at = F.struct(F.col("s.rank"), F.col(order), F.col("s.at").alias("at"))
+    said = F.col("s.value").isNotNull()
+    day = lambda i: F.min_by(F.col("s.value"), F.when(said & F.array_contains("s.days", i), at))
+    spoken = said & (F.col("s.value") != "closed") & F.col("s.days").isNotNull()
+    return d.groupBy(entity).agg(
+        *[F.coalesce(day(i), F.lit("unknown")).alias(name) for i, name in enumerate(fx.WEEK)],
+        F.substring(F.trim(F.min_by(F.col("s.hit"), F.when(spoken, at))), 1, 180).alias("source_phrase"),
+        F.min_by("season", F.when(F.col("season").isNotNull(), F.col(order))).alias("seasonal"))
 
 
 # ---------------------------------------------------------------- reservations

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
 from weftline.functions.benefit import classify_pass_type_text, normalize_benefit, pass_type_from_body, pass_type_from_detail
-from weftline.functions.core import bind, col, find_all, first_hits, grab, grab_all, has, map_codes, squeeze, swap, text_or_null
+from weftline.functions.core import bind, col, find_all, first_hits, grab, grab_all, has, let, map_codes, squeeze, swap, text_or_null
 from weftline.functions.html import html_text, strip_tags
 from weftline.functions.text import slugify, title_case, unescape, url_key
 from weftline.operators.keys import first_per
@@ -45,10 +45,11 @@ def parse_index_page(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame
 # ---------------------------------------------------------------- calendars
 def cell_status(classes) -> Column:
     """Status of a calendar cell from its class list; NULL for grid padding."""
-    t = F.split(col(classes), r"\s+")
-    on = lambda c: F.array_contains(t, c)
-    return F.when(~on("day-blank"), F.when(on("day-has-openings"), "available").when(on("day-past"), "closed")
-                  .when(on("day-unavailable"), "unavailable").when(on("day-no-openings"), "booked").otherwise("unavailable"))
+    def read(t):
+        on = lambda c: F.array_contains(t, c)
+        return F.when(~on("day-blank"), F.when(on("day-has-openings"), "available").when(on("day-past"), "closed")
+                      .when(on("day-unavailable"), "unavailable").when(on("day-no-openings"), "booked").otherwise("unavailable"))
+    return let(F.split(F.translate(col(classes), "\t\n\r", "   "), " "), read)
 
 
 def _first_days(cells: Column) -> Column:

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.operators.layout import spread_scan
+
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
         "benchmark", "labels", "conversations"]
 _MONTHS = "January February March April May June July August September October November December"
@@ -78,8 +80,8 @@ VIEWS = {
     "d_day": """SELECT user_id AS pass_id, CAST(ts AS DATE) AS day, event_id AS page_no,
         CASE event_type WHEN 'signup' THEN 'available' WHEN 'purchase' THEN 'booked' WHEN 'error' THEN 'closed' ELSE 'unavailable' END AS status FROM {events}""",
     # opening hours per supplier, one value per day
-    "d_hours": """SELECT s_suppkey, i, CASE (s_suppkey + i * (1 + s_suppkey % 2)) % 4 WHEN 0 THEN 'closed' WHEN 1 THEN '09:00-17:00' WHEN 2 THEN '10:00-17:30' ELSE 'unknown' END AS v
-        FROM {supplier} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) w""",
+    "d_hours": " UNION ALL ".join(f"""SELECT s_suppkey, {i} AS i, CASE (s_suppkey + {i} * (1 + s_suppkey % 2)) % 4 WHEN 0 THEN 'closed' WHEN 1 THEN '09:00-17:00'
+        WHEN 2 THEN '10:00-17:30' ELSE 'unknown' END AS v FROM {{supplier}}""" for i in range(7)),
     "d_week": """SELECT s_suppkey, max(CASE WHEN i = 0 THEN v END) AS d0, max(CASE WHEN i = 1 THEN v END) AS d1, max(CASE WHEN i = 2 THEN v END) AS d2,
         max(CASE WHEN i = 3 THEN v END) AS d3, max(CASE WHEN i = 4 THEN v END) AS d4, max(CASE WHEN i = 5 THEN v END) AS d5, max(CASE WHEN i = 6 THEN v END) AS d6
         FROM {d_hours} h GROUP BY s_suppkey""",
@@ -120,6 +122,11 @@ def expand(sql: str, engine: str, folder: str = "") -> str:
     return _PLACEHOLDER.sub(put, sql)
 
 
+def spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A view made of one scan, dealt out over all cores for text work."""
+    return spread_scan(view(spark, folder, name))
+
+
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name in BASE:
         return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -6,7 +6,7 @@ from weftline import fixed_values as fx
 from weftline.functions import core, html, text
 from weftline.operators import page_jobs as J
 from weftline.operators import page_parsers as P
-from weftline.plans.derived import view
+from weftline.plans.derived import spread, view
 from weftline.plans.registry import query
 from weftline.plans.suite_keys import UNESC
 from weftline.sources import scans
@@ -21,7 +21,7 @@ TEXT_SQL = "trim(regexp_replace(" + UNESC.format(r"regexp_replace(regexp_replace
 
 @query("page_text", f"SELECT page_id, length(t) AS size, md5(t) AS digest FROM (SELECT page_id, {TEXT_SQL} AS t FROM {{pages}})")
 def page_text(spark, sf):
-    d = V(spark, sf, "pages").withColumn("t", html.html_text("html"))
+    d = spread(spark, sf, "pages").withColumn("t", html.html_text("html"))
     return d.select("page_id", F.length("t").alias("size"), F.md5("t").alias("digest"))
 
 
@@ -29,13 +29,13 @@ def page_text(spark, sf):
     r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<head\b.*?</head>', ' ', 'g'),
     '(?s)<!--.*?-->', ' ', 'g'), '(?i)</(p|div|section|li|h[1-6]|tr|article|header|footer|br)>', chr(10), 'g'), '<[^>]+>', ' ', 'g')""") + r""", chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x{00A0}]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM {pages}""")
 def page_paragraphs(spark, sf):
-    return V(spark, sf, "pages").select("page_id", F.md5(html.html_paragraphs("html")).alias("digest"))
+    return spread(spark, sf, "pages").select("page_id", F.md5(html.html_paragraphs("html")).alias("digest"))
 
 
 @query("page_lines", r"""SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(""" + UNESC.format(
     r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', chr(10), 'g')") + r""", chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS digest FROM {pages}""")
 def page_lines(spark, sf):
-    return V(spark, sf, "pages").select("page_id", F.md5(html.line_text("html")).alias("digest"))
+    return spread(spark, sf, "pages").select("page_id", F.md5(html.line_text("html")).alias("digest"))
 
 
 @query("page_metadata", r"SELECT page_id, trim(regexp_extract(html, '(?i)<title>([^<]+)</title>', 1)) AS title, CASE page_id % 3 WHEN 0 THEN concat('https://cdn.example/', page_id, '.jpg') WHEN 1 THEN concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), '/img/', page_id, '.jpg') END AS image FROM {pages}")
@@ -43,14 +43,14 @@ def page_metadata(spark, sf):
     k = F.col("page_id") % 3
     head = (F.when(k == 0, F.concat(F.lit('<meta property="og:image" name=x content="https://cdn.example/'), S("page_id"), F.lit('.jpg">')))
             .when(k == 1, F.concat(F.lit("<meta content='/img/"), S("page_id"), F.lit(".jpg' property='og:image'/>"))).otherwise(""))
-    d = V(spark, sf, "pages").withColumn("h", F.concat(head, "html"))
+    d = spread(spark, sf, "pages").withColumn("h", F.concat(head, "html"))
     return d.select("page_id", html.page_title("h").alias("title"), html.og_image("h", "url").alias("image"))
 
 
 @query("source_marker", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS source_url FROM {pages}")
 def source_marker(spark, sf):
     body = F.concat(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<!-- source_url: "), "url", F.lit(" -->\n"))).otherwise(F.lit("." * 300)), F.when(F.col("page_id") % 2 == 1, F.lit("<!-- source_url: late -->")).otherwise(""), "html")
-    return V(spark, sf, "pages").select("page_id", text.source_marker(body).alias("source_url"))
+    return spread(spark, sf, "pages").select("page_id", text.source_marker(body).alias("source_url"))
 
 
 LINKS = r"""(SELECT page_id, concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), regexp_replace(href, '/+$', '')) AS link, concat(lower(t), ' ', lower(regexp_replace(href, '/+$', ''))) AS blob FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="(/[^"#?]*)"[^>]*>(.*?)</a>', 1)) AS href,
@@ -60,36 +60,36 @@ SCORE = "(" + " + ".join(f"CASE WHEN contains(blob, '{w}') THEN {n} ELSE 0 END"
 
 @query("page_links", rf"""SELECT page_id, link AS url, max(score) AS score FROM (SELECT page_id, link, {SCORE.replace('blob', "concat(blob, ' opening hours')")} AS score FROM {LINKS} l) WHERE score > 0 GROUP BY ALL""")
 def page_links(spark, sf):
-    d = V(spark, sf, "pages").withColumn("html", F.regexp_replace("html", "</a>", " opening hours</a>"))
+    d = spread(spark, sf, "pages").withColumn("html", F.regexp_replace("html", "</a>", " opening hours</a>"))
     return J.page_links(d, ["page_id"], "html", "url")
 
 
 @query("top_links", rf"""SELECT page_id, url, score, link_no FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, url) AS link_no FROM (SELECT page_id, link AS url, max(score) AS score FROM (SELECT page_id, link, {SCORE.replace('blob', "concat(blob, ' visit')")} AS score FROM {LINKS} l) GROUP BY ALL)) WHERE link_no <= 3""")
 def top_links(spark, sf):
-    d = V(spark, sf, "pages").withColumn("html", F.regexp_replace("html", "</a>", " visit</a>"))
+    d = spread(spark, sf, "pages").withColumn("html", F.regexp_replace("html", "</a>", " visit</a>"))
     return J.top_links(J.page_links(d, ["page_id"], "html", "url"), ["page_id"])
 
 
 @query("anchor_list", r"""SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS n FROM {pages}""")
 def anchor_list(spark, sf):
-    return V(spark, sf, "pages").select("page_id", F.size(html.anchors("html")).alias("n"))
+    return spread(spark, sf, "pages").select("page_id", F.size(html.anchors("html")).alias("n"))
 
 
 @query("document_segments", r"""SELECT page_id, len(regexp_extract_all(html, '<p>')) AS n FROM {pages}""")
 def document_segments(spark, sf):
-    return V(spark, sf, "pages").select("page_id", F.size(J.segments("html", "<p>")).alias("n"))
+    return spread(spark, sf, "pages").select("page_id", F.size(J.segments("html", "<p>")).alias("n"))
 
 
 @query("evidence_rows", f"SELECT lang, count(*) AS pages, count(DISTINCT source_url) AS n FROM (SELECT regexp_extract(html, '<html lang=\"([a-z]*)\"', 1) AS lang, url AS source_url FROM {{pages}}) GROUP BY 1")
 def evidence_rows(spark, sf):
-    d = V(spark, sf, "pages").withColumn("lang", core.grab("html", r'<html lang="([a-z]*)"', 1, "")).withColumn("page", S("page_id"))
+    d = spread(spark, sf, "pages").withColumn("lang", core.grab("html", r'<html lang="([a-z]*)"', 1, "")).withColumn("page", S("page_id"))
     e = J.evidence_rows(d, "lang", "page", "html", "url").filter(F.col("chunk").startswith("=== "))
     return e.groupBy("lang").agg(F.count("*").alias("pages"), F.count_distinct("source_url").alias("n"))
 
 
 @query("evidence_manifest", "SELECT s_suppkey, (SELECT count(*) FROM {pages} WHERE page_id = s_suppkey * 3) AS pages_inspected FROM {supplier}")
 def evidence_manifest(spark, sf):
-    pages = V(spark, sf, "pages").filter("page_id % 3 = 0").select((F.col("page_id") / 3).cast("bigint").alias("s_suppkey"))
+    pages = spread(spark, sf, "pages").filter("page_id % 3 = 0").select((F.col("page_id") / 3).cast("bigint").alias("s_suppkey"))
     return J.evidence_manifest(V(spark, sf, "supplier").select("s_suppkey"), pages, "s_suppkey")
 
 
@@ -97,7 +97,7 @@ def evidence_manifest(spark, sf):
 def body_slice(spark, sf):
     even = F.col("page_id") % 2 == 0
     h = F.when(even, F.concat("html", F.lit('<div class=x id="s-lc-pass-desc"> <b>About</b> '), S("page_id"), F.lit("</div>"))).otherwise(F.col("html"))
-    d = V(spark, sf, "pages").withColumn("h", h)
+    d = spread(spark, sf, "pages").withColumn("h", h)
     return d.select("page_id", F.when(even, html.body_slice("h")).otherwise(F.md5(html.body_slice("h"))).alias("body"))
 
 
@@ -125,12 +125,12 @@ def unknown_json_fields(spark, sf):
 def keyed_by_file_name(spark, sf):
     """The key is cut out of a path such as .../<library>__<key>.json, as the keyed scan does."""
     path = F.concat(F.lit("/raw/x/lib"), (F.col("o_custkey") % 10).cast("string"), F.lit("__part-"), S("o_orderkey"), F.lit(".json"))
-    return V(spark, sf, "orders").groupBy(F.regexp_extract(path, r"([^/]+)__([^/]+)\.json$", 1).alias("library_id")).agg(F.count("*").alias("n"))
+    return spread(spark, sf, "orders").groupBy(F.regexp_extract(path, r"([^/]+)__([^/]+)\.json$", 1).alias("library_id")).agg(F.count("*").alias("n"))
 
 
 @query("rebuild_from_raw", "SELECT count(*) FILTER (page_id % 4 > 0) AS rebuilt, count(*) FILTER (page_id % 4 = 0) AS skipped FROM {pages}")
 def rebuild_from_raw(spark, sf):
-    p = V(spark, sf, "pages")
+    p = spread(spark, sf, "pages")
     raw = p.filter("page_id % 4 > 0").select(text.url_key("url").alias("k"), "page_id").dropDuplicates(["page_id"]).select("k")
     done, skipped = P.rebuild_rows(p.select("page_id", "url"), "url", raw.distinct(), "k")
     one = done.select(F.lit(1).alias("r")).unionByName(skipped.select(F.lit(0).alias("r")))
@@ -145,7 +145,7 @@ def venue_pages(spark, sf):
              .when(k == 1, F.concat(F.lit("<p>Parking fee: $5 per vehicle for all guests who come by car to see us.</p><p>General entry on all days. Seniors pay $"), size, F.lit(".50</p>")))
              .when(k == 2, F.concat(F.lit("<ul><li>$"), size, F.lit(" &#8211; Students</li></ul><p>Become a member: membership is $99 a year.</p>")))
              .when(k == 3, F.concat(F.lit("<p>Pay it Forward: $40. Standard: $"), size, F.lit("</p>"))).otherwise("<p>Free entry.</p>"))
-    return V(spark, sf, "part").select("p_partkey", "p_size", F.lit(0).alias("page"), F.concat(F.lit("<html><script>var x = '$7 adults';</script>"), price, F.lit("<i>"), key, F.lit("</i></html>")).alias("html"))
+    return spread(spark, sf, "part").select("p_partkey", "p_size", F.lit(0).alias("page"), F.concat(F.lit("<html><script>var x = '$7 adults';</script>"), price, F.lit("<i>"), key, F.lit("</i></html>")).alias("html"))
 
 
 @query("page_prices", """SELECT p_partkey, 'adult' AS audience, CAST(p_size AS DOUBLE) AS price, 1 AS age_min, 15 AS age_max FROM {part} WHERE p_partkey % 5 = 0 UNION ALL SELECT p_partkey, 'child', 2.0, 1, 15 FROM {part} WHERE p_partkey % 5 = 0
@@ -158,7 +158,7 @@ def page_prices(spark, sf):
 
 @query("nearest_audience", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'senior' ELSE 'child' END AS label FROM {part}")
 def nearest_audience(spark, sf):
-    d = V(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "adults enter for free but seniors $5 and kids later").otherwise("families are welcome any time: $5 kids, or seniors").alias("ctx"))
+    d = spread(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "adults enter for free but seniors $5 and kids later").otherwise("families are welcome any time: $5 kids, or seniors").alias("ctx"))
     return J.nearest_label(d.withColumn("at", F.position(F.lit("$"), F.col("ctx")) - 1), "ctx", "at").select("p_partkey", "label")
 
 
@@ -174,7 +174,7 @@ def page_hours(spark, sf):
     body = (F.when(k == 0, "Tuesday-Sunday 9:00-17:00. Closed Mondays.").when(k == 1, "Open daily from 10 a.m. to 5 p.m. Ship: Wednesday - Friday 9-5")
             .when(k == 2, "9am – 4pm | Monday – Friday").when(k == 3, "Open May - October. Friday and Saturday: 9 - 5").when(k == 4, "Weekdays: 9 - 5. Weekends: 1 - 5 pm")
             .when(k == 5, "Monday: 11:00am-5:00pm, Tuesday: Closed").when(k == 6, "Sunday - Tuesday: CLOSED").otherwise("Camp for ages, Friday 8 - 12 kids"))
-    d = V(spark, sf, "part").select("p_partkey", F.lit(0).alias("page"), F.concat(F.lit("<p>"), body, F.lit("</p><i>#</i>")).alias("html"))
+    d = spread(spark, sf, "part").select("p_partkey", F.lit(0).alias("page"), F.concat(F.lit("<p>"), body, F.lit("</p><i>#</i>")).alias("html"))
     d = J.extract_hours(d, "p_partkey", "page", "html")
     return d.select("p_partkey", *HOURS_SQL, F.col("seasonal.start_month").alias("start_month"), F.col("seasonal.end_month").alias("end_month"))
 
@@ -185,7 +185,7 @@ def page_reservation(spark, sf):
     k = F.col("p_partkey") % 4
     body = (F.when(k == 0, F.concat(F.lit('<a href="mailto:book">x</a><p>Timed entry required.</p><a href="https://www.eventbrite.com/e/'), S("p_partkey"), F.lit('">Go</a>')))
             .when(k == 1, '<p>Walk-ins welcome!</p><a href="javascript:/book">no</a> <a class=b href="/tickets/now">Buy</a>').when(k == 2, '<a href="/info/pass">Library <b>Passes</b></a>').otherwise("<p>Hello</p>"))
-    d = V(spark, sf, "part").select("p_partkey", F.explode(F.array(F.struct(F.lit(1).alias("page"), F.lit("<p>About us</p>").alias("html")), F.struct(F.lit(0).alias("page"), body.alias("html")))).alias("x")).select("p_partkey", "x.*")
+    d = spread(spark, sf, "part").select("p_partkey", F.explode(F.array(F.struct(F.lit(1).alias("page"), F.lit("<p>About us</p>").alias("html")), F.struct(F.lit(0).alias("page"), body.alias("html")))).alias("x")).select("p_partkey", "x.*")
     return J.extract_reservation(d, "p_partkey", "page", "html").select("p_partkey", "required", "booking_url", "lead_time_hours", "pass_holder_url", "notes")
 
 
@@ -195,7 +195,7 @@ def page_visitor_eligibility(spark, sf):
     k = F.col("p_partkey") % 5
     body = (F.when(k == 0, "Free admission for Massachusetts residents on Sundays").when(k == 1, "On the first Monday admission is free for all our Salem-Town residents")
             .when(k == 2, "Many residents visit us each year").when(k == 3, "Vice President for life; our resident otter; Nevada residents see the notice").otherwise("Welcome"))
-    d = V(spark, sf, "part").select("p_partkey", F.lit(0).alias("page"), F.concat(F.lit("<p>"), body, F.lit("</p> # "), S("p_partkey")).alias("html"))
+    d = spread(spark, sf, "part").select("p_partkey", F.lit(0).alias("page"), F.concat(F.lit("<p>"), body, F.lit("</p> # "), S("p_partkey")).alias("html"))
     return J.extract_visitor_eligibility(d, "p_partkey", "page", "html").select("p_partkey", "residency", "scope", "locals_free", "note")
 
 
@@ -208,7 +208,7 @@ def index_page(spark, sf):
     art = card("art", "Circulating Pass", F.concat(F.lit("<h5>Pass Benefits</h5><p>Admits "), n, F.lit(" people.</p><p>Hi</p><p>Enjoy <b>the</b> day.</p></div></div>")))
     zoo = card("zoo", "Printable/Digital Coupon Pass", F.lit("<p>none</p>"))
     again = F.concat(F.lit('<form action="/museum-passes/by-museum/art-'), key, F.lit('/"></form><a href="/museum-passes/by-museum/by-date/">d</a>'))
-    d = V(spark, sf, "part").select("p_partkey", F.concat(art, zoo, again).alias("html"))
+    d = spread(spark, sf, "part").select("p_partkey", F.concat(art, zoo, again).alias("html"))
     return P.parse_index_page(d, ["p_partkey"], "html").select("p_partkey", "pos", "attraction_slug", "title", "benefit_text", "pass_type")
 
 
@@ -291,5 +291,5 @@ def museum_id(spark, sf):
 def grouped_pages_order(spark, sf):
     from weftline.operators.keys import top_per
     name = F.when(F.col("page_id") % 2 == 0, S("page_id")).otherwise(F.concat(F.lit("__"), S("page_id")))
-    d = V(spark, sf, "pages").select((F.col("page_id") % 7).alias("entity"), "page_id", name.alias("name"))
+    d = spread(spark, sf, "pages").select((F.col("page_id") % 7).alias("entity"), "page_id", name.alias("name"))
     return top_per(d, ["entity"], [J.page_order("name")], 3).select("entity", "page_id")

@@ -24,8 +24,8 @@ BIG = lambda c: c.cast("bigint")
 @query("offer_coverage_by_network", f"""WITH pas AS (SELECT c.library_id, c.attraction_id, k.canonical, {FORM_SQL.replace('k.p_size', 'c.p_size').replace('k.p_type', 'c.p_type')} AS form,
     CASE WHEN a.slug IS NOT NULL THEN a.status ELSE b.status END AS status FROM {{d_catalog}} c JOIN {{d_canon}} k ON k.p_partkey = c.attraction_id
     LEFT JOIN {AUTH_SQL} a ON a.library_id = c.library_id AND a.slug = k.canonical LEFT JOIN {AUTH_SQL} b ON b.library_id = c.library_id AND b.slug = c.attraction_rawslug),
-    ov AS (SELECT o_custkey % (SELECT count(*) FROM {{supplier}}) AS library_id, o_orderkey % (SELECT count(*) FROM {{part}}) AS attraction_id,
-        arg_max(o_orderpriority, o_orderkey) AS v FROM {{orders}} WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+    ov AS (SELECT l_suppkey AS library_id, l_partkey AS attraction_id, concat('fixed-', arg_max(l_linestatus, l_orderkey * 2 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END)) AS v
+        FROM {{lineitem}} WHERE l_returnflag = 'A' GROUP BY 1, 2),
     done AS (SELECT p.*, CASE WHEN o.library_id IS NOT NULL THEN o.v ELSE p.form END AS final_form FROM pas p LEFT JOIN ov o ON o.library_id = p.library_id AND o.attraction_id = p.attraction_id)
     SELECT l.network, count(*) AS n, CAST(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS n_offer,
     CAST(sum(CASE WHEN final_form = 'digital_email' THEN 1 ELSE 0 END) AS BIGINT) AS n_digital, CAST(sum(CASE WHEN final_form LIKE '%-%' THEN 1 ELSE 0 END) AS BIGINT) AS n_corrected,
@@ -41,11 +41,9 @@ def offer_coverage_by_network(spark, sf):
         "older": F.when(F.col("p_size") > 25, "physical_circ")})
     d = d.withColumn("pass_form", gold.pass_form("block", "body", "platform", "code", F.col("older")))
     target = lambda a, b: O.target_key(F.col(a).cast("string"), F.col(b).cast("string"))
-    n_lib = F.broadcast(V(spark, sf, "supplier").agg(F.count("*").alias("n_lib")))  # one-row sides: bounded by construction
-    n_att = F.broadcast(V(spark, sf, "part").agg(F.count("*").alias("n_att")))
-    fixes = V(spark, sf, "orders").filter("o_orderstatus = 'F'").withColumn("k", F.lit(1)).join(n_lib.withColumn("k", F.lit(1)), "k").join(n_att.withColumn("k", F.lit(1)), "k")
-    fixes = fixes.select(F.lit("pass").alias("kind"), O.target_key((F.col("o_custkey") % F.col("n_lib")).cast("string"), (F.col("o_orderkey") % F.col("n_att")).cast("string")).alias("id"),
-                         F.lit("pass_form").alias("field"), F.lit("corrected").alias("status"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("seq"))
+    fixes = V(spark, sf, "lineitem").filter("l_returnflag = 'A'").select(
+        F.lit("pass").alias("kind"), target("l_suppkey", "l_partkey").alias("id"), F.lit("pass_form").alias("field"), F.lit("corrected").alias("status"),
+        F.concat(F.lit("fixed-"), "l_linestatus").alias("value"), (F.col("l_orderkey") * 2 + (F.col("l_linestatus") == "F").cast("int")).alias("seq"))
     d = O.apply_overrides(d.withColumn("target", target("library_id", "attraction_id")), "target", O.effective_overrides(fixes), {"pass_form": "string"})
     d = M.join_dims(d, [(V(spark, sf, "d_library").select("library_id", "network"), "library_id")])
     g = Q.coverage(d, {"offer": F.col("status") == "ok", "digital": F.col("pass_form") == "digital_email", "corrected": F.col("pass_form").contains("-")}, ["network"])

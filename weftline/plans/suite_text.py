@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
 from weftline.functions import benefit, core, eligibility, text, weekly
-from weftline.plans.derived import view
+from weftline.plans.derived import spread, view
 from weftline.plans.registry import query
 
 V = view
@@ -14,7 +14,7 @@ KIND = "CASE kind WHEN 0 THEN 'percent-off' WHEN 1 THEN 'free' WHEN 2 THEN 'doll
 
 
 def offers(spark, sf):
-    d = V(spark, sf, "d_offer").withColumns({"slug": F.when(F.col("n") == 7, "zoo-e-coupon").otherwise("zoo"), "platform": F.when(F.col("d") % 2 == 0, "libcal").otherwise("wizard")})
+    d = spread(spark, sf, "d_offer").withColumns({"slug": F.when(F.col("n") == 7, "zoo-e-coupon").otherwise("zoo"), "platform": F.when(F.col("d") % 2 == 0, "libcal").otherwise("wizard")})
     return benefit.extract_coupon(d, "body", "slug", "platform")
 
 
@@ -29,7 +29,7 @@ def offer_extraction(spark, sf):
     CASE WHEN kind IN (0, 1, 10) THEN n WHEN kind = 8 THEN 1 END AS cnt, CASE WHEN kind = 7 THEN 18 END AS age_min, body AS phrase FROM {{d_offer}} o WHERE kind NOT IN (6, 11)
     UNION ALL SELECT p_partkey, 'children', 'per-person-price', CAST(d AS DOUBLE), NULL, NULL, body FROM {{d_offer}} o WHERE kind = 7""")
 def offer_policies(spark, sf):
-    d = offers(spark, sf).select("p_partkey", F.explode("offer.audience_policies").alias("p"))
+    d = benefit.policy_rows(offers(spark, sf), ["p_partkey"])
     return d.select("p_partkey", "p.audience", "p.form", "p.value", F.col("p.count").alias("cnt"), F.col("p.age_range.min").alias("age_min"), F.col("p.source_phrase").alias("phrase"))
 
 
@@ -44,18 +44,18 @@ def offer_mix(spark, sf):
 
 @query("offer_capacity", "SELECT p_partkey, CASE WHEN kind IN (0, 1, 10) THEN 'people' WHEN kind = 8 THEN 'vehicle' ELSE 'unspecified' END AS kind, CASE WHEN kind IN (0, 1, 10) THEN n WHEN kind = 8 THEN 1 END AS n FROM {d_offer} o")
 def offer_capacity(spark, sf):
-    return V(spark, sf, "d_offer").withColumn("c", benefit.extract_capacity(benefit.clean_benefit("body"))).select("p_partkey", "c.kind", "c.n")
+    return spread(spark, sf, "d_offer").withColumn("c", benefit.extract_capacity(benefit.clean_benefit("body"))).select("p_partkey", "c.kind", "c.n")
 
 
 @query("negative_price_context", "SELECT p_partkey, CASE WHEN kind = 3 THEN concat('Visitors pay $', d, ' per person with this pass.') ELSE body END AS rest FROM {d_offer} o")
 def negative_price_context(spark, sf):
     rest = core.swap(core.squeeze(benefit.without_negative_prices("body")), r"\s*\.\s*\.?$", ".")
-    return V(spark, sf, "d_offer").select("p_partkey", F.when(F.col("kind") == 3, F.regexp_replace(rest, r"\. \.$", ".")).otherwise(F.col("body")).alias("rest"))
+    return spread(spark, sf, "d_offer").select("p_partkey", F.when(F.col("kind") == 3, F.regexp_replace(rest, r"\. \.$", ".")).otherwise(F.col("body")).alias("rest"))
 
 
 @query("source_text_window", "SELECT p_partkey, CASE WHEN kind % 2 = 0 THEN concat(\"left\"(body, 20), ' & more') ELSE body END AS src, length(body) AS size FROM (SELECT p_partkey, kind, body FROM {d_offer} o)")
 def source_text_window(spark, sf):
-    d = V(spark, sf, "d_offer").withColumn("phrases", F.when(F.col("kind") % 2 == 0, F.array(F.concat(F.lit("  "), F.left("body", F.lit(20))), F.lit(""), F.lit("&amp;  more"))).otherwise(F.array().cast("array<string>")))
+    d = spread(spark, sf, "d_offer").withColumn("phrases", F.when(F.col("kind") % 2 == 0, F.array(F.concat(F.lit("  "), F.left("body", F.lit(20))), F.lit(""), F.lit("&amp;  more"))).otherwise(F.array().cast("array<string>")))
     src = benefit.joined_source("phrases", "body")
     return d.select("p_partkey", F.when(F.col("kind") % 2 == 0, F.concat(F.left("body", F.lit(20)), F.substring(src, F.length(core.squeeze(F.left("body", F.lit(20)))) + 1, F.lit(100)))).otherwise(src).alias("src"), F.length("body").alias("size"))
 
@@ -63,13 +63,13 @@ def source_text_window(spark, sf):
 @query("stated_restrictions", """SELECT p_partkey, CASE WHEN kind = 0 THEN month_no END AS month, CASE WHEN kind < 4 THEN kind = 0 END AS weekdays_only, CASE WHEN kind < 4 THEN kind = 1 END AS advance, CASE WHEN kind = 2 THEN 'One booking per month' END AS frequency,
     CASE WHEN kind = 3 THEN concat('A late fee of $', d, ' applies') END AS penalty FROM {d_rule} r""")
 def stated_restrictions(spark, sf):
-    d = V(spark, sf, "d_rule").withColumn("r", benefit.extract_restrictions("body"))
+    d = spread(spark, sf, "d_rule").withColumn("r", benefit.extract_restrictions("body"))
     return d.select("p_partkey", F.get("r.blackout", F.lit(0))["month"].alias("month"), "r.weekdays_only", F.col("r.advance_booking_required").alias("advance"), F.col("r.booking_frequency_limit").alias("frequency"), F.col("r.late_return_penalty").alias("penalty"))
 
 
 @query("stated_residency", "SELECT p_partkey, CASE kind WHEN 4 THEN 'town' WHEN 5 THEN 'ma' END AS scope, CASE WHEN kind IN (4, 5) THEN body END AS evidence FROM {d_rule} r")
 def stated_residency(spark, sf):
-    d = V(spark, sf, "d_rule").withColumn("r", benefit.extract_residency_restriction("body"))
+    d = spread(spark, sf, "d_rule").withColumn("r", benefit.extract_residency_restriction("body"))
     return d.select("p_partkey", "r.scope", "r.evidence")
 
 
@@ -79,7 +79,7 @@ def residents_only_text(spark, sf):
     k = F.col("p_partkey") % 4
     body = (F.when(k == 0, F.concat(F.lit("This pass is for Town"), F.col("p_size").cast("string"), F.lit(" residents only."))).when(k == 1, "Open to MA residents only.")
             .when(k == 2, "Shown for adult residents only; use is limited to Salem residents.").otherwise("Open to all."))
-    return V(spark, sf, "part").withColumn("r", benefit.residency_from_block(body)).select("p_partkey", "r.scope", "r.evidence")
+    return spread(spark, sf, "part").withColumn("r", benefit.residency_from_block(body)).select("p_partkey", "r.scope", "r.evidence")
 
 
 @query("delivery_form", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'digital_email' WHEN 1 THEN 'physical_circ' WHEN 2 THEN 'physical_coupon' WHEN 3 THEN 'digital_email' END AS form FROM {part}")
@@ -87,18 +87,18 @@ def delivery_form(spark, sf):
     k = F.col("p_partkey") % 5
     body = (F.when(k == 0, "This E-VOUCHER   needs no visit.").when(k == 1, "Physical pass. It must be   returned by 8pm.").when(k == 2, "Disposable pass, keep it.")
             .when(k == 3, "There is nothing to pick up; no paper pass must be returned.").otherwise("Ask at the desk."))
-    return V(spark, sf, "part").select("p_partkey", benefit.delivery_form(body).alias("form"))
+    return spread(spark, sf, "part").select("p_partkey", benefit.delivery_form(body).alias("form"))
 
 
 @query("short_offer_label", f"""SELECT p_partkey, CASE kind WHEN 0 THEN concat(pct, '% off') WHEN 1 THEN 'Free' WHEN 2 THEN concat('$', d, ' off') WHEN 3 THEN concat('$', d) WHEN 5 THEN 'Discount' WHEN 8 THEN 'Free' WHEN 9 THEN 'Free' WHEN 10 THEN '50% off' ELSE '' END AS label,
     CASE kind WHEN 0 THEN CASE WHEN pct = 50 THEN 'half' ELSE 'percent-off' END WHEN 1 THEN 'free' WHEN 2 THEN 'dollar-off' WHEN 3 THEN 'price' WHEN 5 THEN 'discount' WHEN 8 THEN 'free' WHEN 9 THEN 'free' WHEN 10 THEN 'half' ELSE 'unknown' END AS label_class FROM {{d_offer}} o""")
 def short_offer_label(spark, sf):
-    return V(spark, sf, "d_offer").withColumn("l", benefit.normalize_benefit("body")).select("p_partkey", "l.label", "l.label_class")
+    return spread(spark, sf, "d_offer").withColumn("l", benefit.normalize_benefit("body")).select("p_partkey", "l.label", "l.label_class")
 
 
 @query("offer_form_class", "SELECT p_partkey, CASE kind WHEN 0 THEN 'percent-off' WHEN 2 THEN 'dollar-off' WHEN 3 THEN 'per-person-price' WHEN 4 THEN 'bogo' ELSE 'discount' END AS form FROM {d_offer} o")
 def offer_form_class(spark, sf):
-    return V(spark, sf, "d_offer").select("p_partkey", benefit.classify_coupon_form("body").alias("form"))
+    return spread(spark, sf, "d_offer").select("p_partkey", benefit.classify_coupon_form("body").alias("form"))
 
 
 @query("pass_type_classes", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'physical-circ' WHEN 1 THEN 'physical-coupon' WHEN 2 THEN 'digital' WHEN 3 THEN 'digital' WHEN 4 THEN 'physical-circ' ELSE 'unknown' END AS by_detail,
@@ -110,7 +110,7 @@ def pass_type_classes(spark, sf):
     title = F.concat(F.col("p_name"), F.when(k.isin(0, 1), " (Physical Pass)").when(k == 2, " (e-coupon)").otherwise(""))
     body = (F.when(k.isin(0, 4), "Passes must be returned on time.").when(k == 1, "A disposable ticket.").when(k == 3, "Electronic pass, downloadable via email.").otherwise("Enjoy."))
     kind = F.expr("CASE p_size % 4 WHEN 0 THEN 'Circulating Pass (7 days)' WHEN 1 THEN 'Coupon Pass (must be picked up at the desk)' WHEN 2 THEN 'Printable/Digital Coupon Pass' ELSE 'Other' END")
-    d = V(spark, sf, "part").withColumn("t", benefit.pass_type_from_detail(title, body)).withColumn("b", benefit.pass_type_from_body(body))
+    d = spread(spark, sf, "part").withColumn("t", benefit.pass_type_from_detail(title, body)).withColumn("b", benefit.pass_type_from_body(body))
     return d.select("p_partkey", F.col("t.pass_type").alias("by_detail"), F.col("t.raw").alias("raw"), F.col("b.pass_type").alias("by_body"), benefit.classify_pass_type_text(kind).alias("by_text"))
 
 
@@ -120,7 +120,7 @@ CARD = "CASE p_partkey % 7 WHEN 0 THEN concat('Any Massachusetts resident may ap
 @query("card_eligibility", f"""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'ma_resident' WHEN 1 THEN 'town_or_works' WHEN 2 THEN 'town_resident' WHEN 3 THEN 'network' WHEN 4 THEN 'ma_resident' ELSE 'unknown' END AS eligibility,
     CASE WHEN p_partkey % 7 < 5 THEN {CARD.replace('{k}', 'p_size')} END AS phrase FROM {{part}}""")
 def card_eligibility(spark, sf):
-    d = V(spark, sf, "part").withColumn("body", F.expr(CARD.replace("{k}", "CAST(p_size AS STRING)").replace("don''t", "don\\'t")))
+    d = spread(spark, sf, "part").withColumn("body", F.expr(CARD.replace("{k}", "CAST(p_size AS STRING)").replace("don''t", "don\\'t")))
     return d.select("p_partkey", eligibility.classify_card_eligibility("body").alias("eligibility"), eligibility.eligibility_phrase("body").alias("phrase"))
 
 
@@ -128,7 +128,7 @@ def card_eligibility(spark, sf):
 def pass_pickup_policy(spark, sf):
     body = F.expr("""CASE p_partkey % 6 WHEN 0 THEN 'Non-residents may use walk-in passes.' WHEN 1 THEN 'For Acton library cardholders.' WHEN 2 THEN 'Passes may be borrowed by Massachusetts residents.'
         WHEN 3 THEN 'Reserve a pass: Salem residents only.' WHEN 4 THEN 'Bring a NOBLE card.' ELSE 'Museum X is free to Massachusetts residents on Sunday.' END""")
-    return V(spark, sf, "part").select("p_partkey", eligibility.classify_pass_pickup(body).alias("pickup"))
+    return spread(spark, sf, "part").select("p_partkey", eligibility.classify_pass_pickup(body).alias("pickup"))
 
 
 @query("page_gates", """SELECT page_id, page_id % 5 = 0 AS bad, page_id % 5 IN (1, 2) AS cue FROM {pages}""")
@@ -136,7 +136,7 @@ def page_gates(spark, sf):
     k = F.col("page_id") % 5
     body = F.when(k == 0, "<h1>Page Not Found</h1> residents only").when(k == 1, "<p>Cards: residents only</p>").when(k == 2, "<p>Use your library card from Minuteman</p>").otherwise("<p>Welcome</p>")
     from weftline.functions.html import html_text
-    d = V(spark, sf, "pages").withColumn("h", F.concat(body, F.lit("<!-- "), F.col("url"), F.lit(" -->")))
+    d = spread(spark, sf, "pages").withColumn("h", F.concat(body, F.lit("<!-- "), F.col("url"), F.lit(" -->")))
     return d.select("page_id", text.is_bad_page("h").alias("bad"), eligibility.has_eligibility_cue("h", html_text("h")).alias("cue"))
 
 
@@ -145,7 +145,7 @@ def page_gates(spark, sf):
 def blackout_phrases(spark, sf):
     from weftline.functions import dates
     body = F.concat(F.lit("Closed "), F.date_format("o_orderdate", "MMMM d"), F.when(F.col("o_orderkey") % 2 == 0, " and on Mondays, Sundays.").otherwise("."))
-    d = V(spark, sf, "orders").withColumn("_d", dates.blackout_days(body)).withColumn("_w", dates.blackout_weekdays(body))
+    d = spread(spark, sf, "orders").withColumn("_d", dates.blackout_days(body)).withColumn("_w", dates.blackout_weekdays(body))
     one = F.get("_d", F.lit(0))
     return d.select("o_orderkey", BIG(one["month"]).alias("month"), BIG(one["day"]).alias("day"), F.array_join("_w", ",").alias("weekdays"), dates.is_blackout("_d", "_w", F.to_date("o_orderdate")).alias("hit"))
 
@@ -154,7 +154,7 @@ def blackout_phrases(spark, sf):
 def blackout_test(spark, sf):
     from weftline.functions import dates
     days = F.array(F.struct(F.lit(7).alias("month"), F.lit(4).alias("day")))
-    return V(spark, sf, "orders").select("o_orderkey", dates.is_blackout(days, F.array(F.lit("mondays")), F.to_date("o_orderdate")).alias("blocked"))
+    return spread(spark, sf, "orders").select("o_orderkey", dates.is_blackout(days, F.array(F.lit("mondays")), F.to_date("o_orderdate")).alias("blocked"))
 
 
 @query("address_parts", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN NULL WHEN c_custkey % 3 = 1 THEN concat(c_name, ' Wharf') ELSE concat(c_custkey, ' Main St, Suite 3') END AS street, CASE WHEN c_custkey % 3 = 0 THEN 'Boston' END AS city,
@@ -163,7 +163,7 @@ def address_parts(spark, sf):
     k = F.col("c_custkey") % 3
     key = F.col("c_custkey").cast("string")
     raw = F.when(k == 0, F.concat(key, F.lit(" Main St, Suite 3,  Boston, MA "), F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0"), F.lit("-2104"))).when(k == 1, F.concat("c_name", F.lit(" Wharf"))).otherwise(" MA ")
-    return V(spark, sf, "customer").withColumn("a", text.address_struct(raw)).select("c_custkey", "a.street", "a.city", "a.state", "a.zip")
+    return spread(spark, sf, "customer").withColumn("a", text.address_struct(raw)).select("c_custkey", "a.street", "a.city", "a.state", "a.zip")
 
 
 @query("old_hours_conversion", """SELECT s_suppkey, i, CASE v WHEN '09:00-17:00' THEN '09:00-17:00' WHEN '10:00-17:30' THEN '10:00-17:30' ELSE v END AS v FROM {d_hours} h WHERE s_suppkey IN (SELECT s_suppkey FROM {d_hours} x WHERE v <> 'unknown')""")
@@ -193,7 +193,7 @@ def old_price_unpivot(spark, sf):
     null = F.lit(None).cast("int")
     cols = {f"{a}_{x}": null for a in fx.AGE_AUDIENCES for x in ("price", "min", "max")} | {f"{a}_price": null for a in [*fx.IDENTITY_AUDIENCES, "family"]}
     cols |= {"adult_price": F.when(F.col("p_size") % 2 == 0, F.col("p_size")), "adult_min": F.lit(18), "student_price": F.col("p_size") % 9, "free_under_age": F.col("p_size") % 7}
-    d = V(spark, sf, "part").withColumns(cols).select("p_partkey", old_prices().alias("r"))
+    d = spread(spark, sf, "part").withColumns(cols).select("p_partkey", old_prices().alias("r"))
     return d.select("p_partkey", "r.audience", "r.price", F.col("r.min").alias("min_age"), F.col("r.max").alias("max_age"))
 
 
@@ -201,7 +201,7 @@ def old_price_unpivot(spark, sf):
     concat(c_name, ' , MA'), c_name] AS qs FROM {customer}))""".replace("concat(c_name, ' , MA')", "concat(c_name, ', MA')"))
 def geocode_queries(spark, sf):
     addr = F.concat(F.col("c_custkey").cast("string"), F.lit("-9999 East Street, Suite 12, Boston"))
-    d = V(spark, sf, "customer").select("c_custkey", F.posexplode(text.geocode_queries(F.concat("c_name", F.lit(" (Main)/Annex")), addr, ", MA")).alias("p", "q"))
+    d = spread(spark, sf, "customer").select("c_custkey", F.posexplode(text.geocode_queries(F.concat("c_name", F.lit(" (Main)/Annex")), addr, ", MA")).alias("p", "q"))
     return d.select("c_custkey", BIG(F.col("p") + 1).alias("i"), "q")
 
 
@@ -216,7 +216,7 @@ def library_mentions(spark, sf):
     FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:p|li|div)[^>]*>(.*?)</(?:p|li|div)>', 1), lambda b: trim(regexp_replace(regexp_replace(b, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))), lambda t: length(t) > 20 AND length(t) < 4000) AS ts FROM {pages}))""")
 def policy_text_blocks(spark, sf):
     from weftline.functions.html import policy_text
-    return V(spark, sf, "pages").select("page_id", F.md5(policy_text("html")).alias("digest"))
+    return spread(spark, sf, "pages").select("page_id", F.md5(policy_text("html")).alias("digest"))
 
 
 @query("response_verdicts", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected_resident' WHEN 2 THEN 'format_error' WHEN 3 THEN 'booked_unexpectedly' ELSE 'unknown' END AS wizard,
@@ -227,5 +227,5 @@ def response_verdicts(spark, sf):
     from weftline.functions.html import response_verdict, retry_verdict
     body = F.expr("""CASE o_orderkey % 5 WHEN 0 THEN '<legend> Reserver Information</legend><input name="booking_date"><a href="/ui/byMuseum/">' WHEN 1 THEN 'Invalid library card: it does not appear to be valid.'
         WHEN 2 THEN 'Please check the following: library card is a required field' WHEN 3 THEN 'Your reservation is complete. Confirmation number 7' ELSE 'Residents only, sorry' END""")
-    d = V(spark, sf, "orders").select("o_orderkey", F.concat(body, F.lit(" #"), F.col("o_custkey").cast("string")).alias("b"))
+    d = spread(spark, sf, "orders").select("o_orderkey", F.concat(body, F.lit(" #"), F.col("o_custkey").cast("string")).alias("b"))
     return d.select("o_orderkey", *[response_verdict("b", k).alias(k) for k in ("wizard", "calendar", "login")], retry_verdict("b").alias("retried"))

@@ -62,13 +62,13 @@ def override_records(df: DataFrame, text: str) -> DataFrame:
 
 def scan_overrides(spark: SparkSession, root: str, consolidated: str | None = None) -> DataFrame:
     """Per-field override files (<kind folder>/<id>/<field>.json) with the consolidated {target: record} file winning."""
-    d = spark.read.option("wholetext", True).text(f"{root}/*/*/*.json").withColumn("_kind", path_part(3)) \
+    d = spark.read.text(f"{root}/*/*/*.json", wholetext=True).withColumn("_kind", path_part(3)) \
         .withColumn("id", path_part(2)).withColumn("field", F.regexp_replace(path_part(1), r"\.json$", ""))
     kinds = F.create_map(*[F.lit(x) for kv in OVERRIDE_KINDS.items() for x in kv])
     files = override_records(d.withColumn("kind", F.try_element_at(kinds, F.col("_kind"))).filter(F.col("kind").isNotNull()), "value")
     if consolidated is None:
         return files
-    one = spark.read.option("wholetext", True).text(consolidated).select(F.explode(F.from_json("value", "map<string,string>")).alias("target", "value"))
+    one = spark.read.text(consolidated, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("target", "value"))
     p = F.split("target", ":", 3)
     listed = override_records(one.select(p[0].alias("kind"), p[1].alias("id"), p[2].alias("field"), "value"), "value")
     return effective_overrides(files, listed)
@@ -90,14 +90,14 @@ def explode_map(df: DataFrame, text: str, value_type: str = "string", under: str
 
 
 def scan_map(spark: SparkSession, path: str, value_type: str = "string", under: str | None = None) -> DataFrame:
-    return explode_map(spark.read.option("wholetext", True).text(path), "value", value_type, under)
+    return explode_map(spark.read.text(path, wholetext=True), "value", value_type, under)
 
 
 def scan_tolerant(spark: SparkSession, glob: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good, bad): malformed records are kept aside instead of failing the read."""
-    d = spark.read.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(glob)
-    d = d.withColumn("_file", F.col("_metadata.file_path"))
-    return d.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), d.filter(F.col("_corrupt_record").isNotNull()).select("_file", "_corrupt_record")
+    """(good, bad): malformed records (one per line) are kept aside, with their file, instead of failing the read."""
+    d = spark.read.text(glob).withColumn("_file", F.col("_metadata.file_path"))
+    good, bad = parse_tolerant(d, "value", schema)
+    return good.drop("value"), bad
 
 
 def parse_tolerant(df: DataFrame, text: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +126,7 @@ def scan_locked(spark: SparkSession, glob: str, schema: str) -> DataFrame:
 def scan_pages(spark: SparkSession, glob: str) -> DataFrame:
     """Saved pages <entity>.html / <entity>__<sub>.html -> (entity, page, html, source_url)."""
     from weftline.functions.text import source_marker
-    d = spark.read.option("wholetext", True).text(glob).withColumn("page", F.regexp_replace(path_part(1), r"\.html$", ""))
+    d = spark.read.text(glob, wholetext=True).withColumn("page", F.regexp_replace(path_part(1), r"\.html$", ""))
     return d.select(F.split_part("page", F.lit("__"), F.lit(1)).alias("entity"), "page", F.col("value").alias("html"), source_marker("value").alias("source_url"))
 
 
