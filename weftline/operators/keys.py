@@ -84,16 +84,13 @@ def canonical_key(df: DataFrame, raw: str, aliases: DataFrame, out: str = "canon
                   suffixes: Sequence[str] | None = None) -> DataFrame:
     """Exact alias, else the alias of the suffix-stripped key (only when that resolves), else the key itself.
 
-    The distinct raw keys are resolved first: they are far fewer than the rows, so the alias joins stay small and the
-    rows meet one narrow lookup.
+    ``aliases`` is unique on ``raw``. Two left joins: without a shuffle while the alias table is measured small enough to
+    broadcast, otherwise sort-merge joins whose hot partitions adaptive execution splits.
     """
-    keys = df.select(F.col(raw)).distinct().withColumn("_base", strip_suffix(raw, suffixes))
-    a = aliases.select("raw", "canonical")
-    direct = a.select(F.col("raw").alias(raw), F.col("canonical").alias("_direct"))
-    stripped = a.select(F.col("raw").alias("_base"), F.col("canonical").alias("_stripped"))
-    resolved = keys.join(direct, raw, "left").join(stripped, "_base", "left").select(
-        raw, F.coalesce("_direct", F.when(F.col("_base") != "", F.col("_stripped")), raw).alias(out))
-    return df.join(resolved, raw, "left")
+    direct = aliases.select(F.col("raw").alias(raw), F.col("canonical").alias("_direct"))
+    stripped = aliases.select(F.col("raw").alias("_base"), F.col("canonical").alias("_stripped"))
+    d = df.withColumn("_base", strip_suffix(raw, suffixes)).join(direct, raw, "left").join(stripped, "_base", "left")
+    return d.withColumn(out, F.coalesce("_direct", F.when(F.col("_base") != "", F.col("_stripped")), raw)).drop("_base", "_direct", "_stripped")
 
 
 def resolve_by_platform(df: DataFrame, platform: str, rules: dict[str, Sequence[tuple[str, str]]], maps: DataFrame, out: str = "canonical",

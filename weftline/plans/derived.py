@@ -6,6 +6,7 @@ parameters of every text are columns too, which lets a query's SQL state the exp
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,14 +113,23 @@ VIEWS = {
 _PLACEHOLDER = re.compile(r"\{([a-z]\w*)\}")
 
 
-def expand(sql: str, engine: str, folder: str = "") -> str:
-    """Replace {view} by its subquery and {table} by the engine's way to read it."""
-    def put(m):
-        name = m.group(1)
-        if name in VIEWS:
-            return f"({expand(VIEWS[name], engine, folder)})"
-        return name if engine == "duckdb" else f"parquet.`{folder}/{name}.parquet`"
-    return _PLACEHOLDER.sub(put, sql)
+def expand(sql: str) -> str:
+    """DuckDB form of a text: {view} becomes its subquery, {table} the table's name."""
+    return _PLACEHOLDER.sub(lambda m: f"({expand(VIEWS[m[1]])})" if m[1] in VIEWS else m[1], sql)
+
+
+def _registered(spark: SparkSession, folder: str, name: str) -> str:
+    """Name of the temporary view of a table or derived view; set up once per session and folder, so that files are listed and
+    schemas read once."""
+    alias = f"weft_{hashlib.md5(folder.encode()).hexdigest()[:8]}_{name}"
+    if not spark.catalog.tableExists(alias):
+        df = spark.read.parquet(f"{folder}/{name}.parquet") if name in BASE else spark.sql(spark_sql(spark, folder, VIEWS[name]))
+        df.createOrReplaceTempView(alias)
+    return alias
+
+
+def spark_sql(spark: SparkSession, folder: str, sql: str) -> str:
+    return _PLACEHOLDER.sub(lambda m: _registered(spark, folder, m[1]), sql)
 
 
 def spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -128,6 +138,4 @@ def spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    if name in BASE:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
-    return spark.sql(expand(VIEWS[name], "spark", folder))
+    return spark.table(_registered(spark, folder, name))

@@ -18,6 +18,6 @@ def query(name: str, sql: str | None = None):
             raise KeyError(name)
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = expand(sql, "duckdb")
+            ORACLES[name] = expand(sql)
         return fn
     return register

@@ -8,7 +8,7 @@ from weftline.operators import keys as K
 from weftline.operators import matching, overlay, quality
 from weftline.operators.calendars import expected_verdict
 from weftline.plans import gold
-from weftline.plans.derived import view
+from weftline.plans.derived import spark_sql, view
 from weftline.plans.registry import query
 
 V = view
@@ -324,8 +324,7 @@ AUD_SQL = "CASE aud WHEN 'Everyone' THEN 'Everyone' WHEN 'adult' THEN 'Adult' WH
 
 
 def policy_rows(spark, sf):
-    from weftline.plans.derived import expand
-    d = spark.sql(expand(POLICY_IN, "spark", sf))
+    d = spark.sql(spark_sql(spark, sf, POLICY_IN))
     ages = F.struct(F.col("lo").cast("int").alias("min"), F.col("hi").cast("int").alias("max"))
     one = F.struct(F.col("aud").alias("audience"), F.col("form"), F.col("v").cast("double").alias("value"), F.col("cnt").cast("int").alias("count"), ages.alias("age_range"),
                    F.lit(None).cast("string").alias("source_phrase"))
