@@ -130,3 +130,14 @@ def test_validation_report(spark):
     r = {(x["table"], x["metric"]): (x["n"], x["n_bad"], x["pct"]) for x in gold.validation_report(libs, attrs, d).collect()}
     assert r["libraries", "card_eligibility_unknown"] == (3, 1, 33.3) and r["attractions", "prices_missing"] == (2, 1, 50.0) and r["attractions", "hours_missing"] == (2, 1, 50.0)
     assert r["passes", "coupon_missing"][:2] == (4, 2)
+
+
+def test_archive_enrichment(spark):
+    rec = {"slug": "a", "museum_name": " Art House ", "address": "x", "hero_image": {"og_image_url": "http://i"}, "hours": {"regular_hours": {"mon": "10 AM – 5 PM", "tue": "Closed", "wed": "by chance"}},
+           "original_price": {"age_pricing": {"adult": {"price": 20.0, "min_age": 18}, "child": {"price": None}}, "identity_pricing": {"student": {"price": 5.0}}, "family": {"price": 40.0}, "free_under_age": 6}}
+    import json
+    d = spark.createDataFrame([(json.dumps(rec),)], "j string").select(F.from_json("j", gold.ARCHIVE).alias("r")).select("r.*")
+    r = gold.archive_attractions(d).first()
+    assert r["name"] == "Art House" and r["hero_image"] == "http://i"
+    assert (r["hours"]["monday"], r["hours"]["tuesday"], r["hours"]["wednesday"], r["hours"]["sunday"]) == ("10:00-17:00", "closed", "unknown", "unknown")
+    assert [(p["audience"], p["price"], p["age_min"], p["age_max"]) for p in r["prices"]] == [("adult", 20.0, 18, None), ("student", 5.0, None, None), ("family", 40.0, None, None), ("child", 0.0, 0, 5)]

@@ -123,17 +123,22 @@ def test_day_stream_equals_batch(spark, tmp_path):
         S.stream_days(stream(), f"{tmp_path}/store", f"{tmp_path}/cp", ["p", "day"], "status", "page").awaitTermination()
     everything = spark.createDataFrame([r for p in parts for r in p], cols)
     want = {(r["p"], r["day"], r["status"]) for r in S.overlay_days(everything.limit(0), everything, ["p", "day"], "status", "page").collect()}
-    assert {(r["p"], r["day"], r["status"]) for r in S.read_store(spark, f"{tmp_path}/store").collect()} == want == {("p", "d1", "booked"), ("p", "d2", "booked"), ("q", "d1", "booked")}
+    got = S.read_days(spark, f"{tmp_path}/store", ["p", "day"], "status", "page")
+    assert {(r["p"], r["day"], r["status"]) for r in got.collect()} == want == {("p", "d1", "booked"), ("p", "d2", "booked"), ("q", "d1", "booked")}
+    S.compact(spark, f"{tmp_path}/store", f"{tmp_path}/store2", lambda d: S.reduce_days(d, ["p", "day"], "status", "page"))
+    again = S.read_days(spark, f"{tmp_path}/store2", ["p", "day"], "status", "page")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect())) and S.read_log(spark, f"{tmp_path}/store2").count() == 3
 
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
-    sink = S.versioned_sink(f"{tmp_path}/s", lambda old, new: S.keep_latest(new if old is None else old.unionByName(new), ["k"], ["seq"]))
+    sink = S.log_sink(f"{tmp_path}/s", lambda d: S.keep_latest(d, ["k"], ["seq"]))
+    state = lambda: sorted(map(tuple, S.keep_latest(S.read_log(spark, f"{tmp_path}/s"), ["k"], ["seq"]).collect()))
     a = spark.createDataFrame([("x", 1, "a"), ("y", 1, "b")], "k string, seq int, v string")
     b = spark.createDataFrame([("x", 2, "c")], "k string, seq int, v string")
     sink(a, 0), sink(b, 1)
-    first = sorted(map(tuple, S.read_store(spark, f"{tmp_path}/s").drop("version").collect()))
+    first = state()
     sink(b, 1)
-    assert sorted(map(tuple, S.read_store(spark, f"{tmp_path}/s").drop("version").collect())) == first == [("x", 2, "c"), ("y", 1, "b")]
+    assert state() == first == [("x", 2, "c"), ("y", 1, "b")]
 
 
 def test_override_stream_keeps_tombstones(spark, tmp_path):
@@ -142,7 +147,7 @@ def test_override_stream_keeps_tombstones(spark, tmp_path):
         spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     s = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     S.stream_upsert(s, f"{tmp_path}/store", f"{tmp_path}/cp", ["target"], ["seq"]).awaitTermination()
-    live = S.read_store(spark, f"{tmp_path}/store").filter("op <> 'revoke'")
+    live = S.read_overrides(spark, f"{tmp_path}/store", ["target"], ["seq"])
     assert [(r["target"], r["value"]) for r in live.collect()] == [("t2", "c")]
     batch = S.override_log(spark.read.schema(cols).parquet(f"{tmp_path}/in"), ["target"], ["seq"])
     assert [(r["target"], r["value"]) for r in batch.collect()] == [("t2", "c")]

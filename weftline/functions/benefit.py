@@ -249,7 +249,7 @@ def _offer_struct(v: Column) -> Column:
                 .when((r == "percent-off") & n["child"].isNotNull(), F.array(main, child))
                 .when(ok, F.array(main)))
     first = F.get(F.split(F.trim(b["all"]), r"(?<=[.!?])(?U:\s+)", 2), F.lit(0))
-    parking = (b["platform"] == "libcal") & has(first, r"\bparking\b")
+    parking = (b["platform"] == fx.CALENDAR_PLATFORM) & has(first, r"\bparking\b")
     money = lambda c: F.concat(F.lit("$"), fmt_num(c))
     summary = (F.when(r == "bogo", "BOGO").when((r == "free") & parking, "FREE parking").when(r == "free", "FREE")
                .when(r == "adult-child", F.concat(money(n["adult"]), F.lit("/person")))

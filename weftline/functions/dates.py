@@ -75,16 +75,16 @@ def by_date_page(base, key, day) -> Column:
 def deep_link(url, day) -> Column:
     """Booking link for one day; which form applies depends on the host and path."""
     u = F.coalesce(col(url), F.lit(""))
-    key = grab(u, r"/museum-passes/by-museum/([^/]+)/", 1, "")
+    key = grab(u, fx.WIZARD_PASS_PATH, 1, "")
     base = F.split_part(u, F.lit("/museum-passes/"), F.lit(1))
-    wizard = F.when(u.contains("assabetinteractive.com") & key.isNotNull(), by_date_page(base, key, day))
+    wizard = F.when(u.contains(fx.WIZARD_HOST) & key.isNotNull(), by_date_page(base, key, day))
     joiner = F.when(u.contains("?"), F.lit("&")).otherwise(F.lit("?"))
-    calendar = F.when(u.contains("libcal.com"), F.concat(u, joiner, F.lit("date="), col(day).cast("string")))
+    calendar = F.when(u.contains(fx.CALENDAR_HOST), F.concat(u, joiner, F.lit("date="), col(day).cast("string")))
     return F.when((F.length(u) == 0) | col(day).isNull(), u).otherwise(F.coalesce(wizard, calendar, u))
 
 
 def calendar_fragment_url(subdomain, pass_id, day) -> Column:
-    return F.concat(F.lit("https://"), col(subdomain), F.lit(".libcal.com/pass/availability/institution?museum="),
+    return F.concat(F.lit("https://"), col(subdomain), F.lit(f".{fx.CALENDAR_HOST}/pass/availability/institution?museum="),
                     col(pass_id), F.lit("&date="), col(day).cast("string"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
-from weftline.functions.core import col, contains_any, grab, grab_all, has, squeeze, swap
+from weftline.functions.core import col, contains_any, grab, grab_all, has, let, squeeze, swap
 from weftline.functions.text import unescape
 
 
@@ -90,20 +90,20 @@ def _navigable(href) -> Column:
     return href.rlike(r"^(https?://|/)")
 
 
-def booking_href(c) -> Column:
-    """First link to a known ticketing host, or a navigable link with a ticketing path."""
-    def usable(a):
+def visit_links(c) -> Column:
+    """STRUCT<booking_url,pass_holder_url> from one reading of the page's links.
+
+    Booking: first link to a known ticketing host, or a navigable link with a ticketing path. Pass holders: first navigable
+    link whose path or visible text speaks of library passes / pass holders.
+    """
+    def booking(a):
         low = F.lower(a["href"])
         return contains_any(low, fx.BOOKING_HOSTS) | (contains_any(low, fx.BOOKING_PATHS) & _navigable(a["href"]))
-    return F.get(F.filter(anchors(c), usable), F.lit(0))["href"]
-
-
-def pass_holder_href(c) -> Column:
-    """First navigable link whose path or visible text speaks of library passes / pass holders."""
-    def usable(a):
+    def pass_holder(a):
         visible = squeeze(F.regexp_replace(a["inner"], fx.TAG, " "))
         return (has(a["href"], fx.PASS_HOLDER_PATH, "i") | has(visible, fx.PASS_HOLDER_TEXT)) & _navigable(a["href"])
-    return F.get(F.filter(anchors(c), usable), F.lit(0))["href"]
+    first = lambda links, test: F.get(F.filter(links, test), F.lit(0))["href"]
+    return let(anchors(c), lambda links: F.struct(first(links, booking).alias("booking_url"), first(links, pass_holder).alias("pass_holder_url")))
 
 
 def link_score(text, path) -> Column:

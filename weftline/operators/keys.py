@@ -33,12 +33,14 @@ def ranked_top(df: DataFrame, by: Sequence[str], order: Sequence, k: int, out: s
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
-def salted_lookup(facts: DataFrame, dim: DataFrame, on: Sequence[str], salts: int, how: str = "left") -> DataFrame:
+def salted_lookup(facts: DataFrame, dim: DataFrame, on: Sequence[str], salts: int, how: str = "left", row_key: Sequence[str] | None = None) -> DataFrame:
     """Lookup join with every fact key spread over ``salts`` partitions and the (unique) dim side repeated per salt.
 
-    For clusters without runtime skew handling; with adaptive execution the plain join splits hot partitions itself.
+    For clusters without runtime skew handling; with adaptive execution the plain join splits hot partitions itself. The salt is
+    a hash of the row (``row_key`` or all columns), not a random number: a task that is run again after an executor loss deals
+    every row to the same partition. Give a ``row_key`` that tells copies apart where many rows are equal.
     """
-    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in facts.columns]), F.lit(salts)).cast("int"))
+    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*(row_key or facts.columns)), F.lit(salts)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 

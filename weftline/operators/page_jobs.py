@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
 from weftline.functions.core import bind, code_map, col, find_all, grab, has, let, map_codes, match_window, rx, squeeze
-from weftline.functions.html import absolute, anchors, booking_href, html_paragraphs, html_text, link_score, pass_holder_href
+from weftline.functions.html import absolute, anchors, html_paragraphs, html_text, link_score, visit_links
 from weftline.functions.text import source_marker
 from weftline.functions.weekly import clock_span
 from weftline.operators.keys import ranked_top
@@ -161,7 +161,7 @@ def extract_reservation(df: DataFrame, entity: str, order: str, html: str) -> Da
     """Reservation policy per entity: a timed-entry cue on any page beats a walk-in cue; links from the first page that has one."""
     d = df.withColumn("_t", html_text(html))
     d = d.select(entity, order, match_window("_t", fx.TIMED_ENTRY, 80, 80).alias("_timed"), match_window("_t", fx.WALK_IN_WELCOME, 80, 80).alias("_walk"),
-                 booking_href(html).alias("_book"), pass_holder_href(html).alias("_pass"))
+                 visit_links(html).alias("_l")).select(entity, order, "_timed", "_walk", F.col("_l.booking_url").alias("_book"), F.col("_l.pass_holder_url").alias("_pass"))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
     g = d.groupBy(entity).agg(*[first(c) for c in ("_timed", "_walk", "_book", "_pass")])
     timed, walk = F.col("_timed").isNotNull(), F.col("_walk").isNotNull()

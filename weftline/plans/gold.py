@@ -15,6 +15,7 @@ from weftline.functions import benefit, weekly
 from weftline.functions.core import cascade, first_truthy, map_codes, text_or_null
 from weftline.functions.dates import restrictions_struct
 from weftline.functions.labels import canonical_labels
+from weftline.functions.prices import old_price_rows
 from weftline.functions.text import address_struct, clean_title, humanize, last_segment, tighten
 from weftline.operators import keys as K
 from weftline.operators import overlay, quality
@@ -29,7 +30,7 @@ PASS_FIELDS = {"pass_form": "string", "source_url": "string", "requires_own_card
 
 def pass_form(block_text, catalog_text, platform, pass_type, old_form) -> Column:
     """Five signals, strongest first: offer text, catalog text (calendar platform only), index code, old extraction, default."""
-    text = F.when(F.col(platform) == "libcal", benefit.delivery_form(catalog_text))
+    text = F.when(F.col(platform) == fx.CALENDAR_PLATFORM, benefit.delivery_form(catalog_text))
     return cascade(benefit.delivery_form(block_text), text, map_codes(pass_type, fx.PASS_TYPE_TO_FORM), old_form, F.lit("physical_coupon"))
 
 
@@ -100,6 +101,32 @@ def coverage_gaps(passes: DataFrame, auth: DataFrame) -> DataFrame:
     return quality.silent_drops(passes, "coupon", auth, [["library_id", "attraction_slug"], ["library_id", "attraction_rawslug"]], ["library_id", "slug"])
 
 
+ARCHIVE = ("slug string, museum_name string, website string, phone string, address string, description string, categories array<string>, "
+           "hero_image struct<og_image_url:string>, hours struct<regular_hours:map<string,string>>, original_price struct<"
+           "age_pricing:map<string,struct<price:double,min_age:int,max_age:int>>,identity_pricing:map<string,struct<price:double>>,"
+           "family:struct<price:double>,free_under_age:int>")
+
+
+def archive_attractions(archive: DataFrame) -> DataFrame:
+    """Archive records (schema ARCHIVE) -> enrichment rows: name, price rows, weekly hours and hero URL in the current shapes."""
+    tiers = F.col("original_price")
+    def field(name: str) -> Column:
+        if name == "free_under_age":
+            return tiers["free_under_age"]
+        tier, part = name.rsplit("_", 1)
+        if tier == "family":
+            return tiers["family"]["price"]
+        if tier in fx.IDENTITY_AUDIENCES:
+            return F.try_element_at(tiers["identity_pricing"], F.lit(tier))["price"]
+        return F.try_element_at(tiers["age_pricing"], F.lit(tier))[{"price": "price", "min": "min_age", "max": "max_age"}[part]]
+    none = F.lit(None).cast("string")
+    rows = F.transform(old_price_rows(field), lambda p: F.struct(
+        p["audience"].alias("audience"), p["price"].alias("price"), none.alias("source_block"), none.alias("source_url"), p["min"].alias("age_min"),
+        p["max"].alias("age_max"), p["phrase"].alias("source_phrase")))
+    return archive.select("slug", text_or_null(F.trim("museum_name")).alias("name"), "website", "phone", "address", "description", "categories",
+                          text_or_null(F.col("hero_image.og_image_url")).alias("hero_image"), rows.alias("prices"), weekly.convert_hours(F.col("hours.regular_hours")).alias("hours"))
+
+
 def build_libraries(seeds: DataFrame, zips: DataFrame, archive: DataFrame, policies: DataFrame, overrides: DataFrame, evidence: DataFrame,
                     fields: Mapping[str, str] | None = None) -> DataFrame:
     """Library rows from seeds(id, name, town, network, platform, card_page, card_issuance_groups, card_auth_groups, address, geo),

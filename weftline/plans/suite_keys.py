@@ -89,7 +89,7 @@ def prioritized_lookup(spark, sf):
 def salted_lookup(spark, sf):
     dim = V(spark, sf, "d_library").select(F.col("library_id").alias("l_suppkey"), "network")
     facts = V(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    return K.lookup(facts, dim, ["l_suppkey"], ["network"], salts=16).groupBy("network").agg(F.count("*").alias("n"), BIG(F.sum("l_quantity")).alias("qty"))
+    return K.salted_lookup(facts, dim, ["l_suppkey"], 16, row_key=["l_orderkey", "l_linenumber", "l_suppkey"]).groupBy("network").agg(F.count("*").alias("n"), BIG(F.sum("l_quantity")).alias("qty"))
 
 
 @query("keyed_lookup", """SELECT p.library_id, count(*) AS n, count(a.verdict) AS n_found FROM {d_pass} p

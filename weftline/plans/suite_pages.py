@@ -87,9 +87,9 @@ def evidence_rows(spark, sf):
     return e.groupBy("lang").agg(F.count("*").alias("pages"), F.count_distinct("source_url").alias("n"))
 
 
-@query("evidence_manifest", "SELECT s_suppkey, (SELECT count(*) FROM {pages} WHERE page_id = s_suppkey * 3) AS pages_inspected FROM {supplier}")
+@query("evidence_manifest", "SELECT s_suppkey, (SELECT count(*) FROM {pages} WHERE page_id = s_suppkey AND url LIKE 'https:%') AS pages_inspected FROM {supplier}")
 def evidence_manifest(spark, sf):
-    pages = spread(spark, sf, "pages").filter("page_id % 3 = 0").select((F.col("page_id") / 3).cast("bigint").alias("s_suppkey"))
+    pages = spread(spark, sf, "pages").filter("url LIKE 'https:%'").select(F.col("page_id").alias("s_suppkey"))
     return J.evidence_manifest(V(spark, sf, "supplier").select("s_suppkey"), pages, "s_suppkey")
 
 
@@ -128,11 +128,11 @@ def keyed_by_file_name(spark, sf):
     return spread(spark, sf, "orders").groupBy(F.regexp_extract(path, r"([^/]+)__([^/]+)\.json$", 1).alias("library_id")).agg(F.count("*").alias("n"))
 
 
-@query("rebuild_from_raw", "SELECT count(*) FILTER (page_id % 4 > 0) AS rebuilt, count(*) FILTER (page_id % 4 = 0) AS skipped FROM {pages}")
+@query("rebuild_from_raw", "SELECT count(*) FILTER (url IN (SELECT url FROM {pages} WHERE url LIKE 'https:%')) AS rebuilt, count(*) FILTER (url NOT LIKE 'https:%') AS skipped FROM {pages}")
 def rebuild_from_raw(spark, sf):
     p = spread(spark, sf, "pages")
-    raw = p.filter("page_id % 4 > 0").select(text.url_key("url").alias("k"), "page_id").dropDuplicates(["page_id"]).select("k")
-    done, skipped = P.rebuild_rows(p.select("page_id", "url"), "url", raw.distinct(), "k")
+    raw = p.filter("url LIKE 'https:%'").select(text.url_key("url").alias("k")).distinct()
+    done, skipped = P.rebuild_rows(p.select("page_id", "url"), "url", raw, "k")
     one = done.select(F.lit(1).alias("r")).unionByName(skipped.select(F.lit(0).alias("r")))
     return one.agg(BIG(F.sum("r")).alias("rebuilt"), BIG(F.sum(1 - F.col("r"))).alias("skipped"))
 

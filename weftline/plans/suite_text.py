@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
-from weftline.functions import benefit, core, eligibility, text, weekly
+from weftline.functions import benefit, core, eligibility, prices, text, weekly
 from weftline.plans.derived import spread, view
 from weftline.plans.registry import query
 
@@ -175,25 +175,13 @@ def old_hours_conversion(spark, sf):
     return d.select("s_suppkey", F.posexplode(F.array(*[F.element_at("h", F.lit(w)) for w in fx.WEEK])).alias("i", "v"))
 
 
-def old_prices():
-    """(audience, price, age min, age max, phrase) rows of one wide old price record."""
-    note = F.lit(fx.OLD_PRICE_NOTE)
-    none = F.lit(None).cast("int")
-    row = lambda a, p, lo=none, hi=none, ph=note: F.when(p.isNotNull(), F.struct(F.lit(a).alias("audience"), p.cast("double").alias("price"), lo.alias("min"), hi.alias("max"), ph.alias("phrase")))
-    ages = [row(a, F.col(f"{a}_price"), F.col(f"{a}_min"), F.col(f"{a}_max")) for a in fx.AGE_AUDIENCES]
-    who = [row(a, F.col(f"{a}_price")) for a in [*fx.IDENTITY_AUDIENCES, "family"]]
-    under = F.col("free_under_age")
-    free = F.when(under > 0, F.struct(F.lit("child").alias("audience"), F.lit(0.0).alias("price"), F.lit(0).alias("min"), (under - 1).alias("max"), F.concat(F.lit("free under age "), under.cast("string"), F.lit(" ("), note, F.lit(")")).alias("phrase")))
-    return F.explode(F.array_compact(F.array(*ages, *who, free)))
-
-
 @query("old_price_unpivot", """SELECT p_partkey, audience, price, min_age, max_age FROM (SELECT p_partkey, 'adult' AS audience, CAST(p_size AS DOUBLE) AS price, 18 AS min_age, NULL AS max_age FROM {part} WHERE p_size % 2 = 0
     UNION ALL SELECT p_partkey, 'student', CAST(p_size % 9 AS DOUBLE), NULL, NULL FROM {part} UNION ALL SELECT p_partkey, 'child', 0.0, 0, p_size % 7 - 1 FROM {part} WHERE p_size % 7 > 0)""")
 def old_price_unpivot(spark, sf):
     null = F.lit(None).cast("int")
     cols = {f"{a}_{x}": null for a in fx.AGE_AUDIENCES for x in ("price", "min", "max")} | {f"{a}_price": null for a in [*fx.IDENTITY_AUDIENCES, "family"]}
     cols |= {"adult_price": F.when(F.col("p_size") % 2 == 0, F.col("p_size")), "adult_min": F.lit(18), "student_price": F.col("p_size") % 9, "free_under_age": F.col("p_size") % 7}
-    d = spread(spark, sf, "part").withColumns(cols).select("p_partkey", old_prices().alias("r"))
+    d = spread(spark, sf, "part").withColumns(cols).select("p_partkey", F.explode(prices.old_price_rows(F.col)).alias("r"))
     return d.select("p_partkey", "r.audience", "r.price", F.col("r.min").alias("min_age"), F.col("r.max").alias("max_age"))
 
 

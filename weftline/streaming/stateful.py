@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.calendars import merge_days
@@ -27,49 +26,51 @@ def overlay_days(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], st
     return merge_days(stored.unionByName(incoming), keys, status, order)
 
 
-def _version(spark, root: str, below: int | None = None):
-    """Newest stored version (older than ``below``), NULL-safe for a store that does not exist yet."""
-    try:
-        store = spark.read.parquet(root)
-    except AnalysisException:
-        return None
-    if below is not None:
-        store = store.filter(F.col("version") < below)
-    newest = store.agg(F.max("version")).first()[0]
-    return None if newest is None else spark.read.parquet(f"{root}/version={newest}")
+def log_sink(root: str, reduce: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer: the reduced batch goes to its own folder ``batch=<id>`` of an append-only log.
 
-
-def versioned_sink(root: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: version <batch id> = merge(newest older version, batch).
-
-    A replayed batch starts from the same older version and overwrites its own folder, so the result is the same.
+    Work per batch follows the batch, not the store. A replayed batch overwrites its own folder, so nothing is counted twice.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge(_version(batch.sparkSession, root, batch_id), batch).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        reduce(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
     return write
 
 
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(root).drop("batch")
+
+
+def _start(stream: DataFrame, root: str, checkpoint: str, reduce: Callable[[DataFrame], DataFrame]):
+    return stream.writeStream.foreachBatch(log_sink(root, reduce)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reduce_days(df: DataFrame, keys: Sequence[str], status: str, order: str) -> DataFrame:
+    """Strongest statement per (keys) with its order column, so that reduced batches can be reduced again."""
+    rank = F.struct(F.col(status) != "closed", F.col(order), F.col(status))
+    return df.groupBy(*keys).agg(F.max_by(F.struct(status, order), rank).alias("_r")).select(*keys, f"_r.{status}", f"_r.{order}")
+
+
 def stream_days(stream: DataFrame, root: str, checkpoint: str, keys: Sequence[str], status: str, order: str):
-    """Latest availability per (keys) kept as a versioned table."""
-    def merge(stored, batch):
-        both = batch if stored is None else stored.unionByName(batch)
-        rank = F.struct(F.col(status) != "closed", F.col(order), F.col(status))
-        return both.groupBy(*keys).agg(F.max_by(F.struct(status, order), rank).alias("_r")).select(*keys, f"_r.{status}", f"_r.{order}")
-    return stream.writeStream.foreachBatch(versioned_sink(root, merge)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Availability statements -> log; ``read_days`` gives the latest status per (keys)."""
+    return _start(stream, root, checkpoint, lambda b: reduce_days(b, keys, status, order))
+
+
+def read_days(spark: SparkSession, root: str, keys: Sequence[str], status: str, order: str) -> DataFrame:
+    return reduce_days(read_log(spark, root), keys, status, order)
 
 
 def stream_upsert(stream: DataFrame, root: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]):
-    """Override log kept as last operation per target; revoked targets stay as tombstones so that late records cannot revive them."""
-    def merge(stored, batch):
-        return keep_latest(batch if stored is None else stored.unionByName(batch), keys, order)
-    return stream.writeStream.foreachBatch(versioned_sink(root, merge)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Override operations -> log, last operation per target and batch; revokes are kept, so a late upsert cannot revive a target."""
+    return _start(stream, root, checkpoint, lambda b: keep_latest(b, keys, order))
+
+
+def read_overrides(spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str], op: str = "op") -> DataFrame:
+    return override_log(read_log(spark, root), keys, order, op)
 
 
-def read_store(spark, root: str) -> DataFrame:
-    df = _version(spark, root)
-    if df is None:
-        raise FileNotFoundError(root)
-    return df
+def compact(spark: SparkSession, root: str, target: str, reduce: Callable[[DataFrame], DataFrame]) -> None:
+    """Write the reduced log as batch -1 of a new log; later batches are added next to it."""
+    reduce(read_log(spark, root)).write.mode("errorifexists").parquet(f"{target}/batch=-1")
 
 
 def fresh(cache: DataFrame, ttl_seconds: int, now: Column) -> DataFrame:
