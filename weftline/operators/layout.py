@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def with_value(df: DataFrame, **values: Column) -> DataFrame:
+    """Append costly columns behind an outer explode of one element, which later filters on them cannot be pushed through.
+
+    A plain ``withColumn`` followed by ``filter`` makes the optimizer compute the expression twice: in the filter and in the projection.
+    """
+    row = F.struct(*[v.alias(n) for n, v in values.items()])
+    return df.select("*", F.explode_outer(F.array(row)).alias("_row")).select(*df.columns, *[F.col(f"_row.{n}").alias(n) for n in values])
 
 
 def spread_scan(df: DataFrame) -> DataFrame:

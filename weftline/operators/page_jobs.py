@@ -17,6 +17,7 @@ from weftline.functions.html import absolute, anchors, html_paragraphs, html_tex
 from weftline.functions.text import source_marker
 from weftline.functions.weekly import clock_span
 from weftline.operators.keys import ranked_top
+from weftline.operators.layout import with_value
 
 
 def page_order(name) -> Column:
@@ -71,7 +72,7 @@ def extract_prices(df: DataFrame, entity: str, order: str, html: str) -> DataFra
     bound = F.coalesce(*[F.when(has(after, p), F.lit(label)) for label, p in fx.PRICE_AUDIENCES])
     label = F.when(has(lead, fx.TIER_KEEP), F.lit("adult")).otherwise(F.coalesce(bound, _nearest_audience(F.col("_ctx"), F.length("pre"))))
     ages = F.struct(grab("_ctx", fx.PAREN_AGE_RANGE, 1).cast("int").alias("min"), grab("_ctx", fx.PAREN_AGE_RANGE, 2).cast("int").alias("max"))
-    t = t.select(entity, order, "token_no", "price", label.alias("audience"),
+    t = with_value(t, audience=label).select(entity, order, "token_no", "price", "audience",
                  F.struct(F.when(ages["min"].isNotNull(), ages).alias("age_range"), F.substring(F.trim("_ctx"), 1, 200).alias("source_phrase")).alias("_v"))
     at = F.struct(order, "token_no")
     return t.filter(F.col("audience").isNotNull()).groupBy(entity, "audience", "price").agg(F.min_by("_v", at).alias("_v"), F.min(at).alias("first_at")) \
