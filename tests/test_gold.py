@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import quality as Q
-from weftline.plans import gold
+from weftline.plans import gold, schemas
 
 COUPON = ("struct<capacity:struct<kind:string,n:int>,audience_policies:array<struct<audience:string,form:string,value:double,count:int,age_range:struct<min:int,max:int>,source_phrase:string>>,"
           "summary:string,source_phrase_block:string>")
@@ -38,7 +38,9 @@ def inputs(spark):
 
 def test_passes(spark):
     args = inputs(spark)
-    d = gold.build_passes(*args)
+    d = schemas.schema_lock(gold.build_passes(*args), schemas.PASS)
+    with pytest.raises(ValueError, match="missing coupon; unknown extra"):
+        schemas.schema_lock(d.drop("coupon").withColumn("extra", F.lit(1)), schemas.PASS)
     rows = {(r["library_id"], r["attraction_rawslug"]): r for r in d.collect()}
     assert set(rows) == {("acton", "mfa-e-coupon"), ("bpl", "zoo"), ("acton", "aquarium"), ("cohasset", "mystery-digital")}
     m = rows["acton", "mfa-e-coupon"]

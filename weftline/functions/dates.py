@@ -88,6 +88,13 @@ def calendar_fragment_url(subdomain, pass_id, day) -> Column:
                     col(pass_id), F.lit("&date="), col(day).cast("string"))
 
 
+def calendar_months(day_map, today, ahead: int = 3) -> Column:
+    """Months ('yyyy-MM') the calendar offers: those with known days plus the next ``ahead`` ones, sorted."""
+    known = F.transform(F.map_keys(col(day_map)), lambda d: F.substring(d, 1, 7))
+    coming = F.transform(F.sequence(F.lit(0), F.lit(ahead - 1)), lambda i: F.date_format(F.add_months(F.trunc(col(today), "month"), i), "yyyy-MM"))
+    return F.array_sort(F.array_union(known, coming))
+
+
 def month_cells(month_first, day_map) -> Column:
     """Month grid: NULL cells up to the first weekday (Sunday first), then one cell per day, status 'none' when unknown."""
     first = col(month_first)

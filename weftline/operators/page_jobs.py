@@ -230,6 +230,17 @@ def top_links(df: DataFrame, keys: Sequence[str], k: int = 3) -> DataFrame:
     return ranked_top(df, keys, [F.col("score").desc(), F.col("url")], k, "link_no")
 
 
+def fill_missing(entities: DataFrame, extracted: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """Every entity once; those without a page get the default reading."""
+    out = entities.select(key).distinct().join(extracted, key, "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+NO_PAGE_VISITORS = {"residency": "unknown", "locals_free": False, "note": "no html available"}
+NO_PAGE_RESERVATION = {"required": "walk_in_ok", "pass_holder_path": "unknown", "notes": "no html available"}
+NO_PAGE_HOURS = dict.fromkeys(fx.WEEK, "unknown")
+
+
 def segments(text, pattern: str) -> Column:
     """Pieces of a document, each starting at a header match and ending before the next one."""
     return F.filter(F.split(col(text), f"(?={pattern})", -1), lambda s: s.rlike(f"^{pattern}"))

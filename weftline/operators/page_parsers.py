@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -240,6 +241,17 @@ def parse_roster_links(df: DataFrame, keys: Sequence[str], html: str, library: s
     return _roster(df, keys, F.transform(raw, lambda r: F.struct(r["slug"].alias("slug"), F.trim(r["name"]).alias("name"))), library)
 
 
+# parser per page kind, for callers that dispatch on a platform column
+CALENDAR_PARSERS = {"wizard": parse_calendar, "libcal": parse_fragment}
+LISTING_PARSERS = {"wizard": parse_index_page, "libcal": parse_pass_links, "login": parse_two_theme_index}
+
+
+def parse_calendars(df: DataFrame, keys: Sequence[str], platform: str, html: str) -> DataFrame:
+    """Calendar pages of several platforms, each read by its own parser."""
+    parts = [parse(df.filter(F.col(platform) == name), [*keys, platform], html) for name, parse in CALENDAR_PARSERS.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def rebuild_rows(refs: DataFrame, url: str, raw: DataFrame, raw_key: str) -> tuple[DataFrame, DataFrame]:
     """Catalog URLs with a retained raw page (joined on the URL hash) and the ones without (skipped)."""
     d = refs.withColumn("_k", url_key(url))

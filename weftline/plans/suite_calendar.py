@@ -102,6 +102,12 @@ def month_grid(spark, sf):
     return C.month_grid(m, "month", "availability").select("pass_id", "cell", "label", "status")
 
 
+@query("calendar_months", f"""SELECT pass_id, array_to_string(list_sort(list_distinct(list_concat(list(DISTINCT strftime(day, '%Y-%m')), ['2024-03', '2024-04', '2024-05']))), ',') AS months FROM {MERGED} m GROUP BY 1""")
+def calendar_months(spark, sf):
+    m = C.to_day_map(days(spark, sf), ["pass_id"], "day", "status")
+    return m.select("pass_id", F.array_join(dates.calendar_months("availability", F.lit("2024-03-15").cast("date")), ",").alias("months"))
+
+
 @query("next_available_dates", f"SELECT pass_id, strftime(day, '%Y-%m-%d') AS day, nth FROM (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY day) AS nth FROM {MERGED} m WHERE status = 'available' AND day >= DATE '2024-01-10') WHERE nth <= 4")
 def next_available_dates(spark, sf):
     d = C.next_dates(days(spark, sf), ["pass_id"], "day", "status", F.lit("2024-01-10").cast("date"))

@@ -351,6 +351,19 @@ def capacity_parts(spark, sf):
     return policy_rows(spark, sf).select("p_partkey", F.array_join(labels.capacity_parts("policies"), ",").alias("parts"))
 
 
+@query("ticket_flags", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_retailprice END AS adult, p_type NOT IN ('PROMO', 'SMALL') AS booking, concat('https://sub.libcal.com/pass/availability/institution?museum=m', p_size, '&date=2026-05-01') AS calendar_url,
+    CASE WHEN p_size > 9 THEN concat('https://h', p_size) ELSE 'plain' END AS origin, concat('https://h', p_size, '/') AS root FROM {part}""")
+def ticket_flags(spark, sf):
+    one = lambda a, p: F.struct(F.lit(a).alias("audience"), p.alias("price")) if isinstance(a, str) else F.struct(a.alias("audience"), p.alias("price"))
+    prices = F.array(one("child", F.lit(1.0)), one(F.when(F.col("p_size") % 2 == 0, "adult").otherwise("senior"), F.col("p_retailprice")))
+    need = F.when(F.col("p_type") == "PROMO", "walk_in_ok").when(F.col("p_type") != "SMALL", "timed_entry")
+    size = F.col("p_size").cast("string")
+    url = F.when(F.col("p_size") > 9, F.concat(F.lit("https://h"), size, F.lit("/a?b"))).otherwise("plain")
+    return V(spark, sf, "part").select("p_partkey", labels.adult_price(prices).alias("adult"), labels.needs_reservation(need).alias("booking"),
+                                       dates.calendar_fragment_url(F.lit("sub"), F.concat(F.lit("m"), size), F.lit("2026-05-01")).alias("calendar_url"),
+                                       text.origin(url).alias("origin"), text.site_root(F.concat(F.lit("h"), size)).alias("root"))
+
+
 @query("offer_headline", f"""SELECT p_partkey, CASE form WHEN 'free' THEN 'FREE' WHEN 'percent-off' THEN CASE WHEN v IS NULL THEN '% off' ELSE concat(v, '% off') END
     WHEN 'dollar-off' THEN CASE WHEN v IS NULL THEN '$ off' ELSE concat('$', v, ' off') END WHEN 'per-person-price' THEN CASE WHEN v IS NULL THEN '$/person' ELSE concat('$', v, '/person') END
     WHEN 'bogo' THEN 'buy one get one free' ELSE 'discount' END AS headline,
