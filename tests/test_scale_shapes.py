@@ -38,6 +38,24 @@ def test_top_per_equals_brute_force(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_large_k_is_ranked_in_slices(spark):
+    d = hot(spark, 9000)
+    want = {(r["k"], r["id"]) for r in d.filter("k <> 0").collect()}
+    top = [r["id"] for r in d.filter("k = 0").orderBy("v", "id").limit(1200).collect()]
+    got = K.top_per(d, ["k"], [F.col("v"), F.col("id")], 1200)
+    assert {(r["k"], r["id"]) for r in got.collect()} == want | {(0, i) for i in top}
+
+
+def test_reliable_checkpoint_only(spark, tmp_path):
+    from weftline.session import cut_lineage
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        d = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
+        assert d.count() == 10 and any(tmp_path.rglob("part-*"))
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 @pytest.mark.parametrize("direction", ["preceding", "following"])
 def test_nearest_marker_equals_brute_force(spark, direction):
     rng = random.Random(5)

@@ -16,19 +16,30 @@ from weftline import fixed_values as fx
 from weftline.functions.core import col
 
 
+GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+SLICES = 64
+
+
 def unique_by(df: DataFrame, keys: Sequence[str], order: Sequence | None = None) -> DataFrame:
     """One row per key, so a lookup side can never multiply rows."""
     return top_per(df, keys, order or [F.xxhash64(*df.columns)], 1)
 
 
 def top_per(df: DataFrame, by: Sequence[str], order: Sequence, k: int) -> DataFrame:
-    """First k rows per key. The rank filter becomes a per-task group limit before the shuffle, so a key that holds
-    a large share of the rows sends at most k rows per task."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
+    """First k rows per key."""
+    return ranked_top(df, by, order, k, "_rank").drop("_rank")
 
 
 def ranked_top(df: DataFrame, by: Sequence[str], order: Sequence, k: int, out: str = "rank") -> DataFrame:
+    """First k rows per key with their rank.
+
+    Up to Spark's threshold the rank filter becomes a per-task group limit before the shuffle, so a key that holds a large share
+    of the rows sends at most k rows per task. Larger k are ranked in slices of each key first; both ways are exact.
+    """
+    if k > GROUP_LIMIT:
+        slices = Window.partitionBy(*by, "_slice").orderBy(*order)
+        df = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(SLICES)))
+        df = df.withColumn("_n", F.row_number().over(slices)).filter(F.col("_n") <= k).drop("_n", "_slice")
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 

@@ -161,9 +161,8 @@ def rank_tags(df: DataFrame, by: Sequence[str], group: str, force: str, distance
     """Offer tags per attraction and date: the best digital one, then physical, then loan passes by strength and distance; n in all."""
     order = [F.col(force).desc(), F.col(distance), F.col(tie)]
     d = df.withColumn("_g", F.when(F.col(group) == "digital", 0).when(F.col(group) == "physical", 1).otherwise(2))
-    one = top_per(d.filter(F.col("_g") == 0), by, order, 1)
-    rest = top_per(d.filter(F.col("_g") > 0), by, [F.col("_g"), *order], n)
-    return ranked_top(one.unionByName(rest), by, [F.col("_g"), *order], n, "tag_no").drop("_g")
+    short = ranked_top(d, [*by, "_g"], order, n, "_r").filter((F.col("_g") > 0) | (F.col("_r") == 1)).drop("_r")
+    return ranked_top(short, by, [F.col("_g"), *order], n, "tag_no").drop("_g")
 
 
 def list_order(favourite: Column, has_pass: Column, field: Sequence) -> list[Column]:
