@@ -1,5 +1,6 @@
 """Plan shapes and hot keys: what must hold when one key owns a large share of the rows."""
 
+import pathlib
 import random
 
 import pytest
@@ -46,14 +47,12 @@ def test_large_k_is_ranked_in_slices(spark):
     assert {(r["k"], r["id"]) for r in got.collect()} == want | {(0, i) for i in top}
 
 
-def test_reliable_checkpoint_only(spark, tmp_path):
-    from weftline.session import cut_lineage
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        d = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
-        assert d.count() == 10 and any(tmp_path.rglob("part-*"))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_checkpoint_goes_to_the_configured_folder(spark):
+    from weftline.session import checkpoint_dir, cut_lineage
+    d = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
+    folder = pathlib.Path(checkpoint_dir(spark).removeprefix("file:"))
+    assert str(folder) == spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    assert d.count() == 10 and any(folder.rglob("part-*"))
 
 
 @pytest.mark.parametrize("direction", ["preceding", "following"])
