@@ -238,7 +238,8 @@ def last_url_segment(spark, sf):
     return V(spark, sf, "pages").select("page_id", text.last_segment("url").alias("segment"))
 
 
-UNESC = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+# entities of the crawled pages; the final semicolon may be missing where a page text was cut
+UNESC = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&quot;?', '\"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g')"
 _T = UNESC.format(r"regexp_extract(html, '(?i)<title>([^<]+)</title>', 1)")
 
 
