@@ -48,13 +48,14 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sal
     groups = combine(docs, doc_id, text, salts, digest)
     content = normalised(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), digest(content).alias("_digest"), *([content.alias("_content")] if by_content else []))
+    key = F.col("_digest").cast("binary").alias("_key")  # another expression than the groups are dealt by, so both sides are dealt anew and Spark can split a hot digest
     if by_content:
         found = rows.join(groups, ["_digest", "_content"])
     else:
         groups = groups.groupBy("_digest").agg(
             F.when(F.count(F.lit(1)) == 1, F.struct(F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size")))
             .otherwise(F.raise_error(F.lit("two contents share a digest; call exact_dedup(by_content=True)"))).alias("_g"))
-        found = rows.join(groups, "_digest").select("doc_id", "_digest", "_g.keep_id", "_g.group_size")
+        found = rows.withColumn("_key", key).join(groups.select(key, "_g"), "_key").select("doc_id", "_digest", "_g.keep_id", "_g.group_size")
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_digest").alias("text_sha256"))
 
 

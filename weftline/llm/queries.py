@@ -6,10 +6,21 @@ from weftline.llm.archive import archived
 from weftline.llm.common import table
 from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.hilbert import hilbert_shards
+from weftline.llm.ngram_join import ngram_join
 from weftline.llm.packing import best_fit_packing
+from weftline.llm.pieces_codec import piece_digests
+from weftline.llm.quality_rules import quality_rules
 from weftline.llm.token_files import token_digests
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "n_links", "n_shingles")
+
+
+def op2_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_hilbert_shards(spark, sf_dir):
     return hilbert_shards(table(spark, sf_dir, "documents"), ["lang", "source", "n_chars"])
 
@@ -22,6 +33,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_pieces_codec(spark, sf_dir):
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark, sf_dir):
     return token_digests(table(spark, sf_dir, "documents"))
 
@@ -30,9 +45,26 @@ def op8_best_fit_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_hilbert_shards, op4_content_archive, op5_exact_dedup, op7_token_files, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_hilbert_shards, op4_content_archive, op5_exact_dedup, op6_pieces_codec, op7_token_files, op8_best_fit_packing)}
 
 ORACLES = {
+    "op1_ngram_join": r"""
+        with recursive
+        w as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as words from documents),
+        s as (select doc_id, list_sort(list_distinct(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+                else [array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)] end)) as grams from w),
+        c as (select doc_id, grams, len(grams) as n, min(doc_id) over g as class_id, count(*) over g as size from s window g as (partition by grams)),
+        k as (select class_id as id, grams, n, size from c where doc_id = class_id and n > 0),
+        e as (select id, n, size, unnest(grams) as gram from k),
+        p as (select a.id as x, b.id as y, b.size as ysize, count(*) as shared, any_value(a.n) as xn, any_value(b.n) as yn from e a join e b on a.gram = b.gram and a.id <> b.id
+              group by all),
+        l as (select x, y, ysize from p where shared >= 0.8 * (xn + yn - shared) - 1e-9),
+        r as (select id as node, id as reached from k union select r.node, l.y from r join l on r.reached = l.x),
+        g as (select node, min(reached) as group_id from r group by node),
+        t as (select x, sum(ysize) as links from l group by x)
+        select doc_id, case when n = 0 then doc_id else class_id end as class_id, coalesce(group_id, doc_id) as group_id,
+               (case when n = 0 then 0 else size - 1 + coalesce(links, 0) end)::bigint as n_links, n::bigint as n_shingles
+        from c left join g on c.class_id = g.node and n > 0 left join t on c.class_id = t.x and n > 0""",
     "op4_content_archive": """
         with p as (select page_id, encode(coalesce(html, '')) as body from pages),
         d as (select page_id, octet_length(body) as n, sha1(body) as h, max(page_id) over (partition by body) as response from p)
