@@ -25,7 +25,7 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` stored as Parquet in the shared folder and read again: lineage ends here, and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

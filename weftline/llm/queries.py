@@ -10,6 +10,7 @@ from weftline.llm.ngram_join import ngram_join
 from weftline.llm.packing import best_fit_packing
 from weftline.llm.pieces_codec import piece_digests
 from weftline.llm.quality_rules import quality_rules
+from weftline.llm.substring_dedup import substring_dedup
 from weftline.llm.token_files import token_digests
 
 
@@ -45,7 +46,11 @@ def op8_best_fit_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_hilbert_shards, op4_content_archive, op5_exact_dedup, op6_pieces_codec, op7_token_files, op8_best_fit_packing)}
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_hilbert_shards, op4_content_archive, op5_exact_dedup, op6_pieces_codec, op7_token_files, op8_best_fit_packing, op10_substring_dedup)}
 
 ORACLES = {
     "op1_ngram_join": r"""
@@ -78,4 +83,13 @@ ORACLES = {
         with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents)
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(body) as text_sha256
         from d window w as (partition by body)""",
+    "op10_substring_dedup": r"""
+        with w as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as words from documents),
+        p as (select doc_id, q, md5(array_to_string(words[q:q + 34], ' ')) as run from w, unnest(range(1, len(words) - 33)) as t(q)),
+        r as (select doc_id, q, count(*) over (partition by run) as n from p),
+        g as (select distinct doc_id, q + d as place from r, unnest(range(35)) as t(d) where n > 1),
+        gone as (select doc_id, list(place) as places, count(*) as n from g group by doc_id),
+        k as (select w.doc_id, words, coalesce(n, 0) as n, [words[i] for i in range(1, len(words) + 1) if not list_contains(coalesce(places, []), i)] as kept
+              from w left join gone on w.doc_id = gone.doc_id)
+        select doc_id, len(words)::bigint as n_words, n::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k""",
 }
