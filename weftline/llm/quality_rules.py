@@ -132,3 +132,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 10, max_r
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(failed), pa.array(~failed & ~odd), pa.array(score, from_pandas=True), *batch.columns[6:]], ["doc_id", *COUNTS, "base_failed", "kept", "anomaly", *RATIOS])
 
     return measured(docs, doc_id, text).mapInArrow(judge, STATS.replace(", symbols", ", base_failed boolean, kept boolean, anomaly double, symbols"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, **fit) -> DataFrame:
+    """The rows of `docs` that the rules keep, all columns as they are; judged where they are read, without a shuffle."""
+    model, place = fit_rules(docs, labels, **fit), docs.columns.index("text")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [statistics(t or "") for t in batch.column(place).to_pylist()]
+            kept = np.array([c[0] >= min_words and 100 * c[4] <= max_repeat_percent * c[0] for c, _ in found], bool)
+            if model is not None and len(found):
+                kept &= model.score(np.array([r for _, r in found])) <= model.limit
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(judge, docs.schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from weftline.llm.archive import archived
 from weftline.llm.common import table
 from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.hilbert import hilbert_shards
+from weftline.llm.line_dedup import line_dedup
 from weftline.llm.ngram_join import ngram_join
 from weftline.llm.packing import best_fit_packing
 from weftline.llm.pieces_codec import piece_digests
@@ -46,11 +49,16 @@ def op8_best_fit_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark, sf_dir):
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_kept", F.md5(F.array_join("kept", ",").cast("binary")).alias("kept_md5"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_hilbert_shards, op4_content_archive, op5_exact_dedup, op6_pieces_codec, op7_token_files, op8_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_hilbert_shards, op4_content_archive, op5_exact_dedup, op6_pieces_codec, op7_token_files, op8_best_fit_packing, op9_line_dedup, op10_substring_dedup)}
 
 ORACLES = {
     "op1_ngram_join": r"""
@@ -83,6 +91,23 @@ ORACLES = {
         with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents)
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(body) as text_sha256
         from d window w as (partition by body)""",
+    "op9_line_dedup": r"""
+        with l as (select doc_id, i - 1 as line, [x for x in regexp_split_to_array(parts[i], '[\x20\x09-\x0D]+') if x <> ''] as words
+                   from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents), unnest(range(1, len(parts) + 1)) as t(i)),
+        w as (select *, len(words) as n from l where len(words) > 0),
+        f as (select *, row_number() over (partition by words order by doc_id, line) as copy from w),
+        d as (select doc_id, line, words, n, row_number() over (order by doc_id, line) as place from f where copy = 1),
+        p as (select x.place, x.words as a, y.words as b, x.n as an, y.n as bn from d x join d y
+              on y.place < x.place and x.n >= 8 and y.n >= 8 and x.n = y.n and (x.words[1] = y.words[1] or x.words[x.n] = y.words[y.n])
+              union all
+              select case when x.place > y.place then x.place else y.place end, x.words, y.words, x.n, y.n from d x join d y
+              on x.n = y.n + 1 and y.n >= 8 and (x.words[1] = y.words[1] or x.words[x.n] = y.words[y.n])),
+        late as (select distinct place from p where case when an = bn then len([i for i in range(1, an + 1) if a[i] <> b[i]]) = 1
+                 else len([i for i in range(1, an + 1) if list_concat(a[1:i - 1], a[i + 1:an]) = b]) > 0 end),
+        k as (select doc_id, count(*) as n_kept, string_agg(line::varchar, ',' order by line) as kept from d where place not in (select place from late) group by doc_id),
+        c as (select doc_id, count(*) as n_lines from w group by doc_id)
+        select t.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_kept, 0) as n_kept, md5(coalesce(kept, '')) as kept_md5
+        from documents t left join c on t.doc_id = c.doc_id left join k on t.doc_id = k.doc_id""",
     "op10_substring_dedup": r"""
         with w as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as words from documents),
         p as (select doc_id, q, md5(array_to_string(words[q:q + 34], ' ')) as run from w, unnest(range(1, len(words) - 33)) as t(q)),
