@@ -13,6 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ class PieceModel:
         self.raw = [b"" if sp.is_control(i) else value.get(i, sp.id_to_piece(i).encode()) for i in range(n)]  # what each id decodes to
         self.longest = max(map(len, self.pieces), default=1)
         self.penalty = min(self.scores.values(), default=0.0) - 10.0  # of a character that no piece covers
-        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p))}  # what a longer piece can begin with
+        self.table: dict[str, float | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.scores  # score of a piece; None: only the beginning of one
+        self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}  # neighbours that some piece spans
         #: whether some piece goes on behind a word with a space; if none does, words with their leading spaces are encoded alone
         self.spans_words = any(re.search(f"[^{SPACE_SIGN}]{SPACE_SIGN}", p) for p in self.pieces)
 
@@ -66,26 +68,27 @@ class StreamingViterbi:
 
     def feed(self, text: str, last: bool = False) -> list[int]:
         m = self.model
+        table, longest, absent = m.table, m.longest, m
         self.buffer += text
         grow = len(self.buffer) + 1 - len(self.best)
-        self.best += [-np.inf] * grow
+        self.best += [-inf] * grow
         self.back += [0] * grow
         end = len(self.buffer) if last else len(self.buffer) - m.longest + 1
         ids: list[int] = []
         while self.done < end:
-            at, base = self.done, self.best[self.done]
-            single = False
-            for to in range(at + 1, min(at + m.longest, len(self.buffer)) + 1):
-                piece = self.buffer[at:to]
-                score = m.scores.get(piece)
-                if score is not None:
-                    single |= to == at + 1
-                    if base + score > self.best[to]:
-                        self.best[to], self.back[to] = base + score, at
-                if piece not in m.starts:
+            at, buffer, best, back = self.done, self.buffer, self.best, self.back
+            base, single = best[at], False
+            for to in range(at + 1, min(at + longest, len(buffer)) + 1):
+                score = table.get(buffer[at:to], absent)
+                if score is absent:
                     break
-            if not single and base + m.penalty > self.best[at + 1]:
-                self.best[at + 1], self.back[at + 1] = base + m.penalty, at
+                if score is not None:
+                    if to == at + 1:
+                        single = True
+                    if base + score > best[to]:
+                        best[to], back[to] = base + score, at
+            if not single and base + m.penalty > best[at + 1]:
+                best[at + 1], back[at + 1] = base + m.penalty, at
             self.done += 1
             if self.done >= 8 * m.longest and self.done % m.longest == 0:
                 cut = self._meeting()
@@ -96,7 +99,7 @@ class StreamingViterbi:
 
     def _meeting(self) -> int:
         """The last boundary that every surviving path goes through: those to the places where later pieces start or end."""
-        ends = {i for i in range(self.done, min(self.done + self.model.longest, len(self.best))) if self.best[i] > -np.inf}
+        ends = {i for i in range(self.done, min(self.done + self.model.longest, len(self.best))) if self.best[i] > -inf}
         while len(ends) > 1:
             top = max(ends)
             ends.remove(top)
@@ -108,7 +111,14 @@ class StreamingViterbi:
         while at:
             path.append((self.back[at], at))
             at = self.back[at]
-        ids = [i for a, b in reversed(path) for i in self.model.ids_of(self.buffer[a:b])]
+        ids: list[int] = []
+        for a, b in reversed(path):
+            piece = self.buffer[a:b]
+            found = self.model.pieces.get(piece)
+            ids += [found] if found is not None else self.model.ids_of(piece)
+        if cut == len(self.buffer):
+            self.buffer, self.best, self.back, self.done, self.start = "", [0.0], [0], 0, self.start + cut
+            return ids
         base = self.best[cut]
         self.buffer, self.best, self.back = self.buffer[cut:], [b - base for b in self.best[cut:]], [max(0, b - cut) for b in self.back[cut:]]
         self.done, self.start = max(0, self.done - cut), self.start + cut
@@ -126,13 +136,21 @@ class Codec(dict):
     def __missing__(self, stretch: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        found = self._encoded(stretch)
+        pairs = self.model.pairs
+        cuts = [i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in pairs] if len(stretch) <= 64 else []
+        if cuts:  # no piece spans these places, so all paths meet there
+            found = b"".join([self[stretch[a:b]] for a, b in zip([0, *cuts], [*cuts, len(stretch)], strict=True)])
+        else:
+            found = self._encoded(stretch)
         if len(stretch) <= 64:
             self[stretch] = found
         return found
 
     def _encoded(self, text: str) -> bytes:
         search, parts = StreamingViterbi(self.model), []
+        if len(text) <= self.block:
+            ids = search.feed(text, last=True)
+            return struct.pack(f"<{len(ids)}I", *ids)
         for at in range(0, len(text), self.block):
             ids = search.feed(text[at : at + self.block], last=at + self.block >= len(text))
             parts.append(struct.pack(f"<{len(ids)}I", *ids))
