@@ -125,6 +125,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 10, max_r
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             n, repeated = (np.asarray(batch.column(i)) for i in (1, 5))
             failed = (n < min_words) | (100 * repeated > max_repeat_percent * n)
             score = np.full(batch.num_rows, np.nan) if model is None else model.score(np.column_stack([np.asarray(c) for c in batch.columns[6:]]))

@@ -80,6 +80,8 @@ def phrases(words: list[bytes], window: int, seed: int) -> tuple[np.ndarray, np.
 def _phrase_rows(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ends, parts = [], []
             for data in batch.column(2).cast(pa.binary()).to_pylist():
                 first, last, code, content = phrases(data.split(), window, seed)
@@ -96,6 +98,8 @@ def _window_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             sizes, qs, ones, twos, weights = [], [], [], [], []
             for data, edges in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words, e = data.split(), np.array(edges, "i8")
@@ -177,7 +181,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 8, doc_id: st
     """Removes every word inside a window of `window` words whose sequence also starts anywhere else, in this document or another.
 
     Returns doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space), one row per row; `with_text` adds
-    kept_text (an untouched text stays as it is), and `carry` names columns to pass through.
+    kept_text (an untouched text stays as it is), and the columns in `carry` pass through as _c0, _c1 and so on.
 
     Defined results: null and empty texts have no words; a text shorter than a window keeps all; rows without an id are rows like
     others; repeated rows are copies of each other, so all of their windows repeat; an empty table gives an empty result; other columns
@@ -211,8 +215,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 8, doc_id: st
     twice = written(windows.groupBy("w1", "w2").agg(F.sum("weight").alias("_n")).where("_n > 1").select("w1", "w2"), "windows")
     single = windows.join(twice, ["w1", "w2"]).groupBy("did", "th").agg(F.collect_list("q").alias("single"))
     checked = open_.join(single, ["did", "th"], "left").select("doc_id", "text", "whole", "single", *names).mapInArrow(_finish(window, with_text, [*columns, *names]), result + extra)
-    done = parsed.where("edges is null").select(*columns, *names).union(checked)
-    return done.withColumnsRenamed(dict(zip(names, carried, strict=True)))
+    return parsed.where("edges is null").select(*columns, *names).union(checked)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -220,9 +223,10 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
     Texts of which nothing is left stay as empty texts; null texts stay null.
     """
-    columns = docs.columns
-    marked = docs.withColumn("_null", F.col("text").isNull())
-    found = substring_dedup(marked, with_text=True, carry=[c for c in columns if c not in ("doc_id", "text")] + ["_null"], **options)
-    text = F.when(~F.col("_null"), F.col("kept_text"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in columns else {})
-    return found.withColumns(new).select(*(F.col(c).cast(docs.schema[c].dataType) for c in columns))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = substring_dedup(docs.withColumn("_is_null", F.col("text").isNull()), with_text=True, carry=[*others, "_is_null"], **options)
+    text = F.when(~F.col(f"_c{len(others)}"), F.col("kept_text"))
+    new = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"_c{i}") for i, c in enumerate(others)}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(new["n_chars"])
+    return found.select(*(new[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

@@ -46,7 +46,7 @@ class WordBpe(dict):
         steps = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
         if not all(x in steps for x in ('"Lowercase"', r'"\\s+"', '"Removed"')):
             raise ValueError(f"{path} does not cut texts at white space; its words can't be encoded alone")
-        self._special = [t["content"].encode() for t in spec["added_tokens"]]
+        self._special = [t["content"].encode().lower() for t in spec["added_tokens"]]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self._limit:
@@ -64,10 +64,11 @@ class WordBpe(dict):
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a whole text, in UTF-8, as bytes."""
-        if any(s in text for s in self._special):  # special tokens are told apart by case
+        lower = text.lower()
+        if any(s in lower for s in self._special):  # special tokens are told apart by case
             words = text.split()
         else:
-            text = text.lower()
+            text = lower
             if not _signs_joined(text):
                 for a, b in _CUTS:
                     text = text.replace(a, b)
