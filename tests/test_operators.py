@@ -83,10 +83,12 @@ def test_merge_days_closed_is_weak(spark):
 
 
 def test_attempts(spark):
-    d = spark.createDataFrame([("a", 1, "unknown"), ("a", 2, "accepted"), ("a", 3, "rejected_resident"), ("b", 1, "unknown"), ("b", 2, "format_error")], "k string, day int, verdict string")
+    late = [("c", day, "unknown") for day in range(1, 9)] + [("c", 9, "accepted")]
+    d = spark.createDataFrame([("a", 1, "unknown"), ("a", 2, "accepted"), ("a", 3, "rejected_resident"), ("b", 1, "unknown"), ("b", 2, "format_error"), *late], "k string, day int, verdict string")
     r = {x["k"]: x for x in C.fold_attempts(d, ["k"], "day", "verdict").collect()}
     assert (r["a"]["verdict"], r["a"]["probed_at"], r["a"]["evidence"]) == ("accepted", 2, None)
-    assert (r["b"]["verdict"], r["b"]["evidence"]) == ("ambiguous", "attempts=unknown,format_error")
+    assert (r["c"]["verdict"], r["c"]["probed_at"], r["c"]["n_attempts"]) == ("accepted", 9, 9)
+    assert (r["b"]["verdict"], r["b"]["evidence"]) == ("ambiguous", "attempts=format_error:1,unknown:1")
 
 
 def test_compact_hours(spark):

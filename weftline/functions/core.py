@@ -146,17 +146,19 @@ def find_all(c, pattern: str, flags: str = "iU", before: int = 0, after: int = 0
     """
     p = rx(pattern, flags)
     text = col(c)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+    def step(acc, x):  # one running offset, so the cost grows with the hits, not with their square
+        at = acc["end"] + x["gap"]
+        return F.struct((at + F.length(x["hit"])).alias("end"), F.concat(acc["all"], F.array(at)).alias("all"))
     def located(b):
-        def one(hit, i):
-            at = total(F.slice(b["gaps"], F.lit(1), i + 1)) + total(F.transform(F.slice(b["hits"], F.lit(1), i), F.length))
-            start = F.greatest(F.lit(0), at - before)
-            return F.struct(at.alias("at"), hit.alias("hit"), b["text"].substr(start + 1, at - start).alias("pre"),
-                            b["text"].substr(at + F.length(hit) + 1, F.lit(after)).alias("post"))
-        return F.transform(b["hits"], one)
+        offsets = F.aggregate(F.arrays_zip(b["gaps"].alias("gap"), b["hits"].alias("hit")), F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
+        def one(x):
+            start = F.greatest(F.lit(0), x["at"] - before)
+            return F.struct(x["at"].alias("at"), x["hit"].alias("hit"), b["text"].substr(start + 1, x["at"] - start).alias("pre"),
+                            b["text"].substr(x["at"] + F.length(x["hit"]) + 1, F.lit(after)).alias("post"))
+        return F.transform(F.arrays_zip(b["hits"].alias("hit"), F.slice(offsets, F.lit(1), F.size(b["hits"])).alias("at")), one)
     def search(t):
         gaps = F.transform(F.split(F.regexp_replace(t, p, _CUT), _CUT, -1), F.length)
-        found = bind(located, text=t, hits=F.regexp_extract_all(t, F.lit(p), F.lit(0)), gaps=gaps)
+        found = bind(located, text=t, hits=F.regexp_extract_all(t, F.lit(p), F.lit(0)), gaps=let(gaps, lambda g: F.slice(g, F.lit(1), F.size(g) - 1)))
         return F.when(t.rlike(p), found).otherwise(F.array().cast("array<struct<at:int,hit:string,pre:string,post:string>>"))
     return let(F.translate(text, _CUT, " "), search)
 

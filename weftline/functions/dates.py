@@ -107,11 +107,11 @@ def month_cells(month_first, day_map) -> Column:
 
 
 def restriction_days(values) -> Column:
-    """'YYYY-MM-DD' / 'MM-DD' strings -> year-less ARRAY<STRUCT<month,day>>; other shapes are dropped."""
+    """'YYYY-MM-DD' / 'MM-DD' strings -> year-less ARRAY<STRUCT<month,day>>; other shapes are dropped, unreadable numbers are null."""
     def one(v):
         p = F.split(v, "-")
-        full = F.struct(F.try_element_at(p, F.lit(2)).cast("int").alias("month"), F.try_element_at(p, F.lit(3)).cast("int").alias("day"))
-        short = F.struct(F.try_element_at(p, F.lit(1)).cast("int").alias("month"), F.try_element_at(p, F.lit(2)).cast("int").alias("day"))
+        full = F.struct(F.try_element_at(p, F.lit(2)).try_cast("int").alias("month"), F.try_element_at(p, F.lit(3)).try_cast("int").alias("day"))
+        short = F.struct(F.try_element_at(p, F.lit(1)).try_cast("int").alias("month"), F.try_element_at(p, F.lit(2)).try_cast("int").alias("day"))
         return F.when(F.size(p) == 3, full).when(F.size(p) == 2, short)
     return F.array_compact(F.transform(F.coalesce(col(values), F.array().cast("array<string>")), one))
 

@@ -38,11 +38,11 @@ def line_text(c) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def policy_text(c, blocks: int = 30) -> Column:
-    """Distinct paragraph-like blocks of 21 to 3999 characters in page order; the first 30 are the policy text."""
+def policy_text(c, blocks: int | None = None, longest: int | None = None) -> Column:
+    """Distinct paragraph-like blocks of more than 20 characters in page order; all of them unless the caller sets limits."""
     texts = F.transform(grab_all(c, fx.POLICY_BLOCK, 1), lambda b: squeeze(F.regexp_replace(b, fx.TAG, "")))
-    kept = F.array_distinct(F.filter(texts, lambda t: (F.length(t) > 20) & (F.length(t) < 4000)))
-    return F.array_join(F.slice(kept, 1, blocks), "\n")
+    kept = F.array_distinct(F.filter(texts, lambda t: (F.length(t) > 20) & (F.length(t) <= longest if longest else F.lit(True))))
+    return F.array_join(F.slice(kept, 1, blocks) if blocks else kept, "\n")
 
 
 def page_title(c) -> Column:

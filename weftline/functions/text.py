@@ -192,8 +192,8 @@ def claims_free(notes) -> Column:
 
 
 def source_marker(html_col) -> Column:
-    """URL of the provenance comment in the first 300 characters."""
-    return grab(F.substring(col(html_col), 1, 300), fx.SOURCE_MARKER, 1, "")
+    """URL of the first provenance comment of the whole text."""
+    return grab(col(html_col), fx.SOURCE_MARKER, 1, "")
 
 
 def has_text(c) -> Column:

@@ -43,14 +43,17 @@ def month_grid(passes: DataFrame, month_first: str, day_map: str) -> DataFrame:
     return passes.select(*rest, cells).select(*rest, F.col("pos").alias("cell"), "col.day", "col.label", "col.status")
 
 
-def fold_attempts(df: DataFrame, key: Sequence[str], ordinal: str, verdict: str, tries: int = 4) -> DataFrame:
-    """One result per probed pass from at most ``tries`` dated attempts: first conclusive verdict, else ambiguous with the list of verdicts."""
-    used = top_per(df, key, [F.col(ordinal)], tries)
+def fold_attempts(df: DataFrame, key: Sequence[str], ordinal: str, verdict: str) -> DataFrame:
+    """One result per probed pass from all its dated attempts: first conclusive verdict, else ambiguous with the number of attempts per verdict.
+
+    Attempts are counted per verdict first, so a pass with any number of them is a handful of rows and nothing grows in one row.
+    """
+    each = df.groupBy(*key, verdict).agg(F.count("*").alias("_n"), F.min(ordinal).alias("_at"))
     good = F.col(verdict).isin(*fx.CONCLUSIVE_VERDICTS)
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, verdict))), lambda a: a[verdict]), ",")
-    g = used.groupBy(*key).agg(
-        F.min_by(verdict, F.when(good, F.col(ordinal))).alias("_v"), F.min(F.when(good, F.col(ordinal))).alias("probed_at"),
-        listed.alias("attempts"), F.count("*").alias("n_attempts"))
+    counted = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(verdict), F.lit("none")).alias("v"), "_n"))), lambda a: F.concat(a["v"], F.lit(":"), a["_n"].cast("string"))), ",")
+    g = each.groupBy(*key).agg(
+        F.min_by(verdict, F.when(good, F.struct("_at", verdict))).alias("_v"), F.min(F.when(good, F.col("_at"))).alias("probed_at"),
+        counted.alias("attempts"), F.sum("_n").alias("n_attempts"))
     decided = F.col("probed_at").isNotNull()
     return g.select(*key, F.when(decided, F.col("_v")).otherwise("ambiguous").alias("verdict"), "probed_at", "n_attempts",
                     F.when(~decided, F.concat(F.lit("attempts="), F.col("attempts"))).alias("evidence"))

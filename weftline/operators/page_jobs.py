@@ -71,7 +71,7 @@ def extract_prices(df: DataFrame, entity: str, order: str, html: str) -> DataFra
     after = grab(F.left("post", F.lit(22)), fx.PRICE_FOLLOWER, 0, "U")
     bound = F.coalesce(*[F.when(has(after, p), F.lit(label)) for label, p in fx.PRICE_AUDIENCES])
     label = F.when(has(lead, fx.TIER_KEEP), F.lit("adult")).otherwise(F.coalesce(bound, _nearest_audience(F.col("_ctx"), F.length("pre"))))
-    ages = F.struct(grab("_ctx", fx.PAREN_AGE_RANGE, 1).cast("int").alias("min"), grab("_ctx", fx.PAREN_AGE_RANGE, 2).cast("int").alias("max"))
+    ages = F.struct(grab("_ctx", fx.PAREN_AGE_RANGE, 1).try_cast("int").alias("min"), grab("_ctx", fx.PAREN_AGE_RANGE, 2).try_cast("int").alias("max"))
     t = with_value(t, audience=label).select(entity, order, "token_no", "price", "audience",
                  F.struct(F.when(ages["min"].isNotNull(), ages).alias("age_range"), F.substring(F.trim("_ctx"), 1, 200).alias("source_phrase")).alias("_v"))
     at = F.struct(order, "token_no")

@@ -61,7 +61,7 @@ def parse_calendar(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
     """Calendar page -> (day, status); the first real cell of a day counts."""
     raw = F.arrays_zip(grab_all(html, fx.CALENDAR_CELL, 1).alias("c"), grab_all(html, fx.CALENDAR_CELL, 2).alias("d"))
     cells = F.transform(raw, lambda x: F.struct(x["d"].alias("day"), cell_status(x["c"]).alias("status")))
-    return _rows(df, keys, _first_days(cells)).withColumn("day", F.to_date("day"))
+    return _rows(df, keys, _first_days(cells)).withColumn("day", F.col("day").try_cast("date"))
 
 
 def parse_fragment(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
@@ -72,7 +72,7 @@ def parse_fragment(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
         status = F.coalesce(map_codes(token, fx.FRAGMENT_STATUS_MAP), F.lit("unavailable"))
         other = F.array_contains(F.split(x["c"], r"\s+"), "day-other-month")
         return F.struct(x["d"].alias("day"), F.when(~other, status).alias("status"))
-    return _rows(df, keys, _first_days(F.transform(raw, cell))).withColumn("day", F.to_date("day"))
+    return _rows(df, keys, _first_days(F.transform(raw, cell))).withColumn("day", F.col("day").try_cast("date"))
 
 
 def parse_fragment_two_state(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
@@ -81,7 +81,7 @@ def parse_fragment_two_state(df: DataFrame, keys: Sequence[str], html: str) -> D
     kept = F.filter(raw, lambda x: ~x["c"].contains("other-month") & ~x["c"].contains("day-past"))
     free = lambda b: b.contains("s-lc-pass-available") & ~b.contains("s-lc-pass-unavailable") & ~b.contains("s-lc-pass-not-yet-available")
     cells = F.transform(kept, lambda x: F.struct(x["d"].alias("day"), F.when(free(x["b"]), "available").otherwise("booked").alias("status")))
-    return _rows(df, keys, F.reverse(first_hits(F.reverse(cells), lambda c: c["day"]))).withColumn("day", F.to_date("day"))
+    return _rows(df, keys, F.reverse(first_hits(F.reverse(cells), lambda c: c["day"]))).withColumn("day", F.col("day").try_cast("date"))
 
 
 def parse_calendar_limited(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
@@ -94,7 +94,7 @@ def parse_calendar_limited(df: DataFrame, keys: Sequence[str], html: str) -> Dat
         limited = (status == "available") & F.array_contains(partial, x["d"])
         return F.struct(x["d"].alias("day"), F.when(~hidden, F.when(limited, "limited").otherwise(status)).alias("status"))
     cells = F.filter(bind(lambda b: F.transform(b["raw"], lambda x: cell(x, b["partial"])), raw=raw, partial=partial), lambda c: c["status"].isNotNull())
-    return _rows(df, keys, F.reverse(first_hits(F.reverse(cells), lambda c: c["day"]))).withColumn("day", F.to_date("day"))
+    return _rows(df, keys, F.reverse(first_hits(F.reverse(cells), lambda c: c["day"]))).withColumn("day", F.col("day").try_cast("date"))
 
 
 # ---------------------------------------------------------------- pass listing and detail

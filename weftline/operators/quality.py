@@ -67,7 +67,7 @@ def coverage(df: DataFrame, metrics: Mapping[str, Column], by: Sequence[str] = (
 
 def stamp_skew(df: DataFrame, table: str, ts: str) -> DataFrame:
     """Seconds between the newest and the oldest build stamp and which tables they belong to."""
-    t = F.to_timestamp(F.replace(F.col(ts).cast("string"), F.lit("Z"), F.lit("+00:00")))
+    t = F.try_to_timestamp(F.replace(F.col(ts).cast("string"), F.lit("Z"), F.lit("+00:00")))
     s = df.select(F.col(table).alias("t"), t.alias("at")).filter(F.col("at").isNotNull())
     return s.agg(F.count("*").alias("n"), (F.max(F.unix_timestamp("at")) - F.min(F.unix_timestamp("at"))).alias("skew_seconds"),
                  F.max_by("t", F.struct("at", "t")).alias("newest"), F.min_by("t", F.struct("at", "t")).alias("oldest"))

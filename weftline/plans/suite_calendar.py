@@ -114,9 +114,10 @@ def next_available_dates(spark, sf):
     return d.select("pass_id", DAY("day").alias("day"), "nth")
 
 
-@query("attempt_fold", """WITH u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, verdict) AS r FROM (SELECT l_orderkey, l_linenumber, min(verdict) AS verdict FROM {d_attempt} x GROUP BY 1, 2)) WHERE r <= 4)
+@query("attempt_fold", """WITH u AS (SELECT l_orderkey, l_linenumber, min(verdict) AS verdict FROM {d_attempt} x GROUP BY 1, 2),
+    e AS (SELECT l_orderkey, string_agg(concat(verdict, ':', n), ',' ORDER BY verdict) AS listed FROM (SELECT l_orderkey, verdict, count(*) AS n FROM u GROUP BY 1, 2) GROUP BY 1)
     SELECT l_orderkey, coalesce(arg_min(verdict, l_linenumber) FILTER (verdict IN ('accepted', 'rejected_resident')), 'ambiguous') AS verdict, min(l_linenumber) FILTER (verdict IN ('accepted', 'rejected_resident')) AS probed_at, count(*) AS n_attempts,
-    CASE WHEN count(*) FILTER (verdict IN ('accepted', 'rejected_resident')) = 0 THEN concat('attempts=', string_agg(verdict, ',' ORDER BY l_linenumber)) END AS evidence FROM u GROUP BY 1""")
+    CASE WHEN count(*) FILTER (verdict IN ('accepted', 'rejected_resident')) = 0 THEN concat('attempts=', any_value(listed)) END AS evidence FROM u JOIN e USING (l_orderkey) GROUP BY 1""")
 def attempt_fold(spark, sf):
     a = V(spark, sf, "d_attempt").groupBy("l_orderkey", "l_linenumber").agg(F.min("verdict").alias("verdict"))
     return C.fold_attempts(a, ["l_orderkey"], "l_linenumber", "verdict")

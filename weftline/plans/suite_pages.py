@@ -47,7 +47,7 @@ def page_metadata(spark, sf):
     return d.select("page_id", html.page_title("h").alias("title"), html.og_image("h", "url").alias("image"))
 
 
-@query("source_marker", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS source_url FROM {pages}")
+@query("source_marker", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'late' END AS source_url FROM {pages}")
 def source_marker(spark, sf):
     body = F.concat(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<!-- source_url: "), "url", F.lit(" -->\n"))).otherwise(F.lit("." * 300)), F.when(F.col("page_id") % 2 == 1, F.lit("<!-- source_url: late -->")).otherwise(""), "html")
     return spread(spark, sf, "pages").select("page_id", text.source_marker(body).alias("source_url"))
@@ -287,9 +287,10 @@ def museum_id(spark, sf):
     return V(spark, sf, "supplier").select("s_suppkey", P.museum_id(h).alias("museum_id"))
 
 
-@query("grouped_pages_order", "SELECT entity, page_id FROM (SELECT page_id % 7 AS entity, page_id, row_number() OVER (PARTITION BY page_id % 7 ORDER BY CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END, CAST(page_id AS VARCHAR)) AS r FROM {pages}) WHERE r <= 3")
+@query("grouped_pages_order", "SELECT page_id // 7 AS entity, page_id, row_number() OVER (PARTITION BY page_id // 7 ORDER BY CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END, CAST(page_id AS VARCHAR)) AS place FROM {pages}")
 def grouped_pages_order(spark, sf):
-    from weftline.operators.keys import top_per
+    """Every page of every entity with its place."""
+    from pyspark.sql import Window
     name = F.when(F.col("page_id") % 2 == 0, S("page_id")).otherwise(F.concat(F.lit("__"), S("page_id")))
-    d = spread(spark, sf, "pages").select((F.col("page_id") % 7).alias("entity"), "page_id", name.alias("name"))
-    return top_per(d, ["entity"], [J.page_order("name")], 3).select("entity", "page_id")
+    d = spread(spark, sf, "pages").select(F.expr("page_id div 7").alias("entity"), "page_id", name.alias("name"))
+    return d.select("entity", "page_id", F.row_number().over(Window.partitionBy("entity").orderBy(J.page_order("name"))).alias("place"))

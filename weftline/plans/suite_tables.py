@@ -198,10 +198,11 @@ def retry_resolution(spark, sf):
     return d.groupBy(F.coalesce("retry_verdict", F.lit("none")).alias("retry_verdict"), "resolved").agg(F.count("*").alias("n"))
 
 
-@query("dead_url_references", "SELECT d.doc_id, u.status FROM (SELECT doc_id, doc_id % 400 AS page_id FROM {documents}) d JOIN {d_url} u ON u.page_id = d.page_id WHERE u.status >= 400")
+@query("dead_url_references", "SELECT d.doc_id, u.status FROM (SELECT doc_id, doc_id % (SELECT max(page_id) + 1 FROM {d_url} m) AS page_id FROM {documents}) d JOIN {d_url} u ON u.page_id = d.page_id WHERE u.status >= 400")
 def dead_url_references(spark, sf):
     urls = V(spark, sf, "d_url").select(F.col("page_id").cast("string").alias("url"), "status")
-    refs = V(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 400).cast("string").alias("source_url"))
+    pages = V(spark, sf, "d_url").agg(F.max("page_id")).first()[0] + 1
+    refs = V(spark, sf, "documents").select("doc_id", (F.col("doc_id") % pages).cast("string").alias("source_url"))
     return Q.url_health(refs, "source_url", urls).select("doc_id", "status")
 
 

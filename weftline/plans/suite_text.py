@@ -200,8 +200,8 @@ def library_mentions(spark, sf):
     return V(spark, sf, "supplier").select("s_suppkey", F.array_join(F.filter(text.library_mentions(body), lambda x: x != "X Library"), "|").alias("names"))
 
 
-@query("policy_text_blocks", r"""SELECT page_id, md5(coalesce(array_to_string(list_slice(ds, 1, 30), chr(10)), '')) AS digest FROM (SELECT page_id, list_filter(list_transform(list_zip(ts, range(1, len(ts) + 1)), lambda z: CASE WHEN list_position(ts, z[1]) = z[2] THEN z[1] END), lambda x: x IS NOT NULL) AS ds
-    FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:p|li|div)[^>]*>(.*?)</(?:p|li|div)>', 1), lambda b: trim(regexp_replace(regexp_replace(b, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))), lambda t: length(t) > 20 AND length(t) < 4000) AS ts FROM {pages}))""")
+@query("policy_text_blocks", r"""SELECT page_id, md5(coalesce(array_to_string(ds, chr(10)), '')) AS digest FROM (SELECT page_id, list_filter(list_transform(list_zip(ts, range(1, len(ts) + 1)), lambda z: CASE WHEN list_position(ts, z[1]) = z[2] THEN z[1] END), lambda x: x IS NOT NULL) AS ds
+    FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:p|li|div)[^>]*>(.*?)</(?:p|li|div)>', 1), lambda b: trim(regexp_replace(regexp_replace(b, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))), lambda t: length(t) > 20) AS ts FROM {pages}))""")
 def policy_text_blocks(spark, sf):
     from weftline.functions.html import policy_text
     return spread(spark, sf, "pages").select("page_id", F.md5(policy_text("html")).alias("digest"))
