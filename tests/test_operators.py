@@ -134,11 +134,30 @@ def test_matching_cards(spark):
     assert sorted((r["pid"], r["n_exact"], r["n_network"]) for r in M.match_cards(passes, cards, libs).collect()) == [("p1", 1, 1), ("p2", 1, 0), ("p3", 0, 0)]
 
 
-def test_matrix_limits_columns(spark):
+def test_matrix_keeps_empty_rows_and_any_width(spark):
     d = spark.createDataFrame([("r", "c", 1)], "r string, c string, v int")
-    assert M.matrix(d, "r", "c", ["c", "d"], F.col("v")).first().asDict() == {"r": "r", "c_c": 1, "c_d": None}
-    with pytest.raises(ValueError):
-        M.matrix(d, "r", "c", [str(i) for i in range(600)], F.col("v"))
+    rows = spark.createDataFrame([("r",), ("s",)], "r string")
+    got = {x["r"]: x.asDict() for x in M.matrix(d, "r", "c", ["c", *(f"x{i}" for i in range(600))], F.col("v"), rows).collect()}
+    assert len(got["s"]) == 602 and got["r"]["c_c"] == 1 and got["s"]["c_c"] is None and got["r"]["c_x599"] is None
+
+
+def test_matrix_grid(spark):
+    facts = spark.createDataFrame([("r", "a", "physical_circ", "network_open", "no", None), ("r", "b", "digital_email", "ambiguous", "no", None)], "row string, lib string, pass_form string, verdict string, restricted string, scope string")
+    audits = spark.createDataFrame([("r", "a", "approved"), ("r", "a", "corrected"), ("s", "a", "approved")], "row string, lib string, status string")
+    rows = spark.createDataFrame([("r",), ("s",)], "row string")
+    d = M.matrix_grid(rows, "row", [("a", None), ("a", "main"), ("b", None), ("b", "main")], facts, "lib", audits, M.cell_match(verdict="network_open"))
+    got = {(x["row"], x["lib"], x["branch"]): tuple(x)[3:] for x in d.collect()}
+    assert len(got) == 8 and got["r", "a", None] == got["r", "a", "main"] == ("physical_circ", "network_open", False, True, True)
+    assert got["r", "b", None] == ("digital_email", "ambiguous", True, False, False) and got["r", "b", "main"] == got["s", "a", None] == (None, None, False, False, False)
+
+
+def test_card_choice(spark):
+    passes = spark.createDataFrame([("p1", "a", "network_open"), ("p2", "b", "ambiguous"), ("p3", "b", "own_card_only"), ("p4", "c", None)], "pid string, library_id string, verdict string")
+    cards = spark.createDataFrame([(9, "a", "1", True), (7, "a", "2", None), (1, "a", "3", False)], "card_id int, library_id string, card_number string, enabled boolean")
+    libs = spark.createDataFrame([("a", "N"), ("b", "N"), ("c", "M")], "library_id string, network string")
+    got = {r["pid"]: (r["card_id"], r["card_library"], r["kind"]) for r in M.card_choice(passes, cards, libs).collect()}
+    assert got == {"p1": (7, "a", "exact"), "p2": (7, "a", "network"), "p3": (None, None, None), "p4": (None, None, None)}
+
 
 
 def test_deep_links(spark):

@@ -82,6 +82,8 @@ def test_seeded_pools_are_disjoint_and_stable(spark):
     a = [(r["pool"], r["key"]) for r in M.seeded_pools(d, ["key"], pools, "s").collect()]
     b = [(r["pool"], r["key"]) for r in M.seeded_pools(d.repartition(7), ["key"], pools, "s").collect()]
     assert sorted(a) == sorted(b) and len({k for _, k in a}) == len(a) == 45
+    scans = [plan(M.seeded_pools(d, ["key"], {f"p{i}": (F.col("key") % (i + 2) == 0, 3) for i in range(n)}, "s")).count("Range") for n in (2, 10)]
+    assert scans[0] == scans[1]
 
 
 def test_no_query_plans_a_cross_join(spark, sf):

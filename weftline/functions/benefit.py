@@ -29,10 +29,6 @@ def joined_source(phrases, text) -> Column:
     return F.when(F.size(col(phrases)) > 0, F.array_join(parts, " ")).otherwise(clean_benefit(text))
 
 
-def phrase_window(c, width: int = 280) -> Column:
-    return F.substring(clean_benefit(c), 1, width)
-
-
 def without_negative_prices(c) -> Column:
     """Drop 'regular admission $X' comparisons and fines before prices are read."""
     return reduce(lambda acc, p: swap(acc, p, " ", "iU"), fx.NEGATIVE_PRICE_CONTEXT, col(c))

@@ -18,10 +18,6 @@ def rx(pattern: str, flags: str = "iU") -> str:
     return f"(?{flags}){pattern}" if flags else pattern
 
 
-def lit_pattern(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
 def has(c, pattern: str, flags: str = "iU") -> Column:
     """Regex search as a non-null boolean."""
     return F.coalesce(col(c).rlike(rx(pattern, flags)), F.lit(False))
@@ -164,7 +160,13 @@ def find_all(c, pattern: str, flags: str = "iU", before: int = 0, after: int = 0
 
 
 def first_hits(values, key) -> Column:
-    """Elements whose key occurs for the first time, in order; ``key`` maps an element to its key."""
+    """Elements whose key occurs for the first time, in order; ``key`` maps an element to its key, and elements without one go.
+
+    (key, place) pairs are sorted once; the first of each run of equal keys names the element to keep.
+    """
     def kept(v):
-        return let(F.transform(v, key), lambda keys: F.filter(v, lambda x, i: F.array_position(keys, key(x)) == i + 1))
+        places = F.transform(v, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
+        ordered = F.sort_array(F.filter(places, lambda p: p["k"].isNotNull()))
+        firsts = let(ordered, lambda s: F.filter(s, lambda p, n: (n == 0) | (F.get(s, n - 1)["k"] != p["k"])))
+        return F.transform(F.sort_array(F.transform(firsts, lambda p: p["i"])), lambda i: F.get(v, i))
     return let(values, kept)

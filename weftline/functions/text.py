@@ -194,7 +194,3 @@ def claims_free(notes) -> Column:
 def source_marker(html_col) -> Column:
     """URL of the first provenance comment of the whole text."""
     return grab(col(html_col), fx.SOURCE_MARKER, 1, "")
-
-
-def has_text(c) -> Column:
-    return has(c, r"\S", "")

@@ -21,10 +21,6 @@ def merge_days(df: DataFrame, keys: Sequence[str], status: str, ordinal: str, st
     return df.groupBy(*keys).agg(F.max_by(status, rank).alias(status))
 
 
-def first_page_wins(df: DataFrame, keys: Sequence[str], status: str, ordinal: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min_by(status, F.struct(ordinal, status)).alias(status))
-
-
 def to_day_map(days: DataFrame, keys: Sequence[str], day: str, status: str, out: str = "availability") -> DataFrame:
     """MAP<day,status> per pass from rows that are unique per (pass, day): at most one entry per calendar day."""
     entry = F.struct(F.col(day).cast("string").alias("k"), F.col(status).alias("v"))

@@ -20,11 +20,6 @@ GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 SLICES = 64
 
 
-def unique_by(df: DataFrame, keys: Sequence[str], order: Sequence | None = None) -> DataFrame:
-    """One row per key, so a lookup side can never multiply rows."""
-    return top_per(df, keys, order or [F.xxhash64(*df.columns)], 1)
-
-
 def top_per(df: DataFrame, by: Sequence[str], order: Sequence, k: int) -> DataFrame:
     """First k rows per key."""
     return ranked_top(df, by, order, k, "_rank").drop("_rank")

@@ -20,15 +20,33 @@ def join_dims(facts: DataFrame, dims: Sequence[tuple[DataFrame, str]]) -> DataFr
     return out
 
 
-def matrix(facts: DataFrame, row: str, column: str, columns: Sequence, value: Column, max_columns: int = 500) -> DataFrame:
+def matrix(facts: DataFrame, row: str, column: str, columns: Sequence, value: Column, rows: DataFrame | None = None) -> DataFrame:
     """Dense matrix: one row per row key, one column per listed column key, NULL where there is no fact.
 
-    The column keys are given, so this is one aggregate without a cross join. A wider column set than ``max_columns``
-    has to be laid out with ``matrix_cells``, which is the same content in long form.
+    The column keys are given, so this is one aggregate without a cross join. ``rows`` (unique on ``row``) is the row dimension:
+    every one of its keys has a row, also without any fact, and its other columns come along. ``matrix_grid`` is the long form.
     """
-    if len(columns) > max_columns:
-        raise ValueError(f"{len(columns)} columns; use matrix_cells")
-    return facts.groupBy(row).agg(*[F.max(F.when(F.col(column) == c, value)).alias(f"c_{c}") for c in columns])
+    cells = facts.groupBy(row).agg(*[F.max(F.when(F.col(column) == c, value)).alias(f"c_{c}") for c in columns])
+    return cells if rows is None else rows.join(cells, row, "left")
+
+
+def matrix_grid(rows: DataFrame, row: str, columns: Sequence[tuple], facts: DataFrame, column: str, audits: DataFrame, shown: Column | None = None) -> DataFrame:
+    """Every cell of the matrix in long form, whatever its width: ``row``, library and branch of the column, cell and its flags.
+
+    ``columns`` lists (column key, branch or None) pairs and is unfolded inside each row, so no tables are multiplied. A branch
+    column shows the pass of its library only where it is picked up at branches (physical forms). ``facts`` holds pass_form,
+    verdict, restricted and scope per (row, column) and ``audits`` a status per (row, column); several are reduced first.
+    ``masked`` marks filled cells that the filter ``shown`` (over the facts' columns) hides.
+    """
+    key = dict(facts.dtypes)[column]
+    pairs = F.array(*[F.struct(F.lit(c).cast(key).alias(column), F.lit(b).cast("string").alias("branch")) for c, b in columns])
+    cells = facts.groupBy(row, column).agg(F.min(F.struct("pass_form", "verdict", "restricted", "scope")).alias("_c")).select(row, column, "_c.*").withColumn("_shown", F.lit(True) if shown is None else F.coalesce(shown, F.lit(False)))
+    state = audits.groupBy(row, column).agg(F.bool_or(F.col("status") == "approved").alias("_approved"), F.bool_or(F.col("status") == "corrected").alias("_corrected"))
+    grid = rows.select(row, F.explode(pairs).alias("_k")).select(row, "_k.*").join(cells, [row, column], "left").join(state, [row, column], "left")
+    here = F.col("pass_form").isNotNull() & (F.col("branch").isNull() | F.col("pass_form").startswith("physical"))
+    flag = lambda c: here & F.coalesce(c, F.lit(False))
+    return grid.select(row, column, "branch", F.when(here, F.col("pass_form")).alias("pass_form"), F.when(here, F.col("verdict")).alias("verdict"),
+                       flag(~F.col("_shown")).alias("masked"), flag(F.col("_approved")).alias("approved"), flag(F.col("_corrected")).alias("corrected"))
 
 
 def matrix_cells(facts: DataFrame, row: str, column: str, value: Column) -> DataFrame:
@@ -88,6 +106,23 @@ def match_cards(passes: DataFrame, cards: DataFrame, libraries: DataFrame, by: S
     return j.withColumns({"n_exact": exact, "n_network": F.when(closed, F.lit(0)).otherwise(siblings)}).drop("_own", "_net")
 
 
+def card_choice(passes: DataFrame, cards: DataFrame, libraries: DataFrame, card: str = "card_id", by: Sequence[str] = ()) -> DataFrame:
+    """The best usable card per pass (and owner, with ``by``): one of the pass's own library before one of a sibling library in its
+    network, then the smallest id. Adds ``card``, card_library and kind ('exact', 'network' or NULL).
+
+    Cards are reduced to one per library and one per network first. Where a library has a card of its own it is taken, so the
+    network's best card is only used where it belongs to a sibling; passes that take own cards only never get one.
+    """
+    libs = libraries.select("library_id", "network")
+    best = usable_cards(cards).groupBy(*by, "library_id").agg(F.min(card).alias("_own"))
+    net = best.join(libs, "library_id").groupBy(*by, "network").agg(F.min(F.struct(F.col("_own").alias("id"), "library_id")).alias("_net"))
+    j = passes.join(libs, "library_id").join(best, [*by, "library_id"], "left").join(net, [*by, "network"], "left")
+    open_ = ~F.coalesce(F.col("verdict") == "own_card_only", F.lit(False))
+    sibling = F.when(F.col("_own").isNull() & open_, F.col("_net"))
+    return j.withColumns({card: F.coalesce("_own", sibling["id"]), "card_library": F.when(F.col("_own").isNotNull(), F.col("library_id")).otherwise(sibling["library_id"]),
+                          "kind": F.when(F.col("_own").isNotNull(), "exact").when(sibling.isNotNull(), "network")}).drop("_own", "_net")
+
+
 def pickup_method(pass_type) -> Column:
     return F.when(col(pass_type).isin("physical-circ", "physical-coupon"), "physical_at_branch").otherwise("digital")
 
@@ -181,7 +216,7 @@ def seeded_pools(df: DataFrame, key: Sequence[str], pools: Mapping[str, tuple[Co
     """Reproducible sample of each pool in turn, no row used twice.
 
     A pool can lose at most what earlier pools took, so the first sum-of-takes rows per pool decide everything: one pass over
-    the data keeps those, and the pools are then resolved on that short list.
+    the data keeps those, and the pools are then dealt from that short list in one fold (its length is pools times takes).
     """
     total = sum(take for _, take in pools.values())
     tags = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(i).alias("pool_no"), F.lit(name).alias("pool")))
@@ -189,11 +224,16 @@ def seeded_pools(df: DataFrame, key: Sequence[str], pools: Mapping[str, tuple[Co
     d = df.select(*key, F.explode(tags).alias("_t")).select(*key, "_t.pool_no", "_t.pool")
     d = d.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), "pool", *key), 256))
     short = top_per(d, ["pool_no"], [F.col("_h"), *key], total)
-    picked = None
-    for i, (name, (_, take)) in enumerate(pools.items()):
-        mine = short.filter(F.col("pool_no") == i)
-        if picked is not None:
-            mine = mine.join(picked.select(*key), list(key), "left_anti")
-        mine = ranked_top(mine, ["pool_no"], [F.col("_h"), *key], take, "pick_no")
-        picked = mine if picked is None else picked.unionByName(mine)
-    return picked.select("pool", "pick_no", *key)
+    listed = short.agg(F.sort_array(F.collect_list(F.struct("pool_no", "_h", F.struct(*key).alias("k"), "pool"))).alias("rows"))
+    takes = F.array(*[F.lit(take) for _, take in pools.values()])
+
+    def deal(acc, x):
+        n = F.when(acc["pool_no"] == x["pool_no"], acc["n"]).otherwise(0)
+        free = (n < F.get(takes, x["pool_no"])) & ~F.exists(acc["picked"], lambda p: p["k"].eqNullSafe(x["k"]))
+        pick = F.struct(x["pool"].alias("pool"), (n + 1).alias("pick_no"), x["k"].alias("k"))
+        return F.struct(x["pool_no"].alias("pool_no"), F.when(free, n + 1).otherwise(n).alias("n"), F.when(free, F.concat(acc["picked"], F.array(pick))).otherwise(acc["picked"]).alias("picked"))
+
+    shape = f"array<struct<pool:string,pick_no:int,k:{df.select(*key).schema.simpleString()}>>"
+    start = F.struct(F.lit(-1).alias("pool_no"), F.lit(0).alias("n"), F.array().cast(shape).alias("picked"))
+    picked = listed.select(F.explode(F.aggregate("rows", start, deal, lambda acc: acc["picked"])).alias("_p"))
+    return picked.select("_p.pool", "_p.pick_no", "_p.k.*")

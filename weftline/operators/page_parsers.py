@@ -148,11 +148,17 @@ def parse_two_theme_index(df: DataFrame, keys: Sequence[str], html: str) -> Data
     """Museum buttons of either theme with the id before (first theme) or after (second theme) the name, and the benefit of that id."""
     h = F.col(html)
     number = lambda x: F.regexp_extract(x["hit"], fx.MUSEUM_ID, 1)
-    def named(ids, pattern, pick):
-        return F.transform(find_all(h, pattern, ""), lambda n: F.struct(F.regexp_extract(n["hit"], pattern, 1).alias("name"), pick(ids, n).alias("musid")))
-    last_before = lambda ids, n: F.try_element_at(F.transform(F.filter(ids, lambda x: x["at"] < n["at"]), number), F.lit(-1))
-    first_after = lambda ids, n: F.get(F.transform(F.filter(ids, lambda x: x["at"] >= n["at"] + F.length(n["hit"])), number), F.lit(0))
-    names = lambda ids: F.when(h.rlike(fx.THEME1_NAME), named(ids, fx.THEME1_NAME, last_before)).otherwise(named(ids, fx.THEME2_NAME, first_after))
+    def named(ids, pattern, place, step):
+        """Every name with the id next to it. Ids and names are merged by position once; name j at merged place p has p - j ids before it."""
+        def one(b):
+            spot = lambda at, is_id: F.struct(at.alias("at"), F.lit(is_id).alias("is_id"))
+            merged = F.sort_array(F.concat(F.transform(b["found"], lambda n: spot(place(n), 0)), F.transform(ids, lambda x: spot(x["at"], 1))))
+            spots = F.filter(F.transform(merged, lambda m, p: F.struct(m["is_id"].alias("is_id"), p.alias("p"))), lambda m: m["is_id"] == 0)
+            musid = lambda s, j: number(F.get(ids, F.get(s, j)["p"] - j + step))
+            return let(spots, lambda s: F.transform(b["found"], lambda n, j: F.struct(F.regexp_extract(n["hit"], pattern, 1).alias("name"), musid(s, j).alias("musid"))))
+        return bind(one, found=find_all(h, pattern, ""))
+    names = lambda ids: F.when(h.rlike(fx.THEME1_NAME), named(ids, fx.THEME1_NAME, lambda n: n["at"], -1)).otherwise(
+        named(ids, fx.THEME2_NAME, lambda n: n["at"] + F.length(n["hit"]), 0))
     blocks = F.map_from_entries(F.reverse(first_hits(F.reverse(F.arrays_zip(grab_all(html, fx.DETAIL_BLOCK, 1).alias("k"), grab_all(html, fx.DETAIL_BLOCK, 2).alias("v"))),
                                                      lambda e: e["k"])))
     def with_block(b):

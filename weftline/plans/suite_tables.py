@@ -139,17 +139,54 @@ def card_matching_by_owner(spark, sf):
     return d.groupBy("owner", "library_id").agg(BIG(F.sum("n_exact")).alias("n_exact"), BIG(F.sum("n_network")).alias("n_network"))
 
 
-@query("dense_matrix", "SELECT p.p_brand AS brand, " + ", ".join(f"max(CASE WHEN l.area = '{a}' THEN d.attraction_id END) AS \"c_{a}\"" for a in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
-       + " FROM {d_pass} d JOIN {d_library} l ON l.library_id = d.library_id JOIN {part} p ON p.p_partkey = d.attraction_id GROUP BY 1")
+AREAS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+@query("dense_matrix", "SELECT p.p_partkey AS attraction_id, p.p_brand AS brand, " + ", ".join(f"max(CASE WHEN l.area = '{a}' THEN d.library_id END) AS \"c_{a}\"" for a in AREAS)
+       + " FROM {part} p LEFT JOIN {d_pass} d ON p.p_partkey = d.attraction_id LEFT JOIN {d_library} l ON l.library_id = d.library_id GROUP BY 1, 2")
 def dense_matrix(spark, sf):
     part = V(spark, sf, "part").select(F.col("p_partkey").alias("attraction_id"), F.col("p_brand").alias("brand"))
-    d = M.join_dims(V(spark, sf, "d_pass"), [(V(spark, sf, "d_library").select("library_id", "area"), "library_id"), (part, "attraction_id")])
-    return M.matrix(d, "brand", "area", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], F.col("attraction_id"))
+    d = M.join_dims(V(spark, sf, "d_pass"), [(V(spark, sf, "d_library").select("library_id", "area"), "library_id")])
+    return M.matrix(d, "attraction_id", "area", AREAS, F.col("library_id"), part)
 
 
-@query("matrix_cells", "SELECT attraction_id, library_id, max(verdict) AS cell FROM {d_access} a WHERE pass_form <> 'physical_circ' GROUP BY 1, 2")
+@query("matrix_cells", "SELECT attraction_id, library_id, max(verdict) AS cell FROM {d_access} a GROUP BY 1, 2")
 def matrix_cells(spark, sf):
-    return M.matrix_cells(V(spark, sf, "d_access").filter("pass_form <> 'physical_circ'"), "attraction_id", "library_id", F.col("verdict"))
+    return M.matrix_cells(V(spark, sf, "d_access"), "attraction_id", "library_id", F.col("verdict"))
+
+
+GRID = [(f"NATION_{i}", b) for i in range(25) for b in (None, "annex")]
+
+
+@query("matrix_grid", """WITH f AS (SELECT a.attraction_id, l.network, min(struct_pack(pass_form := pass_form, verdict := verdict, restricted := restricted, scope := coalesce(scope, ''))) AS c
+        FROM {d_access} a JOIN {d_library} l ON l.library_id = a.library_id GROUP BY 1, 2),
+    u AS (SELECT o_custkey AS attraction_id, network, bool_or(o_orderstatus = 'O') AS approved, bool_or(o_orderstatus = 'F') AS corrected
+        FROM {orders} JOIN {d_library} l ON l.library_id = o_orderkey % 10 + 1 GROUP BY 1, 2),
+    g AS (SELECT p_partkey AS attraction_id, concat('NATION_', i) AS network, b AS branch FROM {part}, unnest(range(25)) AS t(i), unnest([NULL, 'annex']) AS v(b)),
+    j AS (SELECT g.*, f.c, u.approved, u.corrected, f.c IS NOT NULL AND (branch IS NULL OR f.c.pass_form LIKE 'physical%') AS here
+        FROM g LEFT JOIN f ON f.attraction_id = g.attraction_id AND f.network = g.network LEFT JOIN u ON u.attraction_id = g.attraction_id AND u.network = g.network)
+    SELECT attraction_id, network, branch, CASE WHEN here THEN c.pass_form END AS pass_form, CASE WHEN here THEN c.verdict END AS verdict, here AND c.verdict <> 'network_open' AS masked,
+        here AND coalesce(approved, false) AS approved, here AND coalesce(corrected, false) AS corrected FROM j""")
+def matrix_grid(spark, sf):
+    lib = V(spark, sf, "d_library").select("library_id", "network")
+    facts = V(spark, sf, "d_access").join(lib, "library_id").withColumn("scope", F.coalesce("scope", F.lit("")))
+    status = F.when(F.col("o_orderstatus") == "O", "approved").when(F.col("o_orderstatus") == "F", "corrected").otherwise("noted")
+    audits = V(spark, sf, "orders").select(F.col("o_custkey").alias("attraction_id"), (F.col("o_orderkey") % 10 + 1).alias("library_id"), status.alias("status")).join(lib, "library_id")
+    parts = V(spark, sf, "part").select(F.col("p_partkey").alias("attraction_id"))
+    return M.matrix_grid(parts, "attraction_id", GRID, facts, "network", audits, M.cell_match(verdict="network_open"))
+
+
+@query("card_choice", """WITH own AS (SELECT owner, library_id, min(card_id) AS id FROM {d_card} x WHERE enabled GROUP BY 1, 2),
+    net AS (SELECT owner, network, min(id) AS id, arg_min(own.library_id, id) AS lib FROM own JOIN {d_library} l ON l.library_id = own.library_id GROUP BY 1, 2),
+    a AS (SELECT c_mktsegment AS owner, x.* FROM {d_access} x JOIN {customer} ON c_custkey = x.attraction_id)
+    SELECT a.owner, a.library_id, a.attraction_id, coalesce(own.id, CASE WHEN a.verdict <> 'own_card_only' THEN net.id END) AS card_id,
+        CASE WHEN own.id IS NOT NULL THEN a.library_id WHEN a.verdict <> 'own_card_only' THEN net.lib END AS card_library,
+        CASE WHEN own.id IS NOT NULL THEN 'exact' WHEN a.verdict <> 'own_card_only' AND net.id IS NOT NULL THEN 'network' END AS kind
+    FROM a JOIN {d_library} l ON l.library_id = a.library_id LEFT JOIN own ON own.owner = a.owner AND own.library_id = a.library_id LEFT JOIN net ON net.owner = a.owner AND net.network = l.network""")
+def card_choice(spark, sf):
+    who = V(spark, sf, "customer").select(F.col("c_custkey").alias("attraction_id"), F.col("c_mktsegment").alias("owner"))
+    d = M.card_choice(V(spark, sf, "d_access").join(who, "attraction_id"), V(spark, sf, "d_card"), V(spark, sf, "d_library"), by=["owner"])
+    return d.select("owner", "library_id", "attraction_id", "card_id", "card_library", "kind")
 
 
 @query("matrix_columns", """SELECT library_id, 'lib' AS kind, NULL AS branch FROM {d_library} l UNION ALL SELECT library_id, 'branch', CAST(branch_id AS VARCHAR) FROM {d_branch} b
@@ -327,7 +364,7 @@ def duplicate_keys(spark, sf):
 
 @query("nested_duplicates", "SELECT p_partkey FROM {part} WHERE p_size % 5 = p_partkey % 5")
 def nested_duplicates(spark, sf):
-    item = lambda c: F.struct(F.lit("Child").alias("audience"), c.alias("max"), F.rand(1).alias("noise"))
+    item = lambda c: F.struct(F.lit("Child").alias("audience"), c.alias("max"), F.hash(c, "p_partkey").alias("noise"))
     d = V(spark, sf, "part").select("p_partkey", F.array(item((F.col("p_size") % 5).cast("bigint")), item((F.col("p_partkey") % 5).cast("bigint"))).alias("ps"))
     return Q.nested_duplicates(d, "ps", ["audience", "max"]).select("p_partkey")
 

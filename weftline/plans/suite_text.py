@@ -141,13 +141,14 @@ def page_gates(spark, sf):
 
 
 @query("blackout_phrases", """SELECT o_orderkey, CAST(month(o_orderdate) AS BIGINT) AS month, CAST(day(o_orderdate) AS BIGINT) AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'mondays,sundays' ELSE '' END AS weekdays,
-    o_orderkey % 2 = 0 AND dayofweek(o_orderdate) IN (0, 1) OR true AS hit FROM {orders}""")
+    true AS hit, o_orderkey % 2 = 0 AND dayofweek(CAST(o_orderdate AS DATE) + 40) IN (0, 1) AS later_hit FROM {orders}""")
 def blackout_phrases(spark, sf):
     from weftline.functions import dates
     body = F.concat(F.lit("Closed "), F.date_format("o_orderdate", "MMMM d"), F.when(F.col("o_orderkey") % 2 == 0, " and on Mondays, Sundays.").otherwise("."))
     d = spread(spark, sf, "orders").withColumn("_d", dates.blackout_days(body)).withColumn("_w", dates.blackout_weekdays(body))
     one = F.get("_d", F.lit(0))
-    return d.select("o_orderkey", BIG(one["month"]).alias("month"), BIG(one["day"]).alias("day"), F.array_join("_w", ",").alias("weekdays"), dates.is_blackout("_d", "_w", F.to_date("o_orderdate")).alias("hit"))
+    return d.select("o_orderkey", BIG(one["month"]).alias("month"), BIG(one["day"]).alias("day"), F.array_join("_w", ",").alias("weekdays"), dates.is_blackout("_d", "_w", F.to_date("o_orderdate")).alias("hit"),
+                    dates.is_blackout("_d", "_w", F.date_add(F.to_date("o_orderdate"), 40)).alias("later_hit"))
 
 
 @query("blackout_test", """SELECT o_orderkey, (month(o_orderdate) = 7 AND day(o_orderdate) = 4) OR dayofweek(o_orderdate) = 1 AS blocked FROM {orders}""")

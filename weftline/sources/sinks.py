@@ -24,10 +24,6 @@ def write_table(df: DataFrame, root: str, name: str, metrics: Mapping[str, Colum
     return written
 
 
-def row_digest(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    return F.sha2(F.to_json(F.struct(*sorted(columns or df.columns)), {"ignoreNullFields": "false"}), 256)
-
-
 def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Per table: rows, serialized bytes, and an order-insensitive content hash (sum and xor of row hashes)."""
     parts = []
