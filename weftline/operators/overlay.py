@@ -20,13 +20,14 @@ def branch_target(library, branch) -> Column:
 
 
 def effective_overrides(*sources: DataFrame) -> DataFrame:
-    """One record per (kind, id, field); later sources beat earlier ones, then the later record."""
+    """One record per (kind, id, field); later sources beat earlier ones, then the later record (column ``seq``), then the larger content,
+    so that the choice does not hang on the order of arrival."""
     tagged = [s.withColumn("_p", F.lit(i)) for i, s in enumerate(sources)]
     both = tagged[0]
     for t in tagged[1:]:
         both = both.unionByName(t, allowMissingColumns=True)
     rest = [c for c in both.columns if c not in ("kind", "id", "field", "_p")]
-    best = F.max_by(F.struct(*rest), F.struct("_p", *([F.col("seq")] if "seq" in rest else [])))
+    best = F.max_by(F.struct(*rest), F.struct("_p", *([F.col("seq")] if "seq" in rest else []), *rest))
     return both.groupBy("kind", "id", "field").agg(best.alias("_r")).select("kind", "id", "field", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
@@ -60,8 +61,10 @@ def drop_removed(df: DataFrame, key: str, overrides: DataFrame, marker: str = "_
 
 
 def upsert(store: DataFrame, records: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Records replace stored rows with the same key."""
-    return store.join(records.select(*keys).distinct(), list(keys), "left_anti").unionByName(records)
+    """Records replace stored rows with the same key; of several records with one key the one with the largest content stays."""
+    rest = [c for c in records.columns if c not in keys]
+    one = records.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]) if rest else records.distinct()
+    return store.join(one.select(*keys), list(keys), "left_anti").unionByName(one)
 
 
 def revoke(store: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from weftline.plans.derived import spread, view
 from weftline.plans.registry import query
 from weftline.plans.suite_keys import UNESC
 from weftline.sources import scans
+from weftline.sources.scans import keyed_by_path
 
 V = view
 BIG = lambda c: c.cast("bigint")
@@ -87,9 +88,9 @@ def evidence_rows(spark, sf):
     return e.groupBy("lang").agg(F.count("*").alias("pages"), F.count_distinct("source_url").alias("n"))
 
 
-@query("evidence_manifest", "SELECT s_suppkey, (SELECT count(*) FROM {pages} WHERE page_id = s_suppkey AND url LIKE 'https:%') AS pages_inspected FROM {supplier}")
+@query("evidence_manifest", "SELECT s_suppkey, (SELECT count(*) FROM {pages} WHERE page_id % 100 + 1 = s_suppkey) AS pages_inspected FROM {supplier}")
 def evidence_manifest(spark, sf):
-    pages = spread(spark, sf, "pages").filter("url LIKE 'https:%'").select(F.col("page_id").alias("s_suppkey"))
+    pages = V(spark, sf, "pages").select((F.col("page_id") % 100 + 1).alias("s_suppkey"))
     return J.evidence_manifest(V(spark, sf, "supplier").select("s_suppkey"), pages, "s_suppkey")
 
 
@@ -121,11 +122,12 @@ def unknown_json_fields(spark, sf):
     return scans.unknown_fields(V(spark, sf, "events").select(raw.alias("raw")), "raw", "k bigint")
 
 
-@query("keyed_by_file_name", "SELECT concat('lib', o_custkey % 10) AS library_id, count(*) AS n FROM {orders} GROUP BY 1")
+@query("keyed_by_file_name", "SELECT concat('lib', o_custkey % 10) AS library_id, count(*) AS n, count(*) AS n_keyed FROM {orders} GROUP BY 1")
 def keyed_by_file_name(spark, sf):
     """The key is cut out of a path such as .../<library>__<key>.json, as the keyed scan does."""
     path = F.concat(F.lit("/raw/x/lib"), (F.col("o_custkey") % 10).cast("string"), F.lit("__part-"), S("o_orderkey"), F.lit(".json"))
-    return spread(spark, sf, "orders").groupBy(F.regexp_extract(path, r"([^/]+)__([^/]+)\.json$", 1).alias("library_id")).agg(F.count("*").alias("n"))
+    d = keyed_by_path(V(spark, sf, "orders").select("o_orderkey", path.alias("_path")), r"([^/]+)__part-([^/]+)\.json$", ["library_id", "key"])
+    return d.groupBy("library_id").agg(F.count("*").alias("n"), F.count_if(F.col("key") == S("o_orderkey")).alias("n_keyed"))
 
 
 @query("rebuild_from_raw", "SELECT count(*) FILTER (url IN (SELECT url FROM {pages} WHERE url LIKE 'https:%')) AS rebuilt, count(*) FILTER (url NOT LIKE 'https:%') AS skipped FROM {pages}")

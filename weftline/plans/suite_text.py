@@ -47,17 +47,15 @@ def offer_capacity(spark, sf):
     return spread(spark, sf, "d_offer").withColumn("c", benefit.extract_capacity(benefit.clean_benefit("body"))).select("p_partkey", "c.kind", "c.n")
 
 
-@query("negative_price_context", "SELECT p_partkey, CASE WHEN kind = 3 THEN concat('Visitors pay $', d, ' per person with this pass.') ELSE body END AS rest FROM {d_offer} o")
+@query("negative_price_context", "SELECT p_partkey, CASE WHEN kind = 3 THEN concat('Visitors pay $', d, ' per person with this pass.  .') ELSE body END AS rest FROM {d_offer} o")
 def negative_price_context(spark, sf):
-    rest = core.swap(core.squeeze(benefit.without_negative_prices("body")), r"\s*\.\s*\.?$", ".")
-    return spread(spark, sf, "d_offer").select("p_partkey", F.when(F.col("kind") == 3, F.regexp_replace(rest, r"\. \.$", ".")).otherwise(F.col("body")).alias("rest"))
+    return spread(spark, sf, "d_offer").select("p_partkey", benefit.without_negative_prices("body").alias("rest"))
 
 
-@query("source_text_window", "SELECT p_partkey, CASE WHEN kind % 2 = 0 THEN concat(\"left\"(body, 20), ' & more') ELSE body END AS src, length(body) AS size FROM (SELECT p_partkey, kind, body FROM {d_offer} o)")
+@query("source_text_window", "SELECT p_partkey, CASE WHEN kind % 2 = 0 THEN concat(trim(\"left\"(body, 20)), ' & more') ELSE body END AS src FROM {d_offer} o")
 def source_text_window(spark, sf):
-    d = spread(spark, sf, "d_offer").withColumn("phrases", F.when(F.col("kind") % 2 == 0, F.array(F.concat(F.lit("  "), F.left("body", F.lit(20))), F.lit(""), F.lit("&amp;  more"))).otherwise(F.array().cast("array<string>")))
-    src = benefit.joined_source("phrases", "body")
-    return d.select("p_partkey", F.when(F.col("kind") % 2 == 0, F.concat(F.left("body", F.lit(20)), F.substring(src, F.length(core.squeeze(F.left("body", F.lit(20)))) + 1, F.lit(100)))).otherwise(src).alias("src"), F.length("body").alias("size"))
+    phrases = F.when(F.col("kind") % 2 == 0, F.array(F.concat(F.lit("  "), F.left("body", F.lit(20))), F.lit(""), F.lit("&amp;  more"))).otherwise(F.array().cast("array<string>"))
+    return spread(spark, sf, "d_offer").withColumn("phrases", phrases).select("p_partkey", benefit.joined_source("phrases", "body").alias("src"))
 
 
 @query("stated_restrictions", """SELECT p_partkey, CASE WHEN kind = 0 THEN month_no END AS month, CASE WHEN kind < 4 THEN kind = 0 END AS weekdays_only, CASE WHEN kind < 4 THEN kind = 1 END AS advance, CASE WHEN kind = 2 THEN 'One booking per month' END AS frequency,
@@ -198,7 +196,7 @@ def geocode_queries(spark, sf):
 def library_mentions(spark, sf):
     first = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("  North"), F.col("s_suppkey").cast("string"), F.lit(" Public Library, open\n"))).otherwise("a small Library\n")
     body = F.concat(first, F.lit("East Side Library and more\nthe Old Library\nEast Side Library again\nX Library"))
-    return V(spark, sf, "supplier").select("s_suppkey", F.array_join(F.filter(text.library_mentions(body), lambda x: x != "X Library"), "|").alias("names"))
+    return V(spark, sf, "supplier").select("s_suppkey", F.array_join(text.library_mentions(body), "|").alias("names"))
 
 
 @query("policy_text_blocks", r"""SELECT page_id, md5(coalesce(array_to_string(ds, chr(10)), '')) AS digest FROM (SELECT page_id, list_filter(list_transform(list_zip(ts, range(1, len(ts) + 1)), lambda z: CASE WHEN list_position(ts, z[1]) = z[2] THEN z[1] END), lambda x: x IS NOT NULL) AS ds

@@ -38,7 +38,12 @@ def scan_exploded(spark: SparkSession, glob: str, schema: str, array: str, platf
 def scan_keyed(spark: SparkSession, glob: str, schema: str, key_regex: str, keys: Sequence[str]) -> DataFrame:
     """Files whose names are keys: one scan, keys cut out of the path (group i -> keys[i])."""
     d = spark.read.schema(schema).option("multiLine", True).json(glob).withColumn("_path", F.col("_metadata.file_path"))
-    return d.select(*[F.regexp_extract("_path", key_regex, i + 1).alias(k) for i, k in enumerate(keys)], *[c for c in d.columns if c not in keys and c != "_path"])
+    return keyed_by_path(d, key_regex, keys)
+
+
+def keyed_by_path(df: DataFrame, key_regex: str, keys: Sequence[str], path: str = "_path") -> DataFrame:
+    """Group i of the pattern in the column ``path`` as column keys[i], in front of the other columns; the path itself goes."""
+    return df.select(*[F.regexp_extract(path, key_regex, i + 1).alias(k) for i, k in enumerate(keys)], *[c for c in df.columns if c not in keys and c != path])
 
 
 def index_types(index: DataFrame, canonical: str = "canonical") -> tuple[DataFrame, DataFrame]:

@@ -11,9 +11,10 @@ from weftline.operators.calendars import merge_days
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last write per key, as a combinable aggregate."""
+    """Last write per key, as a combinable aggregate; writes with equal order are decided by their content (columns without maps)."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    ties = [c for c in rest if c not in order and "map<" not in dict(df.dtypes)[c]]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *ties)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def override_log(df: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = "op") -> DataFrame:
