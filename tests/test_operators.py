@@ -177,3 +177,14 @@ def test_labels(spark):
 def test_site_roots(spark):
     d = spark.createDataFrame([("example.org/x", "https://example.org/"), ("http://a.b/c?d", "http://a.b/")], "u string, want string")
     assert d.filter(text.site_root("u") != F.col("want")).count() == 0
+
+
+def test_ties_do_not_hang_on_arrival(spark):
+    from weftline.operators import overlay
+    from weftline.streaming.stateful import keep_latest
+    rows = [("k", "f", "id", "b", 1), ("k", "f", "id", "a", 1)]
+    shape = "kind string, field string, id string, value string, seq int"
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, shape)
+        assert overlay.effective_overrides(d).first()["value"] == "b" and keep_latest(d, ["id"], ["seq"]).first()["value"] == "b"
+        assert [r["value"] for r in overlay.upsert(d.filter("value = 'a'"), d, ["id"]).collect()] == ["b"]

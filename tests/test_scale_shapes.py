@@ -106,8 +106,8 @@ def test_scan_reads_only_needed_columns(spark, sf):
 def test_filter_reaches_the_scan(spark, sf):
     p = plan(catalog.QUERIES["nearest_preceding_marker"](spark, sf))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in p
-    p = plan(catalog.QUERIES["library_enrichment"](spark, sf))
-    assert "EqualTo(l_returnflag,R)" in p
+    p = plan(catalog.QUERIES["orphan_keys"](spark, sf))
+    assert "GreaterThanOrEqual(s_acctbal,0.0)" in p
 
 
 def test_every_query_has_an_oracle():

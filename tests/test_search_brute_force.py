@@ -1,6 +1,7 @@
 """In-row search helpers against plain Python on random strings."""
 
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -32,3 +33,17 @@ def test_squeeze_and_windows(spark):
     d = spark.createDataFrame([(" a\u00a0\n b ",), ("xx key yy",), ("key",)], "t string")
     assert [r[0] for r in d.select(core.squeeze("t")).collect()] == ["a b", "xx key yy", "key"]
     assert [r[0] for r in d.select(core.match_window("t", "key", 2, 99)).collect()] == [None, "x key yy", "key"]
+
+
+def test_many_hits_in_one_text(spark):
+    """Cost grows with the hits, not with their square: four times the hits may not cost sixteen times as much."""
+    took = []
+    for n in (12_500, 50_000):
+        d = spark.createDataFrame([(" ".join(f"${i % 7}" for i in range(n)),)], "t string")
+        start = time.perf_counter()
+        hits = d.select(core.find_all("t", r"\$\d", "i").alias("f")).select(F.size("f"), F.try_element_at("f", F.lit(-1))["at"]).first()
+        firsts = d.select(core.first_hits(F.split("t", " "), lambda x: x).alias("f")).first()[0]
+        took.append(time.perf_counter() - start)
+        assert tuple(hits) == (n, 3 * (n - 1)) and firsts == [f"${i}" for i in range(7)]
+    print(took)
+    assert took[1] < 12 * max(took[0], 0.5)
