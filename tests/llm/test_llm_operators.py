@@ -437,6 +437,49 @@ def test_codec_is_as_good_as_the_library_with_the_same_scores():
     assert same > 200
 
 
+def test_codec_of_a_bpe_file_gives_the_ids_of_the_library(spark, docs, texts):
+    """The public file as it is: merge order, in words, in long stretches without a border and in small blocks."""
+    import sentencepiece
+
+    library, own, rng = sentencepiece.SentencePieceProcessor(model_file=pieces_codec.model_path()), pieces_codec.codec(pieces_codec.model_path()), random.Random(9)
+    assert pieces_codec.model_path().endswith("piece_bpe_32k.model")
+    small = type(own)(pieces_codec.model_path(), limit=100, block=50)
+    plain = ["Und ein Haus, the thing and l'été", "a" * 20_000, "".join(rng.choice("etaoin") for _ in range(5000)), " " * 3000, "=-" * 1000 + "theing" * 1000, "\x00\t \ra", "▁ x"]
+    mixed = ["".join(rng.choice(a) for _ in range(rng.choice((1, 3, 25, 400)))) for a in ("abc é梦\U0001f600,.  \n", "theandingou éß., \n12梦", "aaab", "= -_") for _ in range(100)]
+    for t in [*plain, *mixed, *(t for t in texts if t)]:
+        want = library.encode(t)
+        for c in (own, small):
+            assert np.frombuffer(c.encode(t), "<u4").tolist() == want
+    got = pieces_codec.encode_pieces(docs.where("text is not null")).collect()
+    want = Counter((r.doc_id, *library.encode(r.text)) for r in docs.where("text is not null").collect())
+    assert Counter((r.doc_id, *r.ids) for r in got) == want
+    text = "".join(rng.choice("etaoin") for _ in range(6000))
+    stream = own.search(own.model)
+    for a in range(0, len(text), 37):
+        stream.feed(text[a : a + 37], a + 37 >= len(text))
+        assert stream.window <= 9 * own.model.longest + 37 + 200
+
+
+def test_codec_keeps_best_paths_for_unigram_files(tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto.FromString(open(pieces_codec.model_path(), "rb").read())
+    proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+    (tmp_path / "unigram.model").write_bytes(proto.SerializeToString())
+    own = pieces_codec.codec(str(tmp_path / "unigram.model"))
+    assert type(own) is pieces_codec.Codec and own.encode("Und ein Haus") == pieces_codec.Codec(pieces_codec.model_path()).encode("Und ein Haus")
+    proto.trainer_spec.model_type = proto.trainer_spec.BPE
+    for piece in proto.pieces[400:404]:  # pieces of the user are cut out before anything is merged
+        piece.type = piece.USER_DEFINED
+    (tmp_path / "user.model").write_bytes(proto.SerializeToString())
+    own, library, rng = pieces_codec.codec(str(tmp_path / "user.model")), sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "user.model")), random.Random(2)
+    parts = [*own.model.defined, "the", " ", "and", "é", "梦"]
+    for _ in range(300):
+        t = "".join(rng.choice(parts) for _ in range(20)).replace("▁", " ")
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t)
+
+
 def test_pipeline_stages_against_brute_force(spark, sf):
     import corpus_pipeline as pipeline
 

@@ -1,6 +1,11 @@
-"""SentencePiece encoding and decoding by a streaming Viterbi search over the scores of a piece file.
+"""SentencePiece encoding and decoding of whole texts, by the model type that a piece file names.
 
-The search reads a text from left to right and keeps the best score of the last places only, as many as the longest piece has
+The scores of a BPE file are merge ranks: neighbours whose joint piece has the best score are joined first, the leftmost of equals. A
+row of pieces is what these merges give exactly if the merges keep every two neighbours of the row apart, as the first merge over a
+border would happen between the two alone too. So the last piece of the first i characters follows from the pieces before it, and the
+text is read from left to right like below, with one path to each place.
+
+Other files are searched for the path of the best score (Viterbi). The search reads a text from left to right and keeps the best score of the last places only, as many as the longest piece has
 characters. It commits ids as soon as the backpointers of all places that a later piece can start from meet in one boundary, so a text
 of any length needs a window, not a lattice. Where no piece of the file can span two characters (a space after a word, for instance),
 all paths meet by construction; such stretches are encoded once and remembered.
@@ -13,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 from math import inf
 
 import numpy as np
@@ -30,6 +36,7 @@ class PieceModel:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
@@ -37,12 +44,19 @@ class PieceModel:
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.pieces = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         self.scores = {p: sp.get_score(i) for p, i in self.pieces.items()}
+        proto = sentencepiece_model_pb2.ModelProto.FromString(open(path, "rb").read())
+        self.merges = proto.trainer_spec.model_type == proto.trainer_spec.BPE
+        if self.merges and any(map(sp.is_unused, range(n))):
+            raise ValueError("a BPE file with unused pieces: what their merges are taken apart into isn't known")
+        #: pieces that are cut out of a text before anything is merged, the longest first
+        self.defined = sorted((x.piece for x in proto.pieces if x.type == x.USER_DEFINED), key=len, reverse=True)
         value = {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [b"" if sp.is_control(i) else value.get(i, sp.id_to_piece(i).encode()) for i in range(n)]  # what each id decodes to
         self.longest = max(map(len, self.pieces), default=1)
         self.penalty = min(self.scores.values(), default=0.0) - 10.0  # of a character that no piece covers
         self.table: dict[str, float | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.scores  # score of a piece; None: only the beginning of one
         self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}  # neighbours that some piece spans
+        self._apart: dict[tuple[str, str], bool] = {}
         #: whether some piece goes on behind a word with a space; if none does, words with their leading spaces are encoded alone
         self.spans_words = any(re.search(f"[^{SPACE_SIGN}]{SPACE_SIGN}", p) for p in self.pieces)
 
@@ -52,6 +66,29 @@ class PieceModel:
             return [found]
         return [self.bytes[b] for b in piece.encode()] if len(self.bytes) == 256 else [self.unknown]
 
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a short text by merge order; single characters stay where nothing joins them."""
+        parts = list(text)
+        ranks = [self.scores.get(a + b, -inf) for a, b in pairwise(parts)]
+        while ranks and (best := max(ranks)) > -inf:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.scores.get(parts[i - 1] + parts[i], -inf)
+            if i < len(ranks):
+                ranks[i] = self.scores.get(parts[i] + parts[i + 1], -inf)
+        return parts
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether the merges leave these two neighbours as they are; an empty `left` is the beginning of a text."""
+        found = self._apart.get((left, right))
+        if found is None:
+            if len(self._apart) >= 1_000_000:
+                self._apart.clear()
+            found = self._apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        return found
+
 
 class StreamingViterbi:
     """Feed characters, receive ids; ties go to the path found first, that with the longer last piece."""
@@ -68,7 +105,6 @@ class StreamingViterbi:
 
     def feed(self, text: str, last: bool = False) -> list[int]:
         m = self.model
-        table, longest, absent = m.table, m.longest, m
         self.buffer += text
         grow = len(self.buffer) + 1 - len(self.best)
         self.best += [-inf] * grow
@@ -76,19 +112,7 @@ class StreamingViterbi:
         end = len(self.buffer) if last else len(self.buffer) - m.longest + 1
         ids: list[int] = []
         while self.done < end:
-            at, buffer, best, back = self.done, self.buffer, self.best, self.back
-            base, single = best[at], False
-            for to in range(at + 1, min(at + longest, len(buffer)) + 1):
-                score = table.get(buffer[at:to], absent)
-                if score is absent:
-                    break
-                if score is not None:
-                    if to == at + 1:
-                        single = True
-                    if base + score > best[to]:
-                        best[to], back[to] = base + score, at
-            if not single and base + m.penalty > best[at + 1]:
-                best[at + 1], back[at + 1] = base + m.penalty, at
+            self._extend(self.done)
             self.done += 1
             if self.done >= 8 * m.longest and self.done % m.longest == 0:
                 cut = self._meeting()
@@ -97,6 +121,23 @@ class StreamingViterbi:
                     end -= cut
         return ids + (self._commit(len(self.buffer)) if last and self.buffer else [])
 
+    def _extend(self, at: int) -> None:
+        """Offer the places behind `at` the pieces that start there."""
+        m, buffer, best, back = self.model, self.buffer, self.best, self.back
+        table, longest, absent = m.table, m.longest, m
+        base, single = best[at], False
+        for to in range(at + 1, min(at + longest, len(buffer)) + 1):
+            score = table.get(buffer[at:to], absent)
+            if score is absent:
+                break
+            if score is not None:
+                if to == at + 1:
+                    single = True
+                if base + score > best[to]:
+                    best[to], back[to] = base + score, at
+        if not single and base + m.penalty > best[at + 1]:
+            best[at + 1], back[at + 1] = base + m.penalty, at
+
     def _meeting(self) -> int:
         """The last boundary that every surviving path goes through: those to the places where later pieces start or end."""
         ends = {i for i in range(self.done, min(self.done + self.model.longest, len(self.best))) if self.best[i] > -inf}
@@ -125,8 +166,34 @@ class StreamingViterbi:
         return ids
 
 
+class StreamingMerges(StreamingViterbi):
+    """The same by merge order: `best` is 0 where the pieces up to a place are known, `back` the start of the last of them."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__(model)
+        self.before = ""  # the piece that ends at `start`
+
+    def _extend(self, at: int) -> None:
+        m, buffer, best, back = self.model, self.buffer, self.best, self.back
+        table, absent = m.table, m
+        before = buffer[back[at] : at] if at else self.before
+        for to in range(at + 1, min(at + m.longest, len(buffer)) + 1):
+            piece = buffer[at:to]
+            score = table.get(piece, absent)
+            if (to == at + 1 or score is not absent and score is not None) and m.apart(before, piece):
+                best[to], back[to] = 0.0, at
+            if score is absent:
+                break
+
+    def _commit(self, cut: int) -> list[int]:
+        self.before = self.buffer[self.back[cut] : cut]
+        return super()._commit(cut)
+
+
 class Codec(dict):
-    """stretch -> its ids as bytes, for stretches that no piece can leave; beyond `limit` entries the memory starts anew."""
+    """Best paths. stretch -> its ids as bytes, for stretches that no piece can leave; beyond `limit` entries the memory starts anew."""
+
+    search = StreamingViterbi
 
     def __init__(self, path: str, limit: int = 400_000, block: int = 1 << 16):
         super().__init__()
@@ -147,7 +214,7 @@ class Codec(dict):
         return found
 
     def _encoded(self, text: str) -> bytes:
-        search, parts = StreamingViterbi(self.model), []
+        search, parts = self.search(self.model), []
         if len(text) <= self.block:
             ids = search.feed(text, last=True)
             return struct.pack(f"<{len(ids)}I", *ids)
@@ -172,10 +239,45 @@ class Codec(dict):
         return text[1:] if text.startswith(" ") else text
 
 
+class MergeCodec(Codec):
+    """Merge order, as the library encodes with a BPE file."""
+
+    search = StreamingMerges
+
+    def __init__(self, path: str, limit: int = 400_000, block: int = 1 << 10):  # what is fed at once is moved at every commit
+        super().__init__(path, limit, block)
+        self.defined = re.compile("(" + "|".join(map(re.escape, self.model.defined)) + ")") if self.model.defined else None
+
+    def _encoded(self, text: str) -> bytes:
+        if len(text) > 64:
+            return super()._encoded(text)
+        m = self.model
+        ids = [i for p in m.merged(text) for i in ((m.pieces[p],) if p in m.pieces else m.ids_of(p))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str) -> bytes:
+        if self.defined is None:
+            found = super().encode(text)
+        elif text:
+            known, parts = self.model.pieces, self.defined.split(SPACE_SIGN + text.replace(" ", SPACE_SIGN))
+            whole = (lambda t: self._encoded(t) if t else b"") if self.model.spans_words else lambda t: b"".join(map(self.__getitem__, self.stretch.findall(t)))
+            found = b"".join(struct.pack("<I", known[p]) if i % 2 else whole(p) for i, p in enumerate(parts))
+        else:
+            found = b""
+        if len(self.model.bytes) < 256:  # a run of unknown characters is one id
+            ids = np.frombuffer(found, "<u4")
+            again = ids == self.model.unknown
+            again[1:] &= ids[:-1] == self.model.unknown
+            again[:1] = False
+            found = ids[~again].tobytes()
+        return found
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """One per worker process."""
-    return Codec(path)
+    """One per worker process, of the kind that the file's model type asks for."""
+    own = MergeCodec(path)
+    return own if own.model.merges else Codec(path)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -187,7 +289,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 def encode_pieces(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (a list) of every whole text.
 
-    The best path over the file's scores; characters that no piece covers become byte ids (the unknown id where the file has no bytes).
+    By merge order for a BPE file, the best path over the scores for others; characters that no piece covers become byte ids (the unknown id where the file has no bytes).
     Defined results: null and empty texts have no ids; null ids and repeated rows are encoded like others; an empty table gives an empty
     result; other columns are ignored. The sign U+2581 stands for a space, as in the library.
     """
