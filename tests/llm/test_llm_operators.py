@@ -250,6 +250,23 @@ def test_quality_forest_tells_junk_from_prose(spark, sf):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality_rules.quality_rules(docs, labels).where("kept").collect()}
 
 
+def test_quality_keeps_a_clean_text_of_any_length(spark, sf):
+    """Different good texts joined: common words come again, and the share of distinct words of the whole text falls."""
+    big = sf.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    good = docs.join(labels.where("quality = 1"), "doc_id").where("text is not null").select("text").distinct().orderBy("text")
+    clean = "\n".join(r.text for r in good.collect())
+    assert len(clean.split()) > 300_000
+    junk = " ".join(random.Random(1).choices("buy now cheap best offer click here free win cash".split(), k=100_000))
+    long = spark.createDataFrame([(1, clean), (2, junk)], "doc_id long, text string")
+    model = quality_rules.fit_rules(docs, labels)
+    (counts, ratios), (_, bad) = (quality_rules.statistics(r.text) for r in long.orderBy("doc_id").collect())
+    assert 100 * counts[4] <= 20 * counts[0]
+    assert model.score(np.array([ratios]))[0] <= model.limit < model.score(np.array([bad]))[0]
+    words = [b"%d" % (i % 150) for i in range(1000)]
+    assert [quality_rules.distinct_share(words[:n]) for n in (0, 1, 100, 150, 1000)] == [0, 1, 1, 1, 1] and quality_rules.distinct_share(words[:150] + [b"x"] * 10, 100) == 191 / 200
+
+
 def test_isolation_forest_scores_outliers_higher():
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(400, 3)), [[9, 9, 9], [-8, 7, 9]]])

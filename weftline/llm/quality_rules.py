@@ -26,6 +26,7 @@ _BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("symbols", "repeated", "capitals", "letters", "distinct")
 STATS = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{r} double" for r in RATIOS)
+BLOCK = 100  # words
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,6 +53,18 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return int(covered.sum())
 
 
+def distinct_share(words: list[bytes], block: int = BLOCK) -> float:
+    """Mean share of distinct words over consecutive blocks of `block` words; the last block reaches back, so that it's full too.
+
+    Over a whole text the share would fall with the text's length, as common words come again. A text shorter than a block is one block.
+    """
+    n = len(words)
+    if n <= block:
+        return len(set(words)) / max(n, 1)
+    starts = [*range(0, n - block, block), n - block]
+    return sum(len(set(words[a : a + block])) for a in starts) / (block * len(starts))
+
+
 def statistics(text: str) -> tuple[list[int], list[float]]:
     """The five counts and the five ratios of a whole text."""
     data = text.encode()
@@ -62,7 +75,7 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     symbols, repeated = without(_SYMBOLS), repeated_words(words)
     other = len(text) - (len(data) - without(_HIGH))  # code points beyond ASCII count as letters
     n, c = max(len(words), 1), max(chars, 1)
-    return [len(words), chars, symbols, len(lines) - len(set(lines)), repeated], [symbols / c, repeated / n, without(_UPPER) / c, (without(_LETTERS) + other) / c, len(set(words)) / n]
+    return [len(words), chars, symbols, len(lines) - len(set(lines)), repeated], [symbols / c, repeated / n, without(_UPPER) / c, (without(_LETTERS) + other) / c, distinct_share(words)]
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
