@@ -37,3 +37,16 @@ def test_search_cost_follows_the_hits(spark):
 
     took(100)
     assert took(8000) < 8
+
+
+def test_index_page_reads_long_cards_and_no_neighbours(spark):
+    card = lambda key, kind, pad, paras: f'<div class="museum-pass-pass-type">{kind}</div>{pad}<a href="https://l.example/museum-passes/by-museum/{key}/">See</a>{pad}' + (f"<h5>Pass Benefits</h5>{''.join(f'<p>{p}</p>' for p in paras)}</div></div>" if paras else "")
+    many = [f"Benefit number {i}" for i in range(9)] + ["long " * 1000 + "end"]
+    menu = "".join(f'<a href="/museum-passes/by-museum/{k}/">m</a>' for k in ("art", "bee", "cat", "by-date"))
+    page = menu + card("art", "Circulating Pass", "." * 7000, many) + card("bee", "Printable/Digital Coupon Pass", "", []) + '<a href="/museum-passes/by-museum/cat/">See</a><a href="/museum-passes/by-museum/cat/">again</a><h5>Pass Benefits</h5><p>Cats get in free</p></div></div>'
+    d = spark.createDataFrame([("k", page)], "k string, h string")
+    got = {r["attraction_slug"]: r for r in page_parsers.parse_index_page(d, ["k"], "h").collect()}
+    assert list(got) == ["art", "bee", "cat"]
+    assert got["art"]["benefit_text"] == "\n".join(many) and got["art"]["source_phrases"] == many and got["art"]["pass_type_text"] == "Circulating Pass"
+    assert got["bee"]["benefit_text"] is None and got["bee"]["pass_type_text"] == "Printable/Digital Coupon Pass"
+    assert got["cat"]["benefit_text"] == "Cats get in free" and got["cat"]["pass_type_text"] is None

@@ -17,29 +17,50 @@ from weftline.operators.keys import first_per
 from weftline.operators.page_jobs import segments
 
 
+_CUT = "\u0001"
+
+
 def _rows(df: DataFrame, keys: Sequence[str], items: Column) -> DataFrame:
     return df.select(*keys, F.posexplode(items).alias("pos", "_i")).select(*keys, "pos", "_i.*")
 
 
+def _cut_at(html: str, pattern: str, **groups: int) -> tuple[Column, Column]:
+    """The text before the first match, and for each match its groups, itself (`hit`) and the text up to the next one (`after`)."""
+    text = F.translate(F.col(html), _CUT, " ")
+    pieces = F.split(swap(text, pattern, _CUT), _CUT)
+    found = [grab_all(text, pattern, g).alias(n) for n, g in groups.items()]
+    return F.get(pieces, F.lit(0)), F.arrays_zip(*found, grab_all(text, pattern, 0).alias("hit"), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("after"))
+
+
 # ---------------------------------------------------------------- by-museum index
 def parse_index_page(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
-    """One row per pass link: key, title, URL, benefit text (first 6 paragraphs), pass type nearest before the link."""
+    """One row per pass link: key, title, URL, benefit text (all paragraphs), pass type nearest before the link.
+
+    The page is cut at its links: a pass has what lies between its link and the next link of another pass, and its type stands between
+    the link before and its own. Of several such parts (a menu, say) the first that says something counts.
+    """
     h = F.col(html)
-    links = F.arrays_zip(grab_all(html, fx.INDEX_ANCHOR, 1).alias("url"), grab_all(html, fx.INDEX_ANCHOR, 2).alias("key"))
-    links = first_hits(F.filter(links, lambda a: ~a["key"].isin(*fx.INDEX_RESERVED)), lambda a: a["key"])
-    def item(a):
-        mark = F.concat(F.lit("/museum-passes/by-museum/"), a["key"], F.lit("/"))
-        at = F.position(mark, h)
-        start = F.greatest(F.lit(1), at - fx.INDEX_BEFORE)
-        before = F.when(at > 0, h.substr(start, at - start))
-        after = F.when(at > 0, h.substr(at + F.length(mark), F.lit(fx.INDEX_AFTER)))
-        paras = F.transform(grab_all(F.regexp_extract(after, fx.INDEX_BENEFITS, 1), fx.PARAGRAPH, 1), lambda p: strip_tags(p))
-        paras = F.filter(paras, lambda p: (F.length(p) > 5) & (F.length(p) < 2000))
-        kinds = F.regexp_extract_all(before, F.lit(fx.INDEX_PASS_TYPE), F.lit(1))
-        kind = F.when(F.size(kinds) > 0, strip_tags(F.element_at(kinds, -1)))
+    def step(acc, x):  # neighbouring links of one pass make one part
+        last = F.get(acc, F.size(acc) - 1)
+        part = lambda url, text: F.array(F.struct(x["key"].alias("key"), url.alias("url"), text.alias("text")))
+        return F.when(last["key"] == x["key"], F.concat(F.slice(acc, 1, F.size(acc) - 1), part(last["url"], F.concat(last["text"], x["hit"], x["after"])))).otherwise(F.concat(acc, part(x["url"], x["after"])))
+    def read(b):
+        def one(x, i):
+            before = F.when(i == 0, b["first"]).otherwise(F.get(b["parts"], i - 1)["text"])
+            paras = F.transform(grab_all(F.regexp_extract(x["text"], fx.INDEX_BENEFITS, 1), fx.PARAGRAPH, 1), lambda p: strip_tags(p))
+            kinds = F.regexp_extract_all(before, F.lit(fx.INDEX_PASS_TYPE), F.lit(1))
+            return F.struct(x["key"].alias("key"), x["url"].alias("url"), F.filter(paras, lambda p: F.length(p) > 5).alias("paras"), F.when(F.size(kinds) > 0, strip_tags(F.element_at(kinds, -1))).alias("kind"))
+        return F.transform(b["parts"], one)
+    parts = lambda cells: F.aggregate(cells, F.array().cast("array<struct<key:string,url:string,text:string>>"), step)
+    first, cells = _cut_at(html, fx.INDEX_LINK, url=1, key=2)
+    read_parts = bind(read, first=first, parts=parts(cells))
+    def item(a, parts):
+        own = F.filter(parts, lambda p: p["key"] == a["key"])
+        paras = F.coalesce(F.get(F.filter(own, lambda p: F.size(p["paras"]) > 0), F.lit(0))["paras"], F.array().cast("array<string>"))
         return F.struct(a["key"].alias("attraction_slug"), a["url"].alias("detail_url"), paras.alias("source_phrases"),
-                        F.when(F.size(paras) > 0, F.array_join(F.slice(paras, 1, 6), "\n")).alias("benefit_text"), kind.alias("pass_type_text"))
-    d = _rows(df.filter(h.contains("/museum-passes/by-museum/")), keys, F.transform(links, item))
+                        F.when(F.size(paras) > 0, F.array_join(paras, "\n")).alias("benefit_text"), F.get(F.filter(own, lambda p: p["kind"].isNotNull()), F.lit(0))["kind"].alias("pass_type_text"))
+    items = let(read_parts, lambda parts: F.transform(first_hits(parts, lambda a: a["key"]), lambda a: item(a, parts)))
+    d = _rows(df.filter(h.contains("/museum-passes/by-museum/")), keys, items)
     return d.withColumns({"title": title_case(F.replace("attraction_slug", F.lit("-"), F.lit(" "))), "pass_type": classify_pass_type_text("pass_type_text")})
 
 
