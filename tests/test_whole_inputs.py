@@ -50,3 +50,18 @@ def test_index_page_reads_long_cards_and_no_neighbours(spark):
     assert got["art"]["benefit_text"] == "\n".join(many) and got["art"]["source_phrases"] == many and got["art"]["pass_type_text"] == "Circulating Pass"
     assert got["bee"]["benefit_text"] is None and got["bee"]["pass_type_text"] == "Printable/Digital Coupon Pass"
     assert got["cat"]["benefit_text"] == "Cats get in free" and got["cat"]["pass_type_text"] is None
+
+
+def test_calendar_cells_of_any_length(spark):
+    pad = "<i>x</i>" * 2000
+    cell = lambda day, classes, body: f'<div class="day day-{{}} day-2026-05-{day:02d}{classes}">{body}'
+    two = "".join(cell(d, "", f'<div class="n">{pad}<span class="s-lc-pass-{s}">5</span></div> </div>').format("Tue") for d, s in ((5, "available"), (6, "unavailable"), (7, "available")))
+    two += cell(8, "", '<div class="n">').format("Tue") + cell(9, "", '<span class="s-lc-pass-available">5</span></div></div>').format("Tue")
+    d = spark.createDataFrame([("k", two)], "k string, h string")
+    got = {str(r["day"])[-2:]: r["status"] for r in page_parsers.parse_fragment_two_state(d, ["k"], "h").collect()}
+    assert got == {"05": "available", "06": "booked", "07": "available", "08": "booked", "09": "available"}
+    mark = '<i class="time-partially-available"></i></div>'
+    old = "".join(cell(d, " day-has-openings", body).format("tue") for d, body in ((5, pad + mark), (6, "</div>"), (7, mark), (8, "</div>")))
+    d = spark.createDataFrame([("k", old)], "k string, h string")
+    got = {str(r["day"])[-2:]: r["status"] for r in page_parsers.parse_calendar_limited(d, ["k"], "h").collect()}
+    assert got == {"05": "limited", "06": "available", "07": "limited", "08": "available"}

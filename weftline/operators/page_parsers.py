@@ -97,8 +97,8 @@ def parse_fragment(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
 
 
 def parse_fragment_two_state(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
-    """Older reading of the fragment: available or booked; past and other-month cells skipped, last cell of a day counts."""
-    raw = F.arrays_zip(*[grab_all(html, fx.OLD_FRAGMENT_DAY, g).alias(n) for g, n in ((1, "d"), (2, "c"), (3, "b"))])
+    """Older reading of the fragment: available or booked; past and other-month cells skipped, last cell of a day counts. A cell ends where the next one begins at the latest."""
+    raw = F.transform(_cut_at(html, fx.OLD_FRAGMENT_DAY, d=1, c=2)[1], lambda x: F.struct(x["d"].alias("d"), x["c"].alias("c"), F.coalesce(grab(x["after"], fx.OLD_FRAGMENT_BODY, 1, ""), x["after"]).alias("b")))
     kept = F.filter(raw, lambda x: ~x["c"].contains("other-month") & ~x["c"].contains("day-past"))
     free = lambda b: b.contains("s-lc-pass-available") & ~b.contains("s-lc-pass-unavailable") & ~b.contains("s-lc-pass-not-yet-available")
     cells = F.transform(kept, lambda x: F.struct(x["d"].alias("day"), F.when(free(x["b"]), "available").otherwise("booked").alias("status")))
@@ -106,9 +106,9 @@ def parse_fragment_two_state(df: DataFrame, keys: Sequence[str], html: str) -> D
 
 
 def parse_calendar_limited(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
-    """Older calendar: available / booked, upgraded to 'limited' where a partial-availability mark follows."""
+    """Older calendar: available / booked, upgraded to 'limited' where a partial-availability mark follows before the next cell."""
     raw = F.arrays_zip(grab_all(html, fx.OLD_CELL, 1).alias("d"), grab_all(html, fx.OLD_CELL, 2).alias("c"))
-    partial = F.when(F.col(html).contains("time-partially-available"), grab_all(html, fx.OLD_PARTIAL_CELL, 1)).otherwise(F.array().cast("array<string>"))
+    partial = F.when(F.col(html).contains("time-partially-available"), F.transform(F.filter(_cut_at(html, fx.OLD_ANY_CELL, d=1)[1], lambda x: x["after"].contains("time-partially-available")), lambda x: x["d"])).otherwise(F.array().cast("array<string>"))
     def cell(x, partial):
         status = F.when(x["c"].contains("day-has-openings"), "available").when(x["c"].contains("day-no-openings"), "booked")
         hidden = x["c"].contains("day-past") | x["c"].contains("day-blank")
