@@ -1,13 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing of every document against references made of the whole corpus.
+"""Substring deduplication by counts of content-cut phrases and of the windows around their ends, in place of a greedy relative parse.
 
 Every document falls into phrases at places that its words alone decide: the windows of `window` words whose smallest seed (a run of
-`seed` words) is the same one form a phrase. Equal passages therefore have equal phrases inside, wherever they stand. The distinct
-phrases of the corpus, dealt out by their seed, are the indexed reference blocks; a phrase that occurs once has its seed alone.
+`seed` words) is the same one form a phrase. Equal passages therefore have equal phrases inside, wherever they stand.
 
-A document is parsed from left to right: phrases that the reference holds elsewhere are taken over whole and chain into factors, which
-are duplicate spans. Where a factor ends, the next phrase shares its seed with the reference but not all of its words; there, at the
-factor boundaries only, single windows are looked up in the reference phrases of that seed. A window counts as repeated exactly when its
-words start anywhere else too, so the spans are those of a comparison of all windows, at a fraction of the rows.
+Nothing walks a document from left to right, extends a match or chains factors. Whole phrases are counted by hash; of the other phrases
+that share their seed with one elsewhere, single windows are counted by hash. A window counts as repeated exactly when its words start
+anywhere else too, so the spans are those of a comparison of all windows, at a fraction of the rows.
 
 Hot passages: counts are combined by the map tasks, and joins on hot seeds or windows have a written table of unique keys on their other
 side, so Spark splits them.
