@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.archive import archived
 from weftline.llm.common import table
+from weftline.llm.conversation_repair import conversation_repair
 from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.hilbert import hilbert_shards
 from weftline.llm.line_dedup import line_dedup
@@ -14,6 +15,7 @@ from weftline.llm.packing import best_fit_packing
 from weftline.llm.pieces_codec import piece_digests
 from weftline.llm.quality_rules import quality_rules
 from weftline.llm.substring_dedup import substring_dedup
+from weftline.llm.token_counts import token_counts
 from weftline.llm.token_files import token_digests
 
 
@@ -58,7 +60,15 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_hilbert_shards, op4_content_archive, op5_exact_dedup, op6_pieces_codec, op7_token_files, op8_best_fit_packing, op9_line_dedup, op10_substring_dedup)}
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair(table(spark, sf_dir, "conversations")).drop("n_blocks")
+
+
+def op12_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_hilbert_shards, op4_content_archive, op5_exact_dedup, op6_pieces_codec, op7_token_files, op8_best_fit_packing, op9_line_dedup, op10_substring_dedup, op11_conversation_repair, op12_token_counts)}
 
 ORACLES = {
     "op1_ngram_join": r"""
@@ -117,4 +127,42 @@ ORACLES = {
         k as (select w.doc_id, words, coalesce(n, 0) as n, [words[i] for i in range(1, len(words) + 1) if not list_contains(coalesce(places, []), i)] as kept
               from w left join gone on w.doc_id = gone.doc_id)
         select doc_id, len(words)::bigint as n_words, n::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k""",
+    "op11_conversation_repair": r"""
+        with recursive
+        crc as (select [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) for i in range(256)] as t),
+        o as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                     xor(list_reduce(list_concat([4294967295::bigint], [ord(x)::bigint for x in string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '')]),
+                                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as hit from conversations, crc),
+        d as (select conv_id, turn, case when hit = 4 then 'user' else role end as role,
+                     case when hit = 1 then '' when hit = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+              from o, unnest(case when hit = 3 then [1, 2] else [1] end) where hit <> 0),
+        n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as i from d),
+        f as (select *, i > min(i) over (partition by conv_id, role, text) as again, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare,
+                     lag(role) over (partition by conv_id order by i) as before from n),
+        g as (select *, case when bare = '' then 'blank' when again then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from f),
+        ins(p, q, n) as (values (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+        writes(role, p, q) as (values ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+        edits as (select 'D' as e, p, p as q, 4 as cost, null::varchar as role from range(4) t(p)
+                  union all select 'R', p, q, 3, null::varchar from writes where role <> 's' union all select 'K', p, q, 0, role from writes),
+        steps as (select ins.p, edits.q, ins.n * 3 + edits.cost as cost, repeat('I', ins.n) || e as letters, e, role from ins join edits on ins.q = edits.p),
+        walk as (select conv_id, 0::bigint as i, 0 as q, {'cost': 0, 'audit': ''} as best from (select distinct conv_id from g)
+                 union all
+                 select w.conv_id, w.i + 1, s.q, min({'cost': w.best.cost + s.cost + case when s.e <> 'D' and g.fault = 'truncated' then 3 else 0 end, 'audit': w.best.audit || s.letters})
+                 from walk w join g on g.conv_id is not distinct from w.conv_id and g.i = w.i + 1 join steps s on s.p = w.q
+                 where s.e = 'D' or g.fault not in ('blank', 'duplicate') and (s.role is null or s.role = left(g.role, 1))
+                 group by w.conv_id, w.i, s.q),
+        ends as (select conv_id, min({'cost': w.best.cost + n * 3, 'audit': w.best.audit || repeat('I', n)}) as best
+                 from walk w join ins on ins.p = w.q and ins.q in (0, 3) where i = (select max(i) from g where g.conv_id is not distinct from w.conv_id) group by conv_id),
+        counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 'blank') as blank, count_if(fault = 'duplicate') as duplicate,
+                          count_if(fault = 'truncated') as truncated, count_if(i > 1 and left(before, 1) || left(role, 1) not in ('su', 'ua', 'au')) as illegal from g group by conv_id),
+        edit as (select conv_id, u as spot, substr(best.audit, u::int, 1) as e from ends, unnest(range(1, length(best.audit) + 1)) as t(u)),
+        place as (select *, count_if(e <> 'I') over (partition by conv_id order by spot) as i, count_if(e <> 'D') over (partition by conv_id order by spot) as w from edit),
+        rows_ as (select p.conv_id, p.spot, p.w, p.e, g.role, case when p.e = 'I' then '' else g.text end as text,
+                         bool_or(p.w = 1 and p.e = 'K' and left(g.role, 1) = 's') over (partition by p.conv_id) as led
+                  from place p left join g on g.conv_id is not distinct from p.conv_id and g.i = p.i and p.e <> 'I' where p.e <> 'D'),
+        told as (select conv_id, string_agg(case when e = 'K' then role when (w - case when coalesce(led, false) then 1 else 0 end) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by spot) as body from rows_ group by conv_id)
+        select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+               coalesce(illegal, 0)::bigint as illegal, coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit, sha256(coalesce(body, '')) as repaired_sha256
+        from (select distinct conv_id from conversations) c left join counts on counts.conv_id is not distinct from c.conv_id
+        left join ends on ends.conv_id is not distinct from c.conv_id left join told on told.conv_id is not distinct from c.conv_id""",
 }
