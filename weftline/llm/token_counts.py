@@ -41,6 +41,8 @@ ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Signs that are a piece and a token of their own behind a word.
 _SIGNS = (",", ".", ":", ";", "!", "?")
 _ONE = array("h", [1]).tobytes()
+#: Last token, count and size of the empty prefix.
+_NONE = (-1, 0, 0)
 STORE = "doc_id long, n_bytes long, starts array<int>, lows array<int>, steps array<binary>"
 BLOCK = 1 << 15
 
@@ -75,7 +77,7 @@ class PrefixCounts:
         for t in self._ids:
             self._longest[t[-1]] = max(self._longest[t[-1]], len(t))
         self._fits: dict[tuple[int, int], bool] = {}
-        self._prefixes: dict[bytes, tuple[int, int, int]] = {b"": (-1, 0, 0)}
+        self._prefixes: dict[bytes, tuple[int, int, int]] = {b"": _NONE}
         self._first: dict[str, bytes] = {}
         self._rest: dict[str, bytes] = {}
 
@@ -88,31 +90,38 @@ class PrefixCounts:
         known = self._fits[last, token] = found == ([last, token] if last >= 0 else [token])
         return known
 
-    def piece(self, text: str) -> list[int]:
-        """Tokens of text[:1], text[:2], ... of one piece. What is known of a prefix (its last token and count) serves all pieces that begin with it."""
+    def _next(self, data: bytes, i: int, state: tuple[int, int, int], before) -> tuple[int, int, int]:
+        """The last token, count and size of that token for data[:i], from those of the shorter prefixes (`before` by length)."""
+        longer = state[2] + 1
+        for size in (longer, *range(1, min(i, self._longest[data[i - 1]]) + 1)):  # only one fits; mostly the last token grows, or a short one begins
+            token = self._ids.get(data[i - size : i])
+            if token is not None:
+                last, count, _ = before(i - size)
+                fits = self._fits.get((last, token))
+                if self._together(last, token) if fits is None else fits:
+                    return token, count + 1, size
+        raise ValueError("a byte without a token")
+
+    def piece(self, text: str, remembered: int = 64) -> list[int]:
+        """Tokens of text[:1], text[:2], ... of one piece. What is known of a short prefix serves all pieces that begin with it."""
         data = text.encode()
         known, n = self._prefixes, len(data)
-        if len(known) >= 2 * self._limit:
-            known.clear()
-            known[b""] = (-1, 0, 0)
-        at = n
-        while (state := known.get(data[:at])) is None:
-            at -= 1
-        for i in range(at + 1, n + 1):
-            longer = state[2] + 1
-            for size in (longer, *range(1, min(i, self._longest[data[i - 1]]) + 1)):  # only one fits; mostly the last token grows, or a short one begins
-                token = self._ids.get(data[i - size : i])
-                if token is not None:
-                    last, count, _ = known[data[: i - size]]
-                    fits = self._fits.get((last, token))
-                    if self._together(last, token) if fits is None else fits:
-                        state = known[data[:i]] = (token, count + 1, size)
-                        break
-            else:
-                raise ValueError("a byte without a token")
-        if n == len(text):
-            return [known[data[:i]][1] for i in range(1, n)] + [state[1]]
-        return [known[data[:i]][1] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]
+        if n > remembered:
+            states = [_NONE]
+            for i in range(1, n + 1):
+                states.append(self._next(data, i, states[-1], states.__getitem__))
+            counts = [s[1] for s in states[1:]]
+        else:
+            if len(known) >= 2 * self._limit:
+                known.clear()
+                known[b""] = _NONE
+            at = n
+            while (state := known.get(data[:at])) is None:
+                at -= 1
+            for i in range(at + 1, n + 1):
+                state = known[data[:i]] = self._next(data, i, state, lambda j: known[data[:j]])
+            counts = [known[data[:i]][1] for i in range(1, n + 1)]
+        return counts if n == len(text) else [c for i, c in enumerate(counts, 1) if i == n or data[i] & 0xC0 != 0x80]
 
     def _counts(self, text: str) -> list[int]:
         """Counts at all prefixes of a stretch that nothing in front of it reaches into."""
