@@ -8,6 +8,7 @@ from weftline.llm.archive import archived
 from weftline.llm.common import table
 from weftline.llm.conversation_repair import conversation_repair
 from weftline.llm.exact_dedup import exact_dedup
+from weftline.llm.hard_negatives import hard_negatives
 from weftline.llm.hilbert import hilbert_shards
 from weftline.llm.line_dedup import line_dedup
 from weftline.llm.ngram_join import ngram_join
@@ -68,7 +69,11 @@ def op12_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_hilbert_shards, op4_content_archive, op5_exact_dedup, op6_pieces_codec, op7_token_files, op8_best_fit_packing, op9_line_dedup, op10_substring_dedup, op11_conversation_repair, op12_token_counts)}
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_hilbert_shards, op4_content_archive, op5_exact_dedup, op6_pieces_codec, op7_token_files, op8_best_fit_packing, op9_line_dedup, op10_substring_dedup, op11_conversation_repair, op12_token_counts, op13_hard_negatives)}
 
 ORACLES = {
     "op1_ngram_join": r"""
@@ -165,4 +170,12 @@ ORACLES = {
                coalesce(illegal, 0)::bigint as illegal, coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit, sha256(coalesce(body, '')) as repaired_sha256
         from (select distinct conv_id from conversations) c left join counts on counts.conv_id is not distinct from c.conv_id
         left join ends on ends.conv_id is not distinct from c.conv_id left join told on told.conv_id is not distinct from c.conv_id""",
+    "op13_hard_negatives": """
+        with q as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double) for x in embedding] as v from embeddings
+                   where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from q a join q b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+        p as (select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+        n as (select p.a, p.b as p, p.score as ps, s.b as n, s.score as ns, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as rank
+              from p join s on p.a = s.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+        select a as anchor_id, p as positive_id, rank::int as rank, n as negative_id, ps as positive_score, ns as negative_score from n where rank <= 3""",
 }
