@@ -112,7 +112,7 @@ def _by_node(nodes: list[str], values: pa.Array) -> Iterator[tuple[np.ndarray, b
 
 
 class Tree:
-    """Tables of a built tree. `levels`: (node, points, low, high) per level, ranges as fan x fan matrices; `leaves`: (node, part, vec_id, label,
+    """Tables of a built tree. `levels`: (node, points, spans) per level, at most fan x fan spans; `leaves`: (node, part, vec_id, label,
     vec, square), parts of at most `leaf` rows or so; `parts`: (node, n_parts) of the leaves."""
 
     def __init__(self, levels: list[DataFrame], leaves: DataFrame, parts: DataFrame, width: int, long: float):
@@ -275,8 +275,8 @@ def _search(tree: Tree, met: DataFrame, anchors: DataFrame, wanted, most: int, g
 
 
 def _annulus(score: Column, long: float) -> Column:
-    """Distance from the anchor at a score; its own lift is zero."""
-    return F.sqrt(F.greatest(F.col("square") + F.lit(long) - 2 * score.cast("double"), F.lit(0.0)))
+    """Distance from the anchor at a score (its own lift is zero); null without one."""
+    return F.when(score.isNotNull(), F.sqrt(F.greatest(F.col("square") + F.lit(long) - 2 * score.cast("double"), F.lit(0.0))))
 
 
 def hard_negatives(table: DataFrame, every: int = 50, n_positives: int = 5, n_negatives: int = 3, low: int = 50, high: int = 95, unit: int = 100, fan: int = 32, leaf: int = 2048, group: int = 4096, **names: str) -> DataFrame:

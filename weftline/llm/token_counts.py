@@ -41,6 +41,9 @@ ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Signs that are a piece and a token of their own behind a word.
 _SIGNS = (",", ".", ":", ";", "!", "?")
 _ONE = array("h", [1]).tobytes()
+#: Latin letters, and characters beyond those on which Unicode versions agree what is a letter or a number.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+\\Z")
+_FAR = re.compile("[^\0-\u024f]")
 #: Last token, count and size of the empty prefix.
 _NONE = (-1, 0, 0)
 STORE = "doc_id long, n_bytes long, starts array<int>, lows array<int>, steps array<binary>"
@@ -67,7 +70,8 @@ class PrefixCounts:
         plain = all(not t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
         if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or not plain:
             raise ValueError(f"{path} is not a byte-level file whose texts are cut as they are")
-        self._model, self._letters, self._limit = Tokenizer.from_file(path).model, _byte_letters(), limit
+        tokenizer = Tokenizer.from_file(path)
+        self._model, self._cut, self._letters, self._limit = tokenizer.model, tokenizer.pre_tokenizer, _byte_letters(), limit
         byte = {c: b for b, c in enumerate(self._letters)}
         special = {t["content"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -123,12 +127,29 @@ class PrefixCounts:
             counts = [known[data[:i]][1] for i in range(1, n + 1)]
         return counts if n == len(text) else [c for i, c in enumerate(counts, 1) if i == n or data[i] & 0xC0 != 0x80]
 
+    def _units_of(self, text: str) -> Iterator[tuple[str, int]]:
+        """Units and where they end. Beyond the letters that everybody agrees on, the pre-tokenizer itself says where pieces end."""
+        if not _FAR.search(text):
+            yield from ((m[0], m.end()) for m in _units().finditer(text))
+            return
+        begin = None  # of a run of white space
+        for _, (a, b) in self._cut.pre_tokenize_str(text):
+            if not text[a:b].strip(BLANKS):
+                begin = a if begin is None else begin
+                continue
+            if begin is not None and text[a] != " ":
+                yield text[begin:a], a
+                begin = None
+            yield text[a if begin is None else begin : b], b
+            begin = None
+        if begin is not None:
+            yield text[begin:], len(text)
+
     def _counts(self, text: str) -> list[int]:
         """Counts at all prefixes of a stretch that nothing in front of it reaches into."""
         out: list[int] = []
         base = 0
-        for m in _units().finditer(text):
-            unit = m[0]
+        for unit, end in self._units_of(text):
             if unit in ENDINGS:
                 one = self.piece("'")[0]
                 out += (base + one, *(base + one + c for c in self.piece(unit[1:])[:-1]))
@@ -148,16 +169,16 @@ class PrefixCounts:
                 base += blank[run - 2] if run > 1 else 0
                 out += (base + c for c in counts)
                 base += counts[-1]
-            elif m.end() < len(text) and run > 1:
+            elif end < len(text) and run > 1:
                 base += blank[run - 2] + self.piece(unit[-1])[0]
             else:
                 base += blank[-1]
         return out
 
     def _stretch(self, known: dict[str, bytes], text: str, front: str) -> bytes:
-        if text[-1:] in _SIGNS and text[:-1].isalpha():  # a sign behind a word is one more token
+        if text[-1:] in _SIGNS and _WORD.match(text[:-1]):  # a sign behind a word is one more token
             return (known.get(text[:-1]) or self._stretch(known, text[:-1], front)) + _ONE
-        counts = self.piece(front + text) if text.isalpha() else self._counts(front + text)
+        counts = self.piece(front + text) if _WORD.match(text) else self._counts(front + text)
         steps = array("h", map(sub, counts, (0, *counts))).tobytes()
         if len(text) <= 64:
             if len(known) >= self._limit:
