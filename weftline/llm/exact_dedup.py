@@ -62,10 +62,21 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sal
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
     """`docs` without the copies: one row of each group of equal texts, all columns unchanged.
 
-    Rows are found by id and digest together, so rows without an id, or texts that share an id, are not confused. Of repeated rows
-    with one id and one text, one stays.
+    The rows themselves go through the three foldings, beside their normalised content; what the normalised form lost of the text
+    travels as its white space alone. So no row moves again once its group's winner is known.
+
+    Defined results: of equal texts the row with the smallest id stays, rows without an id come last; of rows that share that id, the one
+    with the ASCII-least white space; of repeated rows one. A null text is equal to the empty one and stays null where it wins. Column
+    names of any kind are kept; an empty table gives an empty result.
     """
-    best = combine(docs, doc_id, text, salts).select(F.col("keep_id").alias("_keep_id"), F.col("_digest").alias("_keep_digest"))
-    rows = docs.withColumn("_dedup_digest", sha256(normalised(text)))
-    stay = rows.join(best, F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (F.col("_dedup_digest") == F.col("_keep_digest")), "left_semi")
-    return stay.dropDuplicates([doc_id, "_dedup_digest"]).drop("_dedup_digest")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    content, column = normalised(text), lambda c: F.col(f"`{c}`")
+    blanks = F.when(F.col(text) != content, F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x"))
+    others = [F.when(F.col(text).isNull(), True).alias(n) if c == text else column(c).alias(n) for n, c in zip(names, docs.columns, strict=True)]
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.coalesce(blanks, F.lit("")).alias("blanks"))
+    rows = docs.select(F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"), sha256(content).alias("digest"), content.alias("content"), order.alias("order"), F.struct(*others, blanks.alias("blanks")).alias("row"))
+    best = lambda d, *keys: d.groupBy(*keys, "digest", "content").agg(F.min_by("row", "order").alias("row"), F.min("order").alias("order"))
+    first = best(best(rows, "salt"))
+    whole = F.array_join(F.zip_with(F.split("row.blanks", "x", -1), F.split(F.trim("content"), " ", -1), lambda gap, word: F.concat(gap, F.coalesce(word, F.lit("")))), "")
+    back = F.when(F.col(f"row.{names[docs.columns.index(text)]}"), None).otherwise(F.coalesce(whole, "content"))
+    return first.select(*(back.cast(docs.schema[c].dataType).alias(c) if c == text else F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)))
