@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import text_or_empty, written
@@ -170,12 +170,12 @@ def _finish(window: int, with_text: bool, names: list[str]):
     return run
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _key(doc_id: str, text: str) -> list[Column]:
     """A row is known by its id (or, without one, its text's hash) and a second hash of its text; equal rows share a key and a result."""
-    return docs.select("*", F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("_did"), F.hash(text).alias("_th"))
+    return [F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("did"), F.hash(text).alias("th")]
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 8, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 8, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, carry: list[Column] | None = None) -> DataFrame:
     """Removes every word inside a window of `window` words whose sequence also starts anywhere else, in this document or another.
 
     Returns doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space), one row per row; `with_text` adds
@@ -187,20 +187,20 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 8, doc_id: st
     """
     if not 1 <= window - seed < 64:
         raise ValueError("a window holds its seed, and at most 64 places for it")
-    source = _keyed(docs, doc_id, text)
-    own = source.select(F.col("_did").alias("did"), F.col("_th").alias("th"), text_or_empty(text).alias("text"))
+    key = _key(doc_id, text)
+    own = docs.select(*key, text_or_empty(text).alias("text"))
     found = written(own.mapInArrow(_phrase_rows(window, seed), PHRASES), "phrases")
     seeds = written(found.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("seed"), "seeds")
     shared = written(found.join(seeds, "seed"), "shared")
     reference = written(shared.groupBy("seed", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "at")).alias("first")), "reference")
-    whole = shared.join(reference.where("n > 1").select("seed", "phrase"), ["seed", "phrase"]).groupBy("did", "th").agg(F.collect_list("at").alias("whole"))
+    whole = shared.join(reference.where("n > 1").select("seed", "phrase"), ["seed", "phrase"]).groupBy("did", "th").agg(F.collect_set("at").alias("whole"))  # a set: copies of a row share its key and its places
     several = reference.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("seed").alias("_seed"))
     edge = reference.join(several, F.col("seed") == F.col("_seed")).select("first.*", F.least("n", F.lit(2)).alias("weight"))
     edges = edge.groupBy("did", "th").agg(F.collect_list(F.col("at") * 4 + F.col("weight")).alias("edges"))  # both lists end with the document
     known = whole.join(edges, ["did", "th"], "full")
 
     carried = list(carry or [])
-    texts = source.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), F.col("_did").alias("did"), F.col("_th").alias("th"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), *key, *(c.alias(f"_c{i}") for i, c in enumerate(carried)))
     names = [f"_c{i}" for i in range(len(carried))]
     result = RESULT + (", kept_text string" if with_text else "")
     extra = "".join(f", {n} {texts.schema[n].dataType.simpleString()}" for n in names)
@@ -211,7 +211,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 8, doc_id: st
     open_ = parsed.where("edges is not null")
     windows = open_.select("did", "th", "text", "edges").mapInArrow(_window_rows(window), WINDOWS)
     twice = written(windows.groupBy("w1", "w2").agg(F.sum("weight").alias("_n")).where("_n > 1").select("w1", "w2"), "windows")
-    single = windows.join(twice, ["w1", "w2"]).groupBy("did", "th").agg(F.collect_list("q").alias("single"))
+    single = windows.join(twice, ["w1", "w2"]).groupBy("did", "th").agg(F.collect_set("q").alias("single"))
     checked = open_.join(single, ["did", "th"], "left").select("doc_id", "text", "whole", "single", *names).mapInArrow(_finish(window, with_text, [*columns, *names]), result + extra)
     return parsed.where("edges is null").select(*columns, *names).union(checked)
 
@@ -219,10 +219,11 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 8, doc_id: st
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """`docs` with the repeated passages taken out of their texts, all other columns as they are, and n_chars, where there is one, counted anew.
 
-    Texts of which nothing is left stay as empty texts; null texts stay null.
+    Texts of which nothing is left stay as empty texts; null and empty texts stay as they are; repeated rows, with or without an id, are
+    copies of each other and all stay; an empty table gives an empty result; column names of any kind are kept.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = substring_dedup(docs.withColumn("_is_null", F.col("text").isNull()), with_text=True, carry=[*others, "_is_null"], **options)
+    found = substring_dedup(docs, with_text=True, carry=[*(F.col(f"`{c}`") for c in others), F.col("text").isNull()], **options)
     text = F.when(~F.col(f"_c{len(others)}"), F.col("kept_text"))
     new = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"_c{i}") for i, c in enumerate(others)}
     if "n_chars" in others:
