@@ -65,14 +65,15 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The original records: exact header block, payload, and the whole `record` in WARC form (a revisit carries no block of its own).
 
-    The payload's length and SHA-1 are taken from the bytes read back, once per stored payload, and must agree with every header.
+    The payload's length, SHA-1 and SHA-256 are taken from the bytes read back, once per stored payload; they must agree with every header
+    and with the digest under which the payload is stored.
     """
     payloads = spark.read.parquet(f"{path}/payloads").select("digest", "payload")
-    stored = payloads.withColumn("_bytes", F.octet_length("payload").cast("long")).withColumn("_sha1", base32_sha1(F.col("payload")))
+    stored = payloads.withColumn("_bytes", F.octet_length("payload").cast("long")).withColumn("_sha1", base32_sha1(F.col("payload"))).withColumn("_sha256", F.sha2("payload", 256))
     rows = spark.read.parquet(f"{path}/records").join(stored, "digest")
     text = F.col("header").cast("string")
     named = lambda name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
-    agree = (named("Content-Length").cast("long") == F.col("_bytes")) & (named("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("_sha1")))
+    agree = (named("Content-Length").cast("long") == F.col("_bytes")) & (named("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("_sha1"))) & (F.col("digest") == F.col("_sha256"))
     revisit = named("WARC-Type") == "revisit"
     end = F.lit(f"{END}{END}").cast("binary")
     return rows.select(

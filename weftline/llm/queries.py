@@ -33,7 +33,8 @@ def op3_hilbert_shards(spark, sf_dir):
 
 
 def op4_content_archive(spark, sf_dir):
-    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("payload", 256).alias("payload_sha256"), F.md5("record").alias("record_md5"))
 
 
 def op5_exact_dedup(spark, sf_dir):
@@ -93,15 +94,20 @@ ORACLES = {
         select doc_id, case when n = 0 then doc_id else class_id end as class_id, coalesce(group_id, doc_id) as group_id,
                (case when n = 0 then 0 else size - 1 + coalesce(links, 0) end)::bigint as n_links, n::bigint as n_shingles
         from c left join g on c.class_id = g.node and n > 0 left join t on c.class_id = t.x and n > 0""",
-    "op4_content_archive": """
-        with p as (select page_id, encode(coalesce(html, '')) as body from pages),
-        d as (select page_id, octet_length(body) as n, sha1(body) as h, max(page_id) over (partition by body) as response from p)
-        select page_id, n::bigint as payload_bytes,
-               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1, 1)
-                                for i in range(32)], '') as payload_digest,
-               case when page_id = response then 'response' else 'revisit' end as record_type,
-               case when page_id <> response then response end as refers_to
-        from d""",
+    "op4_content_archive": r"""
+        with p as (select page_id, regexp_replace(coalesce(url, ''), '[\r\n]+', '', 'g') as url, coalesce(html, '') as html, encode(coalesce(html, '')) as body from pages),
+        d as (select page_id, url, html, body, octet_length(body) as n, sha1(body) as h, max(page_id) over (partition by body) as response from p),
+        e as (select *, page_id <> response as again, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1, 1)
+                                for i in range(32)], '') as sha1, chr(13) || chr(10) as z from d),
+        u as (select *, '<urn:uuid:' || regexp_replace(md5(page_id::varchar), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || '>' as own,
+                     '<urn:uuid:' || regexp_replace(md5(response::varchar), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || '>' as other from e)
+        select page_id, n::bigint as payload_bytes, sha1 as payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then response end as refers_to,
+               sha256(body) as payload_sha256,
+               md5('WARC/1.1' || z || 'WARC-Type: ' || case when again then 'revisit' else 'response' end || z || 'WARC-Record-ID: ' || own || z || 'WARC-Date: 2024-01-01T00:00:00Z' || z || 'WARC-Target-URI: ' || url || z
+                   || 'WARC-Payload-Digest: sha1:' || sha1 || z
+                   || case when again then 'WARC-Refers-To: ' || other || z || 'WARC-Refers-To-Page: ' || response || z || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || z else '' end
+                   || 'WARC-Page-ID: ' || page_id || z || 'Content-Type: text/html; charset=utf-8' || z || 'Content-Length: ' || n || z || z || case when again then '' else html end || z || z) as record_md5
+        from u""",
     "op5_exact_dedup": r"""
         with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents)
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(body) as text_sha256
