@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -525,3 +526,21 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     packed = stage[4](spark, cut, sf)
     assert {r.doc_id for r in packed.collect()} == set(kept)
     assert pipeline.run(spark, sf).count() == packed.count()
+
+
+def test_keep_first_holds_rows_of_any_names_and_white_space(spark):
+    rows = [(1, "a  b\n", "x", 1), (2, "a b ", "y", 2), (None, "a b ", "z", 3), (3, None, "n", 4), (4, "", "m", 5), (5, " \n", "w", 6), (6, " ", "v", 7), (None, "q", "u", 8), (None, "q", "u", 8), (7, "\tx y\n\nz", "t", 9), (8, "é  ü", "s", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _dedup_digest string, row int")
+    got = exact_dedup.keep_first(frame)
+    assert got.columns == frame.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[5], rows[7], rows[9], rows[10]], key=str)
+
+
+@pytest.mark.parametrize("ids", [[None] * 2000, [5] * 2000])
+def test_many_copies_under_one_key_are_told_once(spark, ids):
+    text = prose(random.Random(1), 400, 900)
+    frame = spark.createDataFrame([(i, text, 1, "k") for i in ids] + [(9, "short", 2, "l"), (10, None, 3, "m")], "doc_id long, text string, _did int, _th string")
+    began = time.perf_counter()
+    assert {(r.n_words, r.n_removed, r["count"]) for r in substring_dedup.substring_dedup(frame).groupBy("n_words", "n_removed").count().collect()} == {(400, 400, 2000), (1, 0, 1), (0, 0, 1)}
+    assert time.perf_counter() - began < 40
+    left = substring_dedup.without_repeats(frame.where("doc_id > 5 or doc_id is null").limit(5))
+    assert left.columns == frame.columns and left.where("text is null").count() <= 1
