@@ -1,5 +1,7 @@
 """In-row search helpers against plain Python on random strings."""
 
+import itertools
+import random
 import re
 import time
 
@@ -35,15 +37,36 @@ def test_squeeze_and_windows(spark):
     assert [r[0] for r in d.select(core.match_window("t", "key", 2, 99)).collect()] == [None, "x key yy", "key"]
 
 
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 2, 255, 256, 257, 513, 1500)]
+    got = spark.createDataFrame([(r,) for r in rows], "v array<int>").select(core.running("v")).collect()
+    assert [r[0] for r in got] == [list(itertools.accumulate(r, initial=0))[:-1] for r in rows]
+
+
+def test_contexts_across_pages(spark):
+    text = "".join(f"é{i}$ " for i in range(900)) + "x" * 3000 + "$ end"
+    found = spark.createDataFrame([(text,)], "t string").select(core.find_all("t", r"\$", "", 70, 90)).first()[0]
+    assert [tuple(x) for x in found] == [(m.start(), "$", text[max(0, m.start() - 70):m.start()], text[m.end():m.end() + 90]) for m in re.finditer(r"\$", text)]
+
+
 def test_many_hits_in_one_text(spark):
-    """Cost grows with the hits, not with their square: four times the hits may not cost sixteen times as much."""
-    took = []
-    for n in (12_500, 50_000):
-        d = spark.createDataFrame([(" ".join(f"${i % 7}" for i in range(n)),)], "t string")
-        start = time.perf_counter()
-        hits = d.select(core.find_all("t", r"\$\d", "i").alias("f")).select(F.size("f"), F.try_element_at("f", F.lit(-1))["at"]).first()
-        firsts = d.select(core.first_hits(F.split("t", " "), lambda x: x).alias("f")).first()[0]
-        took.append(time.perf_counter() - start)
-        assert tuple(hits) == (n, 3 * (n - 1)) and firsts == [f"${i}" for i in range(7)]
-    print(took)
-    assert took[1] < 12 * max(took[0], 0.5)
+    """Twice the hits may cost little more than twice the time, contexts included."""
+    def seconds(n):
+        d = spark.createDataFrame([(" ".join(f"${i % 7} cöst" for i in range(n)),)], "t string")
+        best = 1e9
+        for _ in range(2):
+            start = time.perf_counter()
+            hits = d.select(core.find_all("t", r"\$\d", "i", 60, 60).alias("f")).select(F.size("f"), F.try_element_at("f", F.lit(-1))["at"]).first()
+            best = min(best, time.perf_counter() - start)
+            assert tuple(hits) == (n, 8 * (n - 1))
+        return best
+    seconds(500)
+    one, two = seconds(20_000), seconds(40_000)
+    print(one, two)
+    assert two < 2.5 * max(one, 0.4)
+
+
+def test_many_first_hits(spark):
+    d = spark.createDataFrame([(" ".join(f"${i % 7}" for i in range(50_000)),)], "t string")
+    assert d.select(core.first_hits(F.split("t", " "), lambda x: x)).first()[0] == [f"${i}" for i in range(7)]

@@ -132,29 +132,52 @@ def match_window(c, pattern: str, before: int, after: int) -> Column:
 
 
 _CUT = "\u0001"
+#: Elements that are summed, and characters that are searched, at once; both keep the cost of a row in proportion to its length.
+_RUN, _PAGE = 256, 1024
+
+
+def running(steps) -> Column:
+    """Sum of all earlier elements, for every element of an ARRAY<INT>.
+
+    An array that grows by one element is copied each time, so sums run inside stretches of bounded length and over their totals.
+    """
+    def local(part):
+        step = lambda acc, x: F.struct((acc["end"] + x).alias("end"), F.concat(acc["all"], F.array(acc["end"])).alias("all"))
+        return F.aggregate(part, F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("all")), step)
+    def joined(b):
+        shifted = lambda totals: F.transform(b["runs"], lambda r, i: F.transform(r["all"], lambda v: v + F.get(totals, i)))
+        return F.flatten(let(local(F.transform(b["runs"], lambda r: r["end"]))["all"], shifted))
+    def cut(s):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1)), F.lit(_RUN))
+        return bind(joined, runs=F.transform(starts, lambda a: local(F.slice(s, a, F.lit(_RUN)))))
+    return let(steps, cut)
 
 
 def find_all(c, pattern: str, flags: str = "iU", before: int = 0, after: int = 0) -> Column:
     """All matches in order as ARRAY<STRUCT<at,hit,pre,post>>: 0-based offset, matched text, and its context.
 
-    Offsets come from the lengths of the pieces between matches, so everything stays inside the row. The pieces are cut at a
-    control character put in place of each match: a regex split would compile the pattern again for every row.
+    Offsets come from the lengths of the pieces between matches, so everything stays inside the row, and the cost grows with the text.
+    The pieces are cut at a control character put in place of each match: a regex split would compile the pattern again for every row.
+    Contexts are taken from pages of the text, because taking a substring counts characters from the beginning.
     """
     p = rx(pattern, flags)
     text = col(c)
-    def step(acc, x):  # one running offset, so the cost grows with the hits, not with their square
-        at = acc["end"] + x["gap"]
-        return F.struct((at + F.length(x["hit"])).alias("end"), F.concat(acc["all"], F.array(at)).alias("all"))
+    page = max(_PAGE, before, after)
+    def around(pages, start, length):
+        k = (start / page).cast("int")
+        return F.concat(F.get(pages, k), F.coalesce(F.get(pages, k + 1), F.lit(""))).substr(start - k * page + 1, length)
     def located(b):
-        offsets = F.aggregate(F.arrays_zip(b["gaps"].alias("gap"), b["hits"].alias("hit")), F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
+        sizes = F.transform(F.arrays_zip(b["gaps"].alias("gap"), b["hits"].alias("hit")), lambda x: x["gap"] + F.length(x["hit"]))
         def one(x):
-            start = F.greatest(F.lit(0), x["at"] - before)
-            return F.struct(x["at"].alias("at"), x["hit"].alias("hit"), b["text"].substr(start + 1, x["at"] - start).alias("pre"),
-                            b["text"].substr(x["at"] + F.length(x["hit"]) + 1, F.lit(after)).alias("post"))
-        return F.transform(F.arrays_zip(b["hits"].alias("hit"), F.slice(offsets, F.lit(1), F.size(b["hits"])).alias("at")), one)
+            at = x["start"] + x["gap"]
+            first, end = F.greatest(F.lit(0), at - before), at + F.length(x["hit"])
+            return F.struct(at.alias("at"), x["hit"].alias("hit"), (around(b["pages"], first, at - first) if before else F.lit("")).alias("pre"),
+                            (F.coalesce(around(b["pages"], end, F.lit(after)), F.lit("")) if after else F.lit("")).alias("post"))
+        return F.transform(F.arrays_zip(b["hits"].alias("hit"), b["gaps"].alias("gap"), running(sizes).alias("start")), one)
     def search(t):
         gaps = F.transform(F.split(F.regexp_replace(t, p, _CUT), _CUT, -1), F.length)
-        found = bind(located, text=t, hits=F.regexp_extract_all(t, F.lit(p), F.lit(0)), gaps=let(gaps, lambda g: F.slice(g, F.lit(1), F.size(g) - 1)))
+        pages = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{page}}}"), F.lit(0)) if before or after else F.array().cast("array<string>")
+        found = bind(located, hits=F.regexp_extract_all(t, F.lit(p), F.lit(0)), gaps=let(gaps, lambda g: F.slice(g, F.lit(1), F.size(g) - 1)), pages=pages)
         return F.when(t.rlike(p), found).otherwise(F.array().cast("array<struct<at:int,hit:string,pre:string,post:string>>"))
     return let(F.translate(text, _CUT, " "), search)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
@@ -27,6 +27,27 @@ def to_day_map(days: DataFrame, keys: Sequence[str], day: str, status: str, out:
     return days.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(out))
 
 
+def day_runs(days: DataFrame, keys: Sequence[str], day: str, status: str) -> DataFrame:
+    """Runs of consecutive days with one status: keys, status, first, last, n; ``days`` is unique per (keys, day), histories have any length.
+
+    Runs are cut at month borders first, so the window of a hot pass is one month of it. Only runs that touch a border, two per month at
+    most, are then joined across borders; all others are final.
+    """
+    month = F.trunc(day, "MM")
+    inside = Window.partitionBy(*keys, "_month").orderBy(day)
+    d = days.filter(F.col(day).isNotNull()).select(*keys, F.to_date(day).alias(day), F.col(status).alias("status")).withColumn("_month", month)
+    goes_on = lambda w, start, end: F.lag("status").over(w).eqNullSafe(F.col("status")) & (F.datediff(F.col(start), F.lag(end).over(w)) == 1)
+    begun = F.when(goes_on(inside, day, day), 0).otherwise(1)
+    runs = d.withColumn("_new", begun).withColumn("_run", F.sum("_new").over(inside)).groupBy(*keys, "_month", "_run").agg(
+        F.any_value("status").alias("status"), F.min(day).alias("first"), F.max(day).alias("last"))
+    border = (F.col("first") == F.col("_month")) | (F.col("last") == F.last_day("_month"))
+    across = Window.partitionBy(*keys).orderBy("first")
+    met = runs.filter(border).withColumn("_new", F.when(goes_on(across, "first", "last"), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(across))
+    met = met.groupBy(*keys, "_run").agg(F.any_value("status").alias("status"), F.min("first").alias("first"), F.max("last").alias("last"))
+    out = runs.filter(~border).select(*keys, "status", "first", "last").unionByName(met.select(*keys, "status", "first", "last"))
+    return out.withColumn("n", (F.datediff("last", "first") + 1).cast("bigint"))
+
+
 def next_dates(days: DataFrame, keys: Sequence[str], day: str, status: str, since, n: int = 4) -> DataFrame:
     """Earliest n available dates per pass from ``since`` on."""
     return ranked_top(days.filter((F.col(day) >= since) & (F.col(status) == "available")), keys, [F.col(day)], n, "nth")

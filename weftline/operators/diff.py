@@ -23,12 +23,12 @@ def pair_up(today: DataFrame, prior: DataFrame, keys: Sequence[str], fields: Seq
     return t.unionByName(p).groupBy(*keys).agg(F.max("t").alias("t"), F.max("p").alias("p"))
 
 
-def snapshot_diff(today: DataFrame, prior: DataFrame, keys: Sequence[str], exact: Sequence[str], text: Sequence[str] = ()) -> DataFrame:
-    """Change rows: key, change (added/removed/changed), field, from, to.
+def snapshot_diff(today: DataFrame, prior: DataFrame, keys: Sequence[str], exact: Sequence[str], text: Sequence[str] = (), paired=pair_up) -> DataFrame:
+    """Change rows: key, change (added/removed/changed), field, from, to. ``paired`` brings the two sides together.
 
     ``exact`` fields compare null-safe; ``text`` fields ignore whitespace and a trailing run of dots and carry no values.
     """
-    d = pair_up(today, prior, keys, [*exact, *text])
+    d = paired(today, prior, keys, [*exact, *text])
     none = F.lit(None).cast("string")
     row = lambda change, field, a, b: F.struct(F.lit(change).alias("change"), (F.lit(field) if field else none).alias("field"), a.alias("from"), b.alias("to"))
     both = F.col("t").isNotNull() & F.col("p").isNotNull()

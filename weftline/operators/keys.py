@@ -59,15 +59,27 @@ def lookup(facts: DataFrame, dim: DataFrame, on: Sequence[str], take: Sequence[s
 
 def lookup_first(facts: DataFrame, dim: DataFrame, attempts: Sequence[Sequence[str]], dim_keys: Sequence[str],
                  take: Sequence[str], prefix: str = "", salts: int | None = None) -> DataFrame:
-    """Try several key tuples in order and keep the first *existing* record as a whole (even if its values are NULL)."""
-    out, names = facts, []
-    for i, keys in enumerate(attempts):
-        hit = f"_hit{i}"
-        side = dim.select(*[F.col(d).alias(k) for d, k in zip(dim_keys, keys)], F.struct(*take).alias(hit))
-        out = salted_lookup(out, side, list(keys), salts) if salts else out.join(side, list(keys), "left")
-        names.append(hit)
-    found = F.coalesce(*[F.col(n) for n in names])
-    return out.withColumns({f"{prefix}{t}": found[t] for t in take}).drop(*names)
+    """Try several key tuples in order and keep the first *existing* record as a whole (even if its values are NULL).
+
+    One probe for any number of attempts: the distinct key values of the rows become candidates (attempt, key), candidates meet ``dim``
+    (unique on its keys) in one join, and the least attempt per key values decides. Rows then look up their key values, so a hot key is
+    resolved once and rows never multiply. An attempt with a NULL key finds nothing.
+    """
+    keys = list(dict.fromkeys(k for a in attempts for k in a))
+    mine = {k: f"_k{i}" for i, k in enumerate(keys)}
+    values = facts.select(*[F.col(k).alias(mine[k]) for k in keys]).distinct()
+    kinds = {d: dim.schema[d].dataType for d in dim_keys}
+    tries = F.array(*[F.struct(*[F.col(mine[k]).cast(kinds[d]).alias(d) for k, d in zip(a, dim_keys)]) for a in attempts])
+    candidates = values.select(*mine.values(), F.posexplode(tries).alias("_attempt", "_try")).select(*mine.values(), "_attempt", *[F.col("_try")[d].alias(d) for d in dim_keys])
+    met = candidates.join(dim.select(*dim_keys, F.struct(*take).alias("_hit")), list(dim_keys))
+    found = met.groupBy(*mine.values()).agg(F.min_by("_hit", "_attempt").alias("_hit"))
+    same = [F.col(k).eqNullSafe(F.col(mine[k])) for k in keys]
+    if salts:
+        found = found.select(*[F.col(mine[k]).alias(k) for k in keys], "_hit")
+        out = salted_lookup(facts, found, keys, salts)
+    else:
+        out = facts.join(found, reduce(lambda a, b: a & b, same), "left")
+    return out.select(*facts.columns, *[F.col("_hit")[t].alias(f"{prefix}{t}") for t in take])
 
 
 def alias_table(hand: DataFrame, archive: DataFrame) -> DataFrame:

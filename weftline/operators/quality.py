@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.core import col, pct
-from weftline.operators.keys import ranked_top
+from weftline.operators.keys import lookup_first, ranked_top
 
 
 class IntegrityError(ValueError):
@@ -38,14 +38,9 @@ def unreachable(files: DataFrame, key: str, refs: DataFrame, ref_keys: Sequence[
 
 def silent_drops(df: DataFrame, value: str, auth: DataFrame, keys: Sequence[Sequence[str]], auth_keys: Sequence[str],
                  status: str = "status") -> DataFrame:
-    """Rows that ship an empty value although an authoritative ok record exists under any of their keys."""
-    ok = auth.filter(F.col(status) == "ok").select(*auth_keys).distinct()
-    out, flags = df.filter(F.col(value).isNull()), []
-    for i, names in enumerate(keys):
-        side = ok.select(*[F.col(a).alias(n) for a, n in zip(auth_keys, names)], F.lit(True).alias(f"_ok{i}"))
-        out = out.join(side, list(names), "left")
-        flags.append(F.coalesce(F.col(f"_ok{i}"), F.lit(False)))
-    return out.filter(reduce(lambda a, b: a | b, flags)).drop(*[f"_ok{i}" for i in range(len(keys))])
+    """Rows that ship an empty value although an authoritative ok record exists under any of their keys (one probe, see ``lookup_first``)."""
+    ok = auth.filter(F.col(status) == "ok").select(*auth_keys).distinct().withColumn("_ok", F.lit(True))
+    return lookup_first(df.filter(F.col(value).isNull()), ok, keys, auth_keys, ["_ok"], "_hit").filter("_hit_ok").drop("_hit_ok")
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -21,6 +21,7 @@ from weftline.operators import keys as K
 from weftline.operators import overlay, quality
 from weftline.operators.calendars import to_day_map
 from weftline.operators.matching import place_branches
+from weftline.session import cut_lineage
 from weftline.sources.scans import index_types
 
 OWN = ["platform", "library_id", "attraction_rawslug"]
@@ -55,8 +56,11 @@ def build_passes(catalog: DataFrame, index: DataFrame, old: DataFrame, auth: Dat
     probes(OWN, verdict, restricted, evidence, prober_card, probed_date); days(OWN, day, status), unique per day;
     library_residency(library_id, restricted, scope, source, evidence); overrides(kind, id, field, status, value); aliases(raw, canonical).
     """
-    d = K.canonical_key(catalog, "attraction_rawslug", aliases, "attraction_slug")
-    by_slug, by_id = index_types(K.canonical_key(index, "slug", aliases, "canonical"))
+    slugs = catalog.select(F.col("attraction_rawslug").alias("raw")).union(index.select("slug")).distinct()
+    known = cut_lineage(K.canonical_key(slugs, "raw", aliases))  # resolved once; otherwise every lookup below would carry the alias plan
+    named = lambda df, raw, out: df.join(known.select(F.col("raw").alias(raw), F.col("canonical").alias(out)), raw, "left")
+    d = named(catalog, "attraction_rawslug", "attraction_slug")
+    by_slug, by_id = index_types(named(index, "slug", "canonical"))
     d = d.withColumn("_hex", last_segment("detail_url"))
     own = ["platform", "library_id"]
     for i, (key, side) in enumerate((("attraction_rawslug", by_slug), ("attraction_slug", by_slug), ("_hex", by_id))):

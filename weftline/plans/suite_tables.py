@@ -570,11 +570,18 @@ def latest_prior_snapshot(spark, sf):
     return D.latest_prior(V(spark, sf, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")), "day", "1998-06-15")
 
 
-@query("table_manifest", """SELECT 'nation' AS "table", count(*) AS rows, CAST(sum(strlen(concat('{"n_name":"', n_name, '","n_nationkey":', n_nationkey, ',"n_regionkey":', n_regionkey, '}'))) AS BIGINT) AS bytes FROM {nation}
-    UNION ALL SELECT 'orders', count(*), CAST(sum(strlen(concat('{"o_custkey":', o_custkey, ',"o_orderkey":', o_orderkey, ',"o_orderstatus":"', o_orderstatus, '"}'))) AS BIGINT) FROM {orders}""")
+def folded(digest: str) -> str:
+    """DuckDB form of ``snapshots.fold_digest``."""
+    part = lambda i: f"sum(('0x' || substr({digest}, {1 + 15 * i}, 15))::BIGINT)::VARCHAR"
+    return f"sha256(concat_ws(':', count(*)::VARCHAR, {', '.join(part(i) for i in range(4))}))"
+
+
+@query("table_manifest", f"""SELECT t AS "table", count(*) AS rows, CAST(sum(strlen(b)) AS BIGINT) AS bytes, substr({folded('sha256(b)')}, 1, 16) AS digest FROM (
+    SELECT 'nation' AS t, concat('{{{{"n_name":"', n_name, '","n_nationkey":', n_nationkey, ',"n_regionkey":', n_regionkey, '}}}}') AS b FROM {{nation}}
+    UNION ALL SELECT 'orders', concat('{{{{"o_custkey":', o_custkey, ',"o_orderkey":', o_orderkey, ',"o_orderstatus":"', o_orderstatus, '"}}}}') FROM {{orders}}) GROUP BY t""".replace("{{", "{").replace("}}", "}"))
 def table_manifest(spark, sf):
     tables = {"nation": V(spark, sf, "nation").select("n_name", "n_nationkey", "n_regionkey"), "orders": V(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")}
-    return sinks.manifest(tables).select("table", "rows", "bytes")
+    return sinks.manifest(tables)
 
 
 @query("evidence_export", """SELECT p_partkey, CASE WHEN p_size > 20 THEN p_brand END AS source, CASE WHEN p_size < 40 THEN p_type END AS block FROM {part}""")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from weftline.functions.core import pct
 from weftline.operators.quality import coverage
+from weftline.sources.snapshots import fold_digest
 
 
 def table_meta(df: DataFrame, name: str, metrics: Mapping[str, Column] | None = None) -> DataFrame:
@@ -17,22 +19,23 @@ def table_meta(df: DataFrame, name: str, metrics: Mapping[str, Column] | None =
 
 
 def write_table(df: DataFrame, root: str, name: str, metrics: Mapping[str, Column] | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write the table, then derive its metadata from what was written (one narrow read instead of recomputing the plan)."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{root}/{name}")
-    written = df.sparkSession.read.parquet(f"{root}/{name}")
-    table_meta(written, name, metrics).write.mode("overwrite").parquet(f"{root}/_meta_{name}")
-    return written
+    """Write the table; its row count and coverage come from the same pass over the rows (an observation), as `table_meta` would give them."""
+    spark, metrics, seen = df.sparkSession, metrics or {}, Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("n"), *[F.count_if(F.coalesce(p, F.lit(False))).alias(f"n_{m}") for m, p in metrics.items()])
+    watched.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{root}/{name}")
+    counts = seen.get
+    meta = spark.range(1).select(F.lit(name).alias("table"), F.current_timestamp().alias("built_at"), *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("n", *(f"n_{m}" for m in metrics))])
+    meta.withColumns({f"pct_{m}": pct(f"n_{m}", "n") for m in metrics}).write.mode("overwrite").parquet(f"{root}/_meta_{name}")
+    return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
 
 def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Per table: rows, serialized bytes, and an order-insensitive content hash (sum and xor of row hashes)."""
+    """Per table: rows, serialized bytes, and an order-insensitive content hash (see ``snapshots.fold_digest``)."""
     parts = []
     for name, df in tables.items():
         body = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-        d = df.select(body.alias("_b")).select(F.octet_length("_b").cast("bigint").alias("n"), F.xxhash64(F.sha2("_b", 256)).alias("h"))
-        total = F.sum(F.col("h").cast("decimal(38,0)")).cast("string")
-        parts.append(d.agg(F.count("*").alias("rows"), F.sum("n").alias("bytes"),
-                           F.substring(F.sha2(F.concat_ws(":", F.count("*").cast("string"), total, F.bit_xor("h").cast("string")), 256), 1, 16).alias("digest"))
+        d = df.select(body.alias("_b")).select(F.octet_length("_b").cast("bigint").alias("n"), F.sha2("_b", 256).alias("h"))
+        parts.append(d.agg(F.count("*").alias("rows"), F.sum("n").alias("bytes"), F.substring(fold_digest("h"), 1, 16).alias("digest"))
                      .select(F.lit(name).alias("table"), "rows", "bytes", "digest"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
