@@ -70,8 +70,8 @@ def extract_restrictions(c) -> Column:
     month = F.array_position(F.array(*[F.lit(m) for m in fx.MONTHS]), F.lower(grab(t, fx.BLACKOUT_MONTH, 1)))
     days = F.when(month > 0, F.array(F.struct(month.cast("int").alias("month"), F.lit(None).cast("int").alias("day"))))
     weekdays, advance = has(t, fx.WEEKDAYS_ONLY), has(t, fx.ADVANCE_BOOKING)
-    cap = F.substring(F.trim(grab(t, fx.BOOKING_FREQUENCY, 0)), 1, 300)
-    late = F.substring(F.trim(grab(t, fx.LATE_PENALTY, 0)), 1, 300)
+    cap = F.trim(grab(t, fx.BOOKING_FREQUENCY, 0))
+    late = F.trim(grab(t, fx.LATE_PENALTY, 0))
     empty_days = F.array().cast("array<struct<month:int,day:int>>")
     return F.when(days.isNotNull() | weekdays | advance | cap.isNotNull() | late.isNotNull(), F.struct(
         F.coalesce(days, empty_days).alias("blackout"), F.array().cast("array<string>").alias("blackout_recurring"),
@@ -232,7 +232,7 @@ def _offer_struct(v: Column) -> Column:
     ok = r.isin("bogo", "free", "discount", "adult-child", "percent-off", "dollar-off", "per-person-price")
     value = (F.when(r == "free", F.lit(0.0)).when(r == "percent-off", n["pct"]).when(r == "dollar-off", n["off"])
              .when(r == "per-person-price", n["each"]))
-    window = F.substring(b["all"], 1, 280)
+    window = b["all"]
     def policy(audience, form, val, count, low=None, high=None):
         ages = F.struct(F.lit(low).cast("int").alias("min"), F.lit(high).cast("int").alias("max")) if low is not None \
             else F.lit(None).cast("struct<min:int,max:int>")

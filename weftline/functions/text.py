@@ -181,10 +181,11 @@ def geocode_queries(name, address, region: str, known=None) -> Column:
     return F.array_distinct(F.array_compact(F.array(*values)))
 
 
-def library_mentions(text) -> Column:
-    """Distinct 'X (Public) Library' names that open a line, in reading order."""
+def library_mentions(text, longest: int | None = None) -> Column:
+    """Distinct 'X (Public) Library' names that open a line, in reading order; ``longest`` leaves out longer names (the surveyed rule was 80)."""
     lines = F.transform(F.split(col(text), "\n"), lambda ln: F.regexp_extract(F.trim(ln), "(?U)" + fx.LIBRARY_MENTION, 1))
-    return F.array_distinct(F.filter(lines, lambda n: (F.length(n) >= 6) & (F.length(n) <= 80)))
+    fits = lambda n: F.length(n) >= 6 if longest is None else F.length(n).between(6, longest)
+    return F.array_distinct(F.filter(lines, fits))
 
 
 def claims_free(notes) -> Column:

@@ -83,11 +83,16 @@ def usable_cards(cards: DataFrame) -> DataFrame:
     return cards.filter(F.col("library_id").isNotNull() & F.col("card_number").isNotNull() & F.coalesce(F.col("enabled"), F.lit(True)))
 
 
-def import_cards(cards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted with defaults, rejected). A card needs a library and a number."""
-    ok = F.coalesce((F.length(F.col("library_id").cast("string")) > 0) & (F.length(F.col("card_number").cast("string")) > 0), F.lit(False))
-    good = cards.filter(ok).withColumns({"note": F.coalesce("note", F.lit("")), "enabled": F.coalesce(F.col("enabled"), F.lit(True))})
-    return good, cards.filter(~ok)
+def import_cards(cards: DataFrame, position: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted with defaults, rejected). A card needs a library and a number.
+
+    Rejected rows carry a ``reason`` with every missing field and, where a column tells the place of a row, its ``position``.
+    """
+    lacks = lambda c: ~F.coalesce(F.length(F.col(c).cast("string")) > 0, F.lit(False))
+    missing = F.array_compact(F.array(*[F.when(lacks(c), F.lit(c)) for c in ("library_id", "card_number")]))
+    good = cards.filter(F.size(missing) == 0).withColumns({"note": F.coalesce("note", F.lit("")), "enabled": F.coalesce(F.col("enabled"), F.lit(True))})
+    bad = cards.filter(F.size(missing) > 0).withColumn("reason", F.concat(F.lit("missing "), F.array_join(missing, ", ")))
+    return good, bad if position is None else bad.withColumn("position", F.col(position))
 
 
 def match_cards(passes: DataFrame, cards: DataFrame, libraries: DataFrame, by: Sequence[str] = ()) -> DataFrame:

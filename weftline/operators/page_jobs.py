@@ -55,15 +55,19 @@ def nearest_label(df: DataFrame, context: str, at: str, out: str = "label") -> D
 
 def price_tokens(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
     """One row per '$N' token with 60 characters of context on both sides."""
-    d = df.filter(F.col(html).contains("$")).withColumn("_t", html_text(html)).filter(F.col("_t").rlike(r"\$\s*\d"))
+    d = with_value(df.filter(F.col(html).contains("$")), _t=html_text(html)).filter(F.col("_t").rlike(r"\$\s*\d"))
     tokens = find_all("_t", r"\$\s*\d+(?:\.\d{1,2})?", "U", 60, 60)
     return d.select(*keys, F.posexplode(tokens).alias("token_no", "_k")).select(
         *keys, "token_no", "_k.pre", "_k.hit", "_k.post", F.regexp_extract("_k.hit", r"(\d+(?:\.\d{1,2})?)", 1).cast("double").alias("price"))
 
 
-def extract_prices(df: DataFrame, entity: str, order: str, html: str) -> DataFrame:
-    """Admission prices (entity, audience, price, ages, phrase): one row per audience and price, first mention wins."""
-    t = price_tokens(df, [entity, order], html).filter((F.col("price") > 0) & (F.col("price") <= 500))
+def extract_prices(df: DataFrame, entity: str, order: str, html: str, max_price: float | None = None) -> DataFrame:
+    """Admission prices (entity, audience, price, ages, phrase): one row per audience and price, first mention wins.
+
+    ``max_price`` leaves out larger sums (the surveyed rule was 500); without it every price counts. The phrase is the whole context.
+    """
+    t = price_tokens(df, [entity, order], html).filter(F.col("price") > 0)
+    t = t if max_price is None else t.filter(F.col("price") <= max_price)
     near = F.concat(F.right("pre", F.lit(35)), F.col("hit"), F.left("post", F.lit(35)))
     lead = F.right("pre", F.lit(20))
     t = t.filter(~has(near, fx.PRICE_NEGATIVE) & ~has(lead, fx.TIER_DROP))
@@ -73,7 +77,7 @@ def extract_prices(df: DataFrame, entity: str, order: str, html: str) -> DataFra
     label = F.when(has(lead, fx.TIER_KEEP), F.lit("adult")).otherwise(F.coalesce(bound, _nearest_audience(F.col("_ctx"), F.length("pre"))))
     ages = F.struct(grab("_ctx", fx.PAREN_AGE_RANGE, 1).try_cast("int").alias("min"), grab("_ctx", fx.PAREN_AGE_RANGE, 2).try_cast("int").alias("max"))
     t = with_value(t, audience=label).select(entity, order, "token_no", "price", "audience",
-                 F.struct(F.when(ages["min"].isNotNull(), ages).alias("age_range"), F.substring(F.trim("_ctx"), 1, 200).alias("source_phrase")).alias("_v"))
+                 F.struct(F.when(ages["min"].isNotNull(), ages).alias("age_range"), F.trim("_ctx").alias("source_phrase")).alias("_v"))
     at = F.struct(order, "token_no")
     return t.filter(F.col("audience").isNotNull()).groupBy(entity, "audience", "price").agg(F.min_by("_v", at).alias("_v"), F.min(at).alias("first_at")) \
         .select(entity, "audience", "price", F.col("_v.age_range").alias("age_range"), F.col("_v.source_phrase").alias("source_phrase"), "first_at")
@@ -153,7 +157,7 @@ def extract_hours(df: DataFrame, entity: str, order: str, html: str) -> DataFram
     spoken = said & (F.col("s.value") != "closed") & F.col("s.days").isNotNull()
     return d.groupBy(entity).agg(
         *[F.coalesce(day(i), F.lit("unknown")).alias(name) for i, name in enumerate(fx.WEEK)],
-        F.substring(F.trim(F.min_by(F.col("s.hit"), F.when(spoken, at))), 1, 180).alias("source_phrase"),
+        F.trim(F.min_by(F.col("s.hit"), F.when(spoken, at))).alias("source_phrase"),
         F.min_by("season", F.when(F.col("season").isNotNull(), F.col(order))).alias("seasonal"))
 
 
@@ -171,7 +175,7 @@ def extract_reservation(df: DataFrame, entity: str, order: str, html: str) -> Da
         F.when(~timed, F.lit(0)).alias("lead_time_hours"), F.when(F.col("_pass").isNotNull(), "dedicated_pass_holders_url").otherwise("unknown").alias("pass_holder_path"),
         F.col("_pass").alias("pass_holder_url"),
         F.when(timed, "timed-entry cue found").when(walk, "walk-in welcome").otherwise("no explicit reservation language; defaulted to walk_in_ok").alias("notes"),
-        F.substring(F.coalesce("_timed", "_walk"), 1, 180).alias("source_phrase"))
+        F.coalesce("_timed", "_walk").alias("source_phrase"))
 
 
 # ---------------------------------------------------------------- visitor eligibility
@@ -183,7 +187,7 @@ def visitor_eligibility(text) -> Column:
     none = F.lit(None).cast("string")
     row = lambda rank, residency, scope, locals_free, note, phrase: F.struct(
         F.lit(rank).alias("rank"), F.lit(residency).alias("residency"), scope.alias("scope"), locals_free.alias("locals_free"), note.alias("note"),
-        F.substring(phrase, 1, 180).alias("source_phrase"))
+        phrase.alias("source_phrase"))
     def state_row(h):
         return F.when(h.isNotNull() & genuine(h), let(whole(h), lambda w: row(1, "ma_resident", F.lit("MA"), has(w, fx.FREE_NEARBY), F.lit("MA residents mentioned"), w)))
     def town_row(h):

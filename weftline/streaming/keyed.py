@@ -1,7 +1,7 @@
 """Keyed stream state: the latest statement per key lives in the state store and is read back as a table.
 
 State is kept in the stream's checkpoint folder, changes with every batch and survives lost executors and restarts; a replayed batch
-finds the state of the batch before it. With a time to live, entries that were not written for that long are gone.
+finds the state of the batch before it.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class Latest(StatefulProcessor):
     """One value per key: the strongest statement so far. ``sticky`` names a status that never replaces another one."""
 
-    def __init__(self, sticky: str | None = None, ttl_seconds: int | None = None):
-        self.sticky, self.ttl = sticky, ttl_seconds
+    def __init__(self, sticky: str | None = None):
+        self.sticky = sticky
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", STATEMENT, *([self.ttl * 1000] if self.ttl else []))
+        self.state = handle.getValueState("latest", STATEMENT)
 
     def rank(self, status: str | None, ordinal: int) -> tuple:
         return status is not None and status != self.sticky, ordinal, status or ""
@@ -46,19 +46,20 @@ class Latest(StatefulProcessor):
         pass
 
 
-def latest_statements(stream: DataFrame, sticky: str | None = None, ttl_seconds: int | None = None) -> DataFrame:
+def latest_statements(stream: DataFrame, sticky: str | None = None) -> DataFrame:
     """(key, status, ordinal) stream -> the keys whose latest statement changed. Rows without a key or an ordinal say nothing."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # values with a time to live need this store
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # the store that keyed state of this kind needs
     rows = stream.filter(F.col("key").isNotNull() & F.col("ordinal").isNotNull()).select("key", "status", F.col("ordinal").cast("long").alias("ordinal"))
-    return rows.groupBy("key").transformWithStateInPandas(Latest(sticky, ttl_seconds), outputStructType=OUT, outputMode="Update", timeMode="ProcessingTime" if ttl_seconds else "None")
+    return rows.groupBy("key").transformWithStateInPandas(Latest(sticky), outputStructType=OUT, outputMode="Update", timeMode="None")
 
 
-def run_latest(stream: DataFrame, root: str, sticky: str | None = None, ttl_seconds: int | None = None) -> None:
+def run_latest(stream: DataFrame, root: str, sticky: str | None = None) -> None:
     """Take in all files that are there (available now); changes go to ``root``/changes/batch=N, state to ``root``/checkpoint."""
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
 
-    latest_statements(stream, sticky, ttl_seconds).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    changed = latest_statements(stream, sticky).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/checkpoint")
+    changed.trigger(availableNow=True).start().awaitTermination()
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame:
