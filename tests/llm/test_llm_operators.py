@@ -114,6 +114,41 @@ def test_hilbert_shards_are_level_and_gapless(docs, empty):
     assert "ArrowPython" not in hilbert.hilbert_shards(docs, ["lang"])._jdf.queryExecution().toString()
 
 
+def test_hilbert_cells_against_brute_force(spark):
+    """Texts alike in their first 20 characters, a hot value, nulls, bytes and NaN."""
+    rng = random.Random(3)
+    head = "https://a.example/va"
+    data = [(i, rng.choice([None, head, *(head + f"/{k:02d}" for k in range(60))]), rng.choice([None, float("nan"), 7.0, 7.0, rng.random()]), bytes([rng.randrange(120, 140)])) for i in range(600)]
+    data += [(i, head + "/hot", 1.0, None) for i in range(600, 900)]
+    frame = spark.createDataFrame(data, "id long, u string, x double, b binary")
+    low = float("-inf")
+    plain = {"u": lambda v: b"" if v is None else b"x" + v.encode(), "x": lambda v: low if v is None or v != v else v, "b": lambda v: b"" if v is None else b"x" + v}
+    for column, name in ((1, "u"), (2, "x"), (3, "b")):
+        key = hilbert.sort_key(frame, name)
+        cuts = hilbert.boundaries(frame, key, 8)
+        values = sorted(plain[name](r[column]) for r in data)
+        assert [bytes(c) if name != "x" else c for c in cuts] == sorted({values[-(-len(values) * i // 8) - 1] for i in range(1, 8)})
+        got = {r.id: r.c for r in frame.select("id", hilbert.cell(key, cuts).alias("c")).collect()}
+        assert got == {r[0]: sum(plain[name](r[column]) > (bytes(c) if name != "x" else c) for c in cuts) for r in data}
+    assert len({r.hilbert for r in hilbert.with_curve(frame.filter(f"u <> '{head}/hot'"), ["u"], 4).collect()}) == 16
+
+
+def test_hilbert_shards_let_a_reader_skip_files(spark):
+    """Boxes of the shards hold every matching row, and a range in either dimension needs few of them."""
+    rng = random.Random(4)
+    data = [(i, "t", f"common beginning of all {rng.randrange(1000):04d}", rng.randrange(1000)) for i in range(4000)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string, n long")
+    shards = hilbert.hilbert_shards(frame, ["lang", "n"], shards=64)
+    box = hilbert.box_of_shards(shards.join(frame, "doc_id"), ["lang", "n"]).collect()
+    shard_of = {r.doc_id: r.shard for r in shards.collect()}
+    for low in (0, 300, 900):
+        ends = f"common beginning of all {low:04d}", f"common beginning of all {low + 50:04d}"
+        by_n = {r.shard for r in box if r.min_n <= low + 50 and r.max_n >= low}
+        by_lang = {r.shard for r in box if r.min_lang <= ends[1] and r.max_lang >= ends[0]}
+        assert {shard_of[r[0]] for r in data if low <= r[3] <= low + 50} <= by_n and {shard_of[r[0]] for r in data if ends[0] <= r[2] <= ends[1]} <= by_lang
+        assert max(len(by_n), len(by_lang)) <= 24
+
+
 def test_archive_gives_back_every_record(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "b" * 70000, "<p>a</p>"]
     pages = spark.createDataFrame([(i, f"http://x/{i}\r\nEvil: 1", h, "d") for i, h in enumerate(html)] + [(9, None, "solo", "d"), (None, "u", "solo", "d")], "page_id long, url string, html string, digest string")

@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve, with DataFrame functions only.
 
-Each metadata dimension is cut at its quantiles into 2**bits intervals, the cell of a row gets its index on the Hilbert curve, rows
+Each metadata dimension is cut at its exact quantiles into 2**bits intervals, the cell of a row gets its index on the Hilbert curve, rows
 are sorted by that index and the order is cut into runs of equal length. Neighbours on the curve are neighbours in every dimension,
 so each run covers a small box and a reader skips most files by their minima and maxima, whichever dimension it filters on.
 """
@@ -16,24 +16,37 @@ from weftline.functions.core import let
 from weftline.llm.common import task_count, text_or_empty, written
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number in the column's own order: numbers as they are, text by its first seven bytes, null below everything."""
+def sort_key(df: DataFrame, name: str) -> Column:
+    """A value without nulls in the column's own order, null below everything: numbers as doubles, text and bytes whole, behind a mark."""
     if dict(df.dtypes)[name] in ("string", "binary"):
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+        return F.coalesce(F.concat(F.lit("x").cast("binary"), F.col(name).cast("binary")), F.lit("").cast("binary"))
     return F.coalesce(F.nullif(F.col(name).cast("double"), F.lit(float("nan"))), F.lit(float("-inf")))
 
 
-def boundaries(df: DataFrame, dims: list[str], bits: int, accuracy: int) -> list[list[float]]:
-    """For each dimension the inner quantiles of all rows, at most 2**bits - 1 numbers: all that the driver ever sees of the data."""
-    cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = df.agg(*(F.percentile_approx(as_number(df, d), cuts, accuracy).alias(f"_q{i}") for i, d in enumerate(dims))).first()
-    return [sorted(set(q or [])) for q in found]
+def with_starts(runs: DataFrame, size: Column) -> DataFrame:
+    """Per run of a range-partitioned table: the size of the runs before it, and of all; one row per run."""
+    own = runs.groupBy("_run").agg(F.sum(size).alias("_size"))
+    return own.select("_run", (F.sum("_size").over(Window.orderBy("_run")) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_all"))
 
 
-def cell(number: Column, cuts: list[float]) -> Column:
+def boundaries(df: DataFrame, key: Column, parts: int) -> list:
+    """The values at which the running share of all rows reaches 1/parts, 2/parts and so on, exactly: at most parts - 1 values, all that
+    the driver ever sees of the data.
+
+    Rows are counted per value first, so a hot value is one row from then on; the distinct values are range-partitioned and written,
+    and the counts run on from one partition to the next.
+    """
+    counts = df.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    runs = written(counts.repartitionByRange(task_count(df.sparkSession), "_k").withColumn("_run", F.spark_partition_id()), "hilbert-values")
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_run").orderBy("_k"))
+    d = runs.join(with_starts(runs, F.col("_n")), "_run").withColumn("_upto", upto)
+    reached = F.least(F.expr(f"_upto * {parts} div _all"), F.lit(parts - 1).cast("long"))
+    return sorted(r[0] for r in d.filter(reached > F.expr(f"(_upto - _n) * {parts} div _all")).select("_k").collect())
+
+
+def cell(key: Column, cuts: list) -> Column:
     """Number of boundaries below the value."""
-    return reduce(lambda a, b: a + b, [(number > F.lit(c)).cast("long") for c in cuts], F.lit(0).cast("long"))
+    return reduce(lambda a, b: a + b, [(key > F.lit(c)).cast("long") for c in cuts], F.lit(0).cast("long"))
 
 
 def curve_index(coordinates: list[Column], bits: int) -> Column:
@@ -69,10 +82,10 @@ def curve_index(coordinates: list[Column], bits: int) -> Column:
     return let(state, lambda s: reduce(lambda out, qk: F.shiftleft(out, 1).bitwiseOR(bit(at(s, qk[1]), qk[0])), [(q, k) for q in range(bits - 1, -1, -1) for k in range(n)], F.lit(0).cast("long")))
 
 
-def with_curve(df: DataFrame, dims: list[str], bits: int = 4, accuracy: int = 10_000, name: str = "hilbert") -> DataFrame:
+def with_curve(df: DataFrame, dims: list[str], bits: int = 4, name: str = "hilbert") -> DataFrame:
     """`df` with the index of each row's cell on the curve."""
-    cuts = boundaries(df, dims, bits, accuracy)
-    return df.withColumn(name, curve_index([cell(as_number(df, d), c) for d, c in zip(dims, cuts, strict=True)], bits))
+    keys = [sort_key(df, d) for d in dims]
+    return df.withColumn(name, curve_index([cell(k, boundaries(df, k, 1 << bits)) for k in keys], bits))
 
 
 def ranked(df: DataFrame, order: list[str], name: str = "rank", tag: str = "ranked") -> tuple[DataFrame, int]:
@@ -82,10 +95,8 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank", tag: str = "rank
     numbered alone and starts after the rows of the runs before it (one row per run).
     """
     runs = written(df.repartitionByRange(task_count(df.sparkSession), *order).withColumn("_run", F.spark_partition_id()), tag)
-    starts = runs.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select("_run", (F.sum("_n").over(Window.orderBy("_run")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_run").orderBy(*order)) - 1
-    return runs.withColumn("_own", own).join(starts, "_run").withColumn(name, F.col("_before") + F.col("_own")).drop("_run", "_own", "_before"), runs.count()
+    return runs.withColumn("_own", own).join(with_starts(runs, F.lit(1)).drop("_all"), "_run").withColumn(name, F.col("_before") + F.col("_own")).drop("_run", "_own", "_before"), runs.count()
 
 
 def hilbert_shards(docs: DataFrame, dims: list[str], shards: int = 8, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
