@@ -160,3 +160,15 @@ def test_ttl(spark):
     assert sorted(r["url"] for r in S.stale(urls, cache, 72 * 3600, now).collect()) == ["b", "c", "d"]
     fetched = spark.createDataFrame([("b", 200), ("d", None)], "url string, status int").withColumn("checked_at", now)
     assert {r["url"]: r["status"] for r in S.store_status(cache.filter("status IS NOT NULL"), fetched).collect()} == {"a": 200, "b": 200}
+
+
+def test_unknown_paths_of_any_depth(spark):
+    """Lists, odd names, fields of another kind than the schema's, malformed and empty texts."""
+    texts = ['{"a": 1, "b": {"c": 2, "d": null}, "l": [{"x": 1}, {"y": {"z": 1}}, {"y": 2}, 7]}', '{"a": {"k": 1}, "b": {"c": 3}, "l": [], "it\'s": 1, "": 4, "p.q": 5}',
+             '{"b": "text", "l": {"x": 1}, "new": [{"q": 1}]}', '{"b": null, "l": [{"y": 2}]}', '{"a": ', None, "", "[1]", "3"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    schema = "a bigint, b struct<c:bigint>, l array<struct<x:bigint>>"
+    assert {r["path"]: r["n"] for r in scans.unknown_paths(d, "t", schema).collect()} == {"b.d": 1, "l[].y": 2, "it's": 1, "": 1, "p.q": 1, "new": 1}
+    wide = "a bigint, b struct<c:bigint, d:string>, l array<struct<x:bigint, y:struct<w:int>>>, `it's` int, new array<struct<q:int>>, extra int"
+    assert {r["path"]: r["n"] for r in scans.unknown_paths(d, "t", wide).collect()} == {"l[].y.z": 1, "": 1, "p.q": 1}
+    assert scans.unknown_paths(d.limit(0), "t", schema).count() == 0

@@ -16,8 +16,8 @@ def one_col(df):
     return sorted(r[0] for r in df.collect())
 
 
-ALIASES = [("new-england-aquarium", "new-england-aquarium"), ("aquarium-boston", "new-england-aquarium"), ("harbor-islands-ferry", "harbor-ferry"), ("harbor-islands", "harbor-islands")]
-SLUGS = [("new-england-aquarium-e-coupon", "new-england-aquarium"), ("totally-made-up-attraction-digital", "totally-made-up-attraction-digital"), ("harbor-islands-ferry", "harbor-ferry"), ("aquarium-boston-digital-coupon-pass", "new-england-aquarium"),
+ALIASES = [("tin-harbor-lanterns", "tin-harbor-lanterns"), ("lantern-quay", "tin-harbor-lanterns"), ("harbor-islands-ferry", "harbor-ferry"), ("harbor-islands", "harbor-islands")]
+SLUGS = [("tin-harbor-lanterns-e-coupon", "tin-harbor-lanterns"), ("copper-kite-loft-digital", "copper-kite-loft-digital"), ("harbor-islands-ferry", "harbor-ferry"), ("lantern-quay-digital-coupon-pass", "tin-harbor-lanterns"),
          ("harbor-islands", "harbor-islands"), ("-digital", "-digital")]
 
 

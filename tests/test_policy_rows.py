@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from weftline.functions import dates, eligibility
 
 CARD = [
-    ("Our library cards are available to all Massachusetts residents; there is nothing to pay.", "ma_resident"), ("Cards are available to Ashmere residents only; bring a lease or a bill.", "town_resident"),
+    ("From Ashmere to the far coast: library cards are available to all Massachusetts residents over six.", "ma_resident"), ("Cards are available to Ashmere residents only; bring a lease or a bill.", "town_resident"),
     ("For people who live, work, or attend school in Coldbrook.", "town_or_works"), ("The reading room opens at ten and closes at eight. Come in!", "unknown"),
     ("Anyone is eligible for a library card here, given a passport and a recent letter.", "ma_resident"),
     ("Lost yours? Anyone can get a Fernhill library card at the front desk of each of our houses!", "ma_resident"),
@@ -13,17 +13,17 @@ CARD = [
     ("You do not have to be a resident of Ashmere for this, but you do have to be a resident of Massachusetts.", "ma_resident"),
     ("Before you get your library card: Massachusetts residency is required.", "ma_resident"),
     ("A library card is available to all East Coldbrook residents. Please carry a photo ID.", "town_resident"),
-    ("Library cards are free to residents of the Commonwealth of Massachusetts, young and old.", "ma_resident"),
-    ("An eCard is available to residents of any Massachusetts community that has no card yet.", "ma_resident"),
+    ("Whoever sleeps in the Commonwealth of Massachusetts most nights counts: library cards are free to residents of Massachusetts.", "ma_resident"),
+    ("Reading on a phone? Our eCard: any Massachusetts resident may fill in the form tonight. It is a library card.", "ma_resident"),
     ("Library cards are free, regardless of where you live in Massachusetts. Carry a letter with your address.", "ma_resident"),
     ("Library cards are available to anyone of school age who lives in Massachusetts or works in Fernhill.", "ma_resident"),
     ("Any Fernhill Resident is eligible to obtain a Fernhill Library Card. The form lies at the desk.", "town_resident"),
     ("It costs nothing, and anyone can get one! A library card needs only a photo ID.", "ma_resident"),
-    ("Carry a photo ID and proof of current local address to get a library card.", "town_resident"), ("Residents of Ashmere may register at the front desk.", "town_resident"),
-    ("You may sign up for an eCard if you live in a Massachusetts town and hold no other card. It is a library card.", "ma_resident"),
+    ("The desk wants proof of local address before it prints a library card.", "town_resident"), ("Residents of Ashmere may register at the front desk.", "town_resident"),
+    ("No card at home? Those who live anywhere in Massachusetts can ask for a library card by post.", "ma_resident"),
     ("If you live anywhere in Massachusetts, ask for a library card on this page.", "ma_resident"), ("If you have a Massachusetts address, a library card is yours.", "ma_resident"),
-    ("For a library account bring a valid ID with your current Massachusetts address.", "ma_resident"), ("To register for a card in person, bring a letter with your current address.", "unknown"),
-    ("Out-of-State Cards. I'm on holiday; can I still get a card? Out-of-state residents pay each year.", "unknown"),
+    ("Borrowers with a current Massachusetts address get their library card by mail.", "ma_resident"), ("Children pick the colour of their card themselves; the desk laminates it.", "unknown"),
+    ("Summer guests from other states rent a borrower number by the week, for eleven dollars.", "unknown"),
     ("Film streaming is Now Available to Coldbrook Residents! Coldbrook card holders can watch at home.", "unknown"),
     ("Try to win our badge for young readers! Show your drawing in the hall.", "unknown"),
     ("Card Desk\nCard Forms\nPartner Cards\nShelves & Downloads", "unknown"),

@@ -1,5 +1,6 @@
 """Plan shapes and hot keys: what must hold when one key owns a large share of the rows."""
 
+import hashlib
 import pathlib
 import random
 
@@ -86,6 +87,21 @@ def test_seeded_pools_are_disjoint_and_stable(spark):
     assert scans[0] == scans[1]
 
 
+def test_seeded_pools_of_any_size_pick_as_dealt_one_by_one(spark):
+    """Takes beyond any one task's list, and beyond what a pool holds, against a plain deal."""
+    n = 260_000
+    d = spark.range(n).select(F.col("id").alias("key"))
+    pools = {"third": (F.col("key") % 3 == 0, 50_000), "few": (F.col("key") < 900, 5_000), "any": (F.lit(True), 100_000)}
+    got = {(r["pool"], r["pick_no"]): r["key"] for r in M.seeded_pools(d, ["key"], pools, "s").toLocalIterator()}
+    taken, want = set(), {}
+    for pool, (member, take) in {"third": (lambda k: k % 3 == 0, 50_000), "few": (lambda k: k < 900, 5_000), "any": (lambda k: True, 100_000)}.items():
+        free = sorted((hashlib.sha256(f"s:{pool}:{k}".encode()).hexdigest(), k) for k in range(n) if member(k) and k not in taken)[:take]
+        want.update({(pool, i + 1): k for i, (_, k) in enumerate(free)})
+        taken |= {k for _, k in free}
+    assert got == want
+    assert M.seeded_pools(d.limit(0), ["key"], pools, "s").count() == 0
+
+
 def test_no_query_plans_a_cross_join(spark, sf):
     """No registered query may fall back to a product of tables."""
     bad = []

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
 from weftline.functions.core import col, map_codes
-from weftline.operators.keys import ranked_top, top_per
+from weftline.operators.keys import ranked_top
+from weftline.session import cut_lineage
 
 
 def join_dims(facts: DataFrame, dims: Sequence[tuple[DataFrame, str]]) -> DataFrame:
@@ -217,28 +220,39 @@ def network_order(network, order: Sequence[str] | None = None) -> Column:
     return F.when(at > 0, at).otherwise(F.lit(len(names) + 1)).cast("int")
 
 
+def _hash_ranked(df: DataFrame, key: Sequence[str], take: int) -> DataFrame:
+    """The first ``take`` rows per pool by hash, with their rank.
+
+    Hashes are cut into 4,096 ranges by their first digits. Counts per range say where each range starts in its pool, so ranges that
+    start beyond ``take`` are never ranked, and the others are ranked side by side: no pool goes through one task.
+    """
+    d = df.withColumn("_b", F.substring("_h", 1, 3))
+    w = Window.partitionBy("pool_no").orderBy("_b")  # one row per range of hashes
+    starts = d.groupBy("pool_no", "_b").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
+    d = d.join(starts.filter(F.col("_before") < take).drop("_n"), ["pool_no", "_b"])
+    d = ranked_top(d, ["pool_no", "_b", "_before"], [F.col("_h"), *key], take, "_own")
+    return d.withColumn("_rank", F.col("_before") + F.col("_own")).filter(F.col("_rank") <= take).drop("_b", "_before", "_own")
+
+
 def seeded_pools(df: DataFrame, key: Sequence[str], pools: Mapping[str, tuple[Column, int]], seed: str) -> DataFrame:
-    """Reproducible sample of each pool in turn, no row used twice.
+    """Reproducible sample of each pool in turn, no row used twice; takes of any size.
 
-    A pool can lose at most what earlier pools took, so the first sum-of-takes rows per pool decide everything: one pass over
-    the data keeps those, and the pools are then dealt from that short list in one fold (its length is pools times takes).
+    A pool can lose at most what earlier pools took, so its first sum-of-takes rows by hash decide everything: two passes over the
+    data keep those. The pools are then dealt one after another from that short table, each without the picks before it; every step is
+    checkpointed, so a lost executor costs one step. Keys count as equal by value, nulls included; each key should be one row.
     """
     total = sum(take for _, take in pools.values())
     tags = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(i).alias("pool_no"), F.lit(name).alias("pool")))
                                      for i, (name, (cond, _)) in enumerate(pools.items())]))
     d = df.select(*key, F.explode(tags).alias("_t")).select(*key, "_t.pool_no", "_t.pool")
     d = d.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), "pool", *key), 256))
-    short = top_per(d, ["pool_no"], [F.col("_h"), *key], total)
-    listed = short.agg(F.sort_array(F.collect_list(F.struct("pool_no", "_h", F.struct(*key).alias("k"), "pool"))).alias("rows"))
-    takes = F.array(*[F.lit(take) for _, take in pools.values()])
-
-    def deal(acc, x):
-        n = F.when(acc["pool_no"] == x["pool_no"], acc["n"]).otherwise(0)
-        free = (n < F.get(takes, x["pool_no"])) & ~F.exists(acc["picked"], lambda p: p["k"].eqNullSafe(x["k"]))
-        pick = F.struct(x["pool"].alias("pool"), (n + 1).alias("pick_no"), x["k"].alias("k"))
-        return F.struct(x["pool_no"].alias("pool_no"), F.when(free, n + 1).otherwise(n).alias("n"), F.when(free, F.concat(acc["picked"], F.array(pick))).otherwise(acc["picked"]).alias("picked"))
-
-    shape = f"array<struct<pool:string,pick_no:int,k:{df.select(*key).schema.simpleString()}>>"
-    start = F.struct(F.lit(-1).alias("pool_no"), F.lit(0).alias("n"), F.array().cast(shape).alias("picked"))
-    picked = listed.select(F.explode(F.aggregate("rows", start, deal, lambda acc: acc["picked"])).alias("_p"))
-    return picked.select("_p.pool", "_p.pick_no", "_p.k.*")
+    short = cut_lineage(_hash_ranked(d, key, total).drop("_rank"))
+    picked = None
+    for i, (_, take) in enumerate(pools.values()):
+        free = short.filter(F.col("pool_no") == i)
+        if picked is not None:
+            taken = picked.select(*[F.col(k).alias(f"_t{j}") for j, k in enumerate(key)])
+            free = free.join(taken, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_t{j}")) for j, k in enumerate(key)]), "left_anti")
+        own = _hash_ranked(free, key, take).select("pool", F.col("_rank").cast("int").alias("pick_no"), *key)
+        picked = cut_lineage(own if picked is None else picked.unionByName(own))
+    return picked

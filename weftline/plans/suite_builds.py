@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from weftline.operators import keys as K
 from weftline.plans import gold
 from weftline.plans.derived import view as V
 from weftline.plans.registry import query
@@ -91,3 +92,53 @@ def gold_branches(spark, sf):
     rename = F.col("branch_id") % 10 == 0
     changed = b.filter("branch_id % 10 < 2").select(F.lit("branch").alias("kind"), target, F.when(rename, "name").otherwise("lat").alias("field"), F.lit("corrected").alias("status"), F.when(rename, "Renamed").otherwise("42.5").alias("value"))
     return gold.build_branches(rosters, lib, hits, changed).select("branch_id", "library_id", "name", F.round("lat", 4).alias("lat"))
+
+
+def attractions(spark, sf):
+    """Catalog titles, pages, prices, hours, archive, corrections and price evidence for every part, under its canonical key."""
+    part = V(spark, sf, "part").join(V(spark, sf, "d_key").select("p_partkey", "raw"), "p_partkey").withColumn("no", F.col("p_partkey").cast("string"))
+    none, k = F.lit(None).cast("string"), F.col("p_partkey")
+    price = "array<struct<audience:string,price:double,source_block:string,source_url:string>>"
+    catalog = part.select(F.col("raw").alias("attraction_slug"), F.when(k % 5 == 0, " ").otherwise(F.col("p_name")).alias("title"), k.alias("pos"))
+    pages = part.filter(k % 3 == 0).select(F.col("raw").alias("slug"), F.when(k % 2 == 0, F.concat(F.lit("http://site/"), "no")).alias("url"), none.alias("title"), F.concat(F.lit("http://img/"), "no").alias("og_image"))
+    prices = part.filter(k % 2 == 1).select(F.col("raw").alias("slug"), F.when(F.col("p_size") > 25, "ok").otherwise("failed").alias("status"),
+        F.expr(f"CAST(array(named_struct('audience', 'adult', 'price', p_size, 'source_block', null, 'source_url', null)) AS {price})").alias("prices"))
+    hours = part.filter(k % 4 == 0).select(F.col("raw").alias("slug"), F.lit("ok").alias("status"), F.expr("map('monday', 'closed', 'tuesday', '10:00-17:00')").alias("hours"))
+    own = K.canonical_key(part, "raw", aliases(spark, sf), "slug").groupBy("slug").agg(F.min("p_partkey").alias("m")).withColumn("no", F.col("m").cast("string"))
+    archive = own.filter(F.col("m") % 7 < 4).select("slug", F.when(F.col("m") % 2 == 0, F.concat(F.lit("Hall "), "no")).alias("name"), F.concat(F.lit("http://old/"), "no").alias("website"), F.lit("617").alias("phone"),
+        F.concat("no", F.lit(" Mill Lane, Ashmere, MA 01999")).alias("address"), F.lit("old words").alias("description"), F.array(F.lit("Tours"), F.lit("Crafts"), F.lit("Lawn")).alias("categories"), none.alias("hero_image"),
+        F.expr(f"CAST(null AS {price})").alias("prices"), F.expr("map('sunday', 'closed')").alias("hours"))
+    changed = own.filter(F.col("m") % 11 == 0).select(F.lit("attraction").alias("kind"), F.col("slug").alias("id"), F.lit("phone").alias("field"), F.lit("corrected").alias("status"), F.concat(F.lit("555-"), "no").alias("value"))
+    block = F.concat(F.lit("Adults\n\n  no "), "no")
+    evidence = own.select("slug", F.array(F.struct(F.lit("adult").alias("audience"), F.lit("").alias("source_block"), F.lit("http://x").alias("source_url")),
+                                          F.struct(F.lit("adult").alias("audience"), block.alias("source_block"), F.concat(F.lit("http://e/"), "no").alias("source_url"))).alias("prices"))
+    return gold.build_attractions(catalog, pages, prices, hours, archive, changed, evidence, aliases(spark, sf))
+
+
+ATTRACTION_SQL = """SELECT slug, coalesce(CASE WHEN old AND m % 2 = 0 THEN concat('Hall ', m) END, title, array_to_string(list_transform(string_split(slug, '-'), lambda w: concat(upper(w[1]), w[2:])), ' ')) AS name,
+    coalesce(CASE WHEN pg % 2 = 0 THEN concat('http://site/', pg) END, CASE WHEN old THEN concat('http://old/', m) END) AS website, CASE WHEN m % 11 = 0 THEN concat('555-', m) WHEN old THEN '617' END AS phone,
+    CASE WHEN old THEN '01999' END AS zip, CASE WHEN old THEN 'History,Art' ELSE '' END AS categories, CASE WHEN pg IS NOT NULL THEN concat('http://img/', pg) END AS hero_image, CAST(price AS DOUBLE) AS price,
+    CASE WHEN price IS NOT NULL THEN concat('Adults', chr(10), 'no ', m) END AS block, CASE WHEN price IS NOT NULL THEN concat('http://e/', m) END AS price_url, CASE WHEN timed THEN 'monday' WHEN old THEN 'sunday' ELSE '' END AS closed
+    FROM (SELECT canonical AS slug, min(k.p_partkey) AS m, min(k.p_partkey) % 7 < 4 AS old, arg_max(p_name, length(p_name) * 1000000000 - k.p_partkey) FILTER (k.p_partkey % 5 <> 0) AS title, arg_min(k.p_partkey, k.raw) FILTER (k.p_partkey % 3 = 0) AS pg,
+        arg_min(p_size, k.raw) FILTER (k.p_partkey % 6 = 3 AND p_size > 25) AS price, coalesce(bool_or(k.p_partkey % 12 = 0), false) AS timed FROM {d_canon} k JOIN {part} p ON p.p_partkey = k.p_partkey GROUP BY canonical)"""
+
+
+@query("gold_attractions", ATTRACTION_SQL)
+def gold_attractions(spark, sf):
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    first = F.get("prices", F.lit(0))
+    return attractions(spark, sf).select("slug", "name", "website", "phone", "address.zip", text("categories").alias("categories"), "hero_image", first["price"].alias("price"), first["source_block"].alias("block"),
+                                         first["source_url"].alias("price_url"), text("closed_days").alias("closed"))
+
+
+def _metric(table, metric, bad, rows):
+    return f"""SELECT '{table}' AS "table", '{metric}' AS metric, count(*) AS n, count(*) FILTER ({bad}) AS n_bad, round(100.0 * count(*) FILTER ({bad}) / count(*), 1)::DOUBLE AS pct FROM {rows}"""
+
+
+@query("gold_validation_report", " UNION ALL ".join([
+    _metric("libraries", "card_eligibility_unknown", "s_suppkey % 7 <> 0 AND s_suppkey % 3 <> 0", "{supplier}"), _metric("libraries", "pass_pickup_unknown", "true", "{supplier}"),
+    _metric("attractions", "prices_missing", "price IS NULL", f"({ATTRACTION_SQL}) a"), _metric("attractions", "hours_missing", "closed = ''", f"({ATTRACTION_SQL}) a"), _metric("attractions", "categories_empty", "categories = ''", f"({ATTRACTION_SQL}) a"),
+    _metric("passes", "coupon_missing", "summary IS NULL", f"({PASS_SQL}) p"), _metric("passes", "residency_unknown", "restricted = 'unknown'", f"({PASS_SQL}) p"), _metric("passes", "duplicate_audience", "false", f"({PASS_SQL}) p")]))
+def gold_validation_report(spark, sf):
+    """The report over the three tables as they are built here."""
+    return gold.validation_report(libraries(spark, sf), attractions(spark, sf), passes(spark, sf))

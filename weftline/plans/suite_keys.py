@@ -10,6 +10,7 @@ from weftline.operators.calendars import expected_verdict
 from weftline.plans import gold
 from weftline.plans.derived import spark_sql, view
 from weftline.plans.registry import query
+from weftline.sources.scans import index_types
 
 V = view
 BIG = lambda c: c.cast("bigint")
@@ -105,11 +106,17 @@ def keyed_lookup(spark, sf):
     CASE WHEN b.p_brand IN ('Brand#1', 'Brand#2') THEN 'physical-coupon' END) AS t
     FROM {{d_pass}} p JOIN {{d_key}} k ON k.p_partkey = p.attraction_id JOIN {{part}} b ON b.p_partkey = k.p_partkey) GROUP BY t""")
 def multi_key_type_lookup(spark, sf):
-    part = V(spark, sf, "part")
-    by_slug = V(spark, sf, "d_key").select(F.col("raw").alias("attraction_rawslug"), F.expr("CASE p_type WHEN 'MEDIUM' THEN 'unknown' WHEN 'SMALL' THEN '' WHEN 'LARGE' THEN 'physical-circ' END").alias("t1"))
-    by_id = part.filter(F.col("p_brand").isin("Brand#1", "Brand#2")).select(F.col("p_partkey").alias("attraction_id"), F.lit("physical-coupon").alias("t2"))
-    d = V(spark, sf, "d_catalog").withColumn("t0", F.when(F.col("p_size") > 40, "digital").otherwise(""))
-    d = K.lookup(K.lookup(d, by_slug, ["attraction_rawslug"], ["t1"]), by_id, ["attraction_id"], ["t2"])
+    """Index rows of every library, some with slugs and some with ids, through the index lookups; the catalog's own code comes first."""
+    own = ["platform", "library_id"]
+    catalog = V(spark, sf, "d_catalog").withColumn("t0", F.when(F.col("p_size") > 40, "digital").otherwise("")).withColumn("hex", F.col("attraction_id").cast("string"))
+    none = F.lit(None).cast("string")
+    by_raw = catalog.select(*own, F.col("attraction_id").alias("pos"), F.col("attraction_rawslug").alias("slug"), none.alias("canonical"),
+                            F.expr("CASE p_type WHEN 'MEDIUM' THEN 'unknown' WHEN 'SMALL' THEN '' WHEN 'LARGE' THEN 'physical-circ' END").alias("pass_type"), none.alias("museum_hex"))
+    brands = V(spark, sf, "part").filter(F.col("p_brand").isin("Brand#1", "Brand#2")).select(F.col("p_partkey").alias("attraction_id"))
+    by_hex = catalog.join(brands, "attraction_id", "left_semi").select(*own, F.col("attraction_id").alias("pos"), none.alias("slug"), none.alias("canonical"), F.lit("physical-coupon").alias("pass_type"), F.col("hex").alias("museum_hex"))
+    by_slug, by_id = index_types(by_raw.unionByName(by_hex))
+    d = K.lookup(catalog, by_slug.select(*own, F.col("key").alias("attraction_rawslug"), F.col("pass_type").alias("t1")), [*own, "attraction_rawslug"], ["t1"])
+    d = K.lookup(d, by_id.select(*own, F.col("key").alias("hex"), F.col("pass_type").alias("t2")), [*own, "hex"], ["t2"])
     return d.groupBy(core.first_truthy(*[core.text_or_null(c) for c in ("t0", "t1", "t2")]).alias("t")).agg(F.count("*").alias("n"))
 
 

@@ -26,9 +26,12 @@ def page_text(spark, sf):
     return d.select("page_id", F.length("t").alias("size"), F.md5("t").alias("digest"))
 
 
-@query("page_paragraphs", r"""SELECT page_id, md5(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(""" + UNESC.format(
+PARAGRAPHS_SQL = r"""regexp_replace(regexp_replace(array_to_string(list_transform(string_split(""" + UNESC.format(
     r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<head\b.*?</head>', ' ', 'g'),
-    '(?s)<!--.*?-->', ' ', 'g'), '(?i)</(p|div|section|li|h[1-6]|tr|article|header|footer|br)>', chr(10), 'g'), '<[^>]+>', ' ', 'g')""") + r""", chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x{00A0}]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM {pages}""")
+    '(?s)<!--.*?-->', ' ', 'g'), '(?i)</(p|div|section|li|h[1-6]|tr|article|header|footer|br)>', chr(10), 'g'), '<[^>]+>', ' ', 'g')""") + r""", chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x{00A0}]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+
+
+@query("page_paragraphs", "SELECT page_id, md5(" + PARAGRAPHS_SQL + ") AS digest FROM {pages}")
 def page_paragraphs(spark, sf):
     return spread(spark, sf, "pages").select("page_id", F.md5(html.html_paragraphs("html")).alias("digest"))
 
@@ -71,21 +74,24 @@ def top_links(spark, sf):
     return J.top_links(J.page_links(d, ["page_id"], "html", "url"), ["page_id"])
 
 
-@query("anchor_list", r"""SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS n FROM {pages}""")
+@query("anchor_list", r"""SELECT page_id, unnest(range(len(h))) AS link_no, unnest(h) AS href, md5(unnest(t)) AS text_md5 FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]+)">(.*?)</a>', 1) AS h,
+    regexp_extract_all(html, '<a href="([^"]+)">(.*?)</a>', 2) AS t FROM {pages})""")
 def anchor_list(spark, sf):
-    return spread(spark, sf, "pages").select("page_id", F.size(html.anchors("html")).alias("n"))
+    d = spread(spark, sf, "pages").select("page_id", F.posexplode(html.anchors("html")).alias("link_no", "_a"))
+    return d.select("page_id", BIG(F.col("link_no")).alias("link_no"), "_a.href", F.md5("_a.inner").alias("text_md5"))
 
 
-@query("document_segments", r"""SELECT page_id, len(regexp_extract_all(html, '<p>')) AS n FROM {pages}""")
+@query("document_segments", r"""SELECT page_id, unnest(range(len(p))) AS segment_no, md5(concat('<p>', unnest(p))) AS segment_md5 FROM (SELECT page_id, string_split(html, '<p>')[2:] AS p FROM {pages})""")
 def document_segments(spark, sf):
-    return spread(spark, sf, "pages").select("page_id", F.size(J.segments("html", "<p>")).alias("n"))
+    d = spread(spark, sf, "pages").select("page_id", F.posexplode(J.segments("html", "<p>")).alias("segment_no", "_s"))
+    return d.select("page_id", BIG(F.col("segment_no")).alias("segment_no"), F.md5("_s").alias("segment_md5"))
 
 
-@query("evidence_rows", f"SELECT lang, count(*) AS pages, count(DISTINCT source_url) AS n FROM (SELECT regexp_extract(html, '<html lang=\"([a-z]*)\"', 1) AS lang, url AS source_url FROM {{pages}}) GROUP BY 1")
+@query("evidence_rows", r"""SELECT regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, CAST(page_id AS VARCHAR) AS page, url AS source_url,
+    md5(concat('=== ', page_id, ' ===', chr(10), 'source_url: ', url, chr(10), chr(10), """ + PARAGRAPHS_SQL + ")) AS chunk_md5 FROM {pages}")
 def evidence_rows(spark, sf):
     d = spread(spark, sf, "pages").withColumn("lang", core.grab("html", r'<html lang="([a-z]*)"', 1, "")).withColumn("page", S("page_id"))
-    e = J.evidence_rows(d, "lang", "page", "html", "url").filter(F.col("chunk").startswith("=== "))
-    return e.groupBy("lang").agg(F.count("*").alias("pages"), F.count_distinct("source_url").alias("n"))
+    return J.evidence_rows(d, "lang", "page", "html", "url").select("lang", "page", "source_url", F.md5("chunk").alias("chunk_md5"))
 
 
 @query("evidence_manifest", "SELECT s_suppkey, (SELECT count(*) FROM {pages} WHERE page_id % 100 + 1 = s_suppkey) AS pages_inspected FROM {supplier}")
@@ -122,6 +128,33 @@ def unknown_json_fields(spark, sf):
     return scans.unknown_fields(V(spark, sf, "events").select(raw.alias("raw")), "raw", "k bigint")
 
 
+@query("variant_schema_lock", """SELECT path, n FROM (SELECT 'inner.y' AS path, count(*) FILTER (user_id % 3 = 0) AS n FROM {events} UNION ALL SELECT 'items[].z', count(*) FILTER (user_id % 5 = 0) FROM {events}
+    UNION ALL SELECT concat('x', g), n FROM (SELECT event_id % 4 AS g, count(*) AS n FROM {events} GROUP BY 1)) WHERE n > 0""")
+def variant_schema_lock(spark, sf):
+    e = V(spark, sf, "events")
+    inner = F.when(F.col("user_id") % 3 == 0, '"inner": {"a": 1, "y": {"deep": null}}, ').otherwise('"inner": {"a": 2}, ')
+    items = F.when(F.col("user_id") % 5 == 0, '"items": [{"a": 1}, {"z": "q"}], ').otherwise('"items": [], ')
+    raw = F.concat(F.lit('{"x'), (F.col("event_id") % 4).cast("string"), F.lit('": null, '), inner, items, F.lit('"k": '), S("event_id"), F.lit("}"))
+    return scans.unknown_paths(e.select(raw.alias("raw")), "raw", "k bigint, inner struct<a:bigint>, items array<struct<a:bigint>>")
+
+
+@query("override_records", """SELECT kind, id, field, status, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN concat('{"n":', id, '}') WHEN CAST(id AS BIGINT) % 3 = 1 THEN id ELSE value END AS value, 'desk' AS source FROM {d_override} o""")
+def override_records(spark, sf):
+    """Correction records as JSON, whose corrected value is an object, a number or a string."""
+    d, no = V(spark, sf, "d_override"), F.col("id").cast("bigint") % 3
+    value = F.when(no == 0, F.concat(F.lit('{"n":'), "id", F.lit("}"))).when(no == 1, F.col("id")).when(F.col("value").isNull(), "null").otherwise(F.concat(F.lit('"'), "value", F.lit('"')))
+    raw = F.concat(F.lit('{"status": "'), "status", F.lit('", "source": "desk", "corrected_value": '), value, F.lit("}"))
+    return scans.override_records(d.select("kind", "id", "field", raw.alias("raw")), "raw").select("kind", "id", "field", "status", "value", "source")
+
+
+@query("seed_rows", """SELECT o_orderkey, unnest([concat('a', o_custkey), concat('b', o_custkey)]) AS id, unnest([o_orderpriority, NULL]) AS town FROM {orders} WHERE o_orderkey % 4 < 3""")
+def seed_rows(spark, sf):
+    """Seed lists, bare, wrapped or broken."""
+    one = F.concat(F.lit('[{"id": "a'), S("o_custkey"), F.lit('", "town": "'), "o_orderpriority", F.lit('"}, {"id": "b'), S("o_custkey"), F.lit('"}]'))
+    raw = F.when(F.col("o_orderkey") % 4 == 3, "{").when(F.col("o_orderkey") % 2 == 0, one).otherwise(F.concat(F.lit('{"libraries": '), one, F.lit("}")))
+    return scans.seed_rows(V(spark, sf, "orders").select("o_orderkey", raw.alias("raw")), "raw", "id string, town string", "libraries")
+
+
 @query("keyed_by_file_name", "SELECT concat('lib', o_custkey % 10) AS library_id, count(*) AS n, count(*) AS n_keyed FROM {orders} GROUP BY 1")
 def keyed_by_file_name(spark, sf):
     """The key is cut out of a path such as .../<library>__<key>.json, as the keyed scan does."""

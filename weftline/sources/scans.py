@@ -79,12 +79,20 @@ def scan_overrides(spark: SparkSession, root: str, consolidated: str | None = No
     return effective_overrides(files, listed)
 
 
+def seed_rows(df: DataFrame, text: str, schema: str, wrapper: str) -> DataFrame:
+    """Seed texts, each a JSON list or an object holding the list under ``wrapper`` -> one row per entry, other columns kept.
+
+    Text of neither form, null text and empty lists give no rows.
+    """
+    listed = f"array<struct<{schema}>>"
+    entries = F.when(F.ltrim(text).startswith("["), F.from_json(text, listed)).otherwise(F.from_json(text, f"{wrapper} {listed}")[wrapper])
+    rest = [c for c in df.columns if c != text]
+    return df.select(*rest, F.explode(entries).alias("_s")).select(*rest, "_s.*")
+
+
 def scan_seeds(spark: SparkSession, path: str, schema: str, wrapper: str) -> DataFrame:
-    """Seed file that is either a JSON list or an object holding the list under ``wrapper``."""
-    full = f"{schema}, {wrapper} array<struct<{schema}>>"
-    fields = [f.name for f in T.StructType.fromDDL(schema).fields]
-    d = spark.read.schema(full).option("multiLine", True).json(path)
-    return d.select(F.explode(F.coalesce(F.col(wrapper), F.array(F.struct(*fields)))).alias("s")).select("s.*")
+    """Seed files read whole, in either form of ``seed_rows``."""
+    return seed_rows(spark.read.text(path, wholetext=True), "value", schema, wrapper)
 
 
 def explode_map(df: DataFrame, text: str, value_type: str = "string", under: str | None = None, names: tuple[str, str] = ("key", "value")) -> DataFrame:
@@ -120,6 +128,31 @@ def unknown_fields(df: DataFrame, text: str, schema: str) -> DataFrame:
     return df.select(F.explode(extra).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
 
 
+def _unlisted(v: Column, known: T.DataType, at: str) -> Column:
+    """Distinct paths in one variant that ``known`` lacks, outermost unknown field only."""
+    none = F.array().cast("array<string>")
+    if isinstance(known, T.ArrayType):
+        found = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: _unlisted(e, known.elementType, f"{at}[]"))
+        return F.coalesce(F.array_distinct(F.flatten(found)), none)
+    if not isinstance(known, T.StructType):
+        return none
+    fields, prefix = F.try_variant_get(v, "$", "map<string,variant>"), f"{at}." if at else ""
+    own = F.array_except(F.coalesce(F.map_keys(fields), none), F.array(*[F.lit(f.name) for f in known.fields]))
+    inner = [_unlisted(F.try_element_at(fields, F.lit(f.name)), f.dataType, prefix + f.name) for f in known.fields if isinstance(f.dataType, (T.StructType, T.ArrayType))]
+    return F.concat(F.transform(own, lambda k: F.concat(F.lit(prefix), k)), *inner)
+
+
+def unknown_paths(df: DataFrame, text: str, schema: str) -> DataFrame:
+    """Paths, of any depth, that a locked schema does not know, with the number of records that carry them; "[]" stands for list items.
+
+    Every text is parsed once into a variant and compared inside its row, so one pass and one combinable count do. A field counts
+    whatever its value, null included; fields below an unknown field are not listed again; a value of another kind than the schema's
+    (a string for a list, say) hides nothing in other records. Malformed texts and nulls carry nothing; empty input gives no rows.
+    """
+    d = df.select(F.try_parse_json(text).alias("_v")).filter(F.col("_v").isNotNull())
+    return d.select(F.explode(_unlisted(F.col("_v"), T.StructType.fromDDL(schema), "")).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+
+
 def scan_locked(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """Strict read: a malformed record fails the job, an unknown field raises before anything is used."""
     extra = unknown_fields(spark.read.text(glob), "value", schema).limit(20).collect()  # names for the message only
