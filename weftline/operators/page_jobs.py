@@ -56,9 +56,15 @@ def nearest_label(df: DataFrame, context: str, at: str, out: str = "label") -> D
 def price_tokens(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
     """One row per '$N' token with 60 characters of context on both sides."""
     d = with_value(df.filter(F.col(html).contains("$")), _t=html_text(html)).filter(F.col("_t").rlike(r"\$\s*\d"))
-    tokens = find_all("_t", r"\$\s*\d+(?:\.\d{1,2})?", "U", 60, 60)
-    return d.select(*keys, F.posexplode(tokens).alias("token_no", "_k")).select(
-        *keys, "token_no", "_k.pre", "_k.hit", "_k.post", F.regexp_extract("_k.hit", r"(\d+(?:\.\d{1,2})?)", 1).cast("double").alias("price"))
+    return _priced(d.select(*keys, F.posexplode(_price_hits("_t")).alias("token_no", "_k")), keys)
+
+
+def _price_hits(text: str) -> Column:
+    return find_all(text, r"\$\s*\d+(?:\.\d{1,2})?", "U", 60, 60)
+
+
+def _priced(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return tokens.select(*keys, "token_no", "_k.pre", "_k.hit", "_k.post", F.regexp_extract("_k.hit", r"(\d+(?:\.\d{1,2})?)", 1).cast("double").alias("price"))
 
 
 def extract_prices(df: DataFrame, entity: str, order: str, html: str, max_price: float | None = None) -> DataFrame:
@@ -66,7 +72,12 @@ def extract_prices(df: DataFrame, entity: str, order: str, html: str, max_price:
 
     ``max_price`` leaves out larger sums (the surveyed rule was 500); without it every price counts. The phrase is the whole context.
     """
-    t = price_tokens(df, [entity, order], html).filter(F.col("price") > 0)
+    return fold_prices(price_tokens(df, [entity, order], html), entity, order, max_price)
+
+
+def fold_prices(tokens: DataFrame, entity: str, order: str, max_price: float | None = None) -> DataFrame:
+    """The rows of ``price_tokens`` read and folded per entity."""
+    t = tokens.filter(F.col("price") > 0)
     t = t if max_price is None else t.filter(F.col("price") <= max_price)
     near = F.concat(F.right("pre", F.lit(35)), F.col("hit"), F.left("post", F.lit(35)))
     lead = F.right("pre", F.lit(20))
@@ -138,11 +149,15 @@ def _season(text: Column) -> Column:
 def hour_statements(df: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
     """(keys, season, statement STRUCT<days,value,rank,at,hit> or NULL): pages without a statement keep one row."""
     flat = F.regexp_replace(html_text(html), fx.DASHES, "-")
+    d = df.select(*keys, flat.alias("_t")).select(*keys, let("_t", _hours_of).alias("_p"))
+    return d.select(*keys, "_p.season", F.explode_outer("_p.statements").alias("s"))
+
+
+def _hours_of(text: Column) -> Column:
+    """STRUCT<season,statements> of one page's flat text with plain dashes."""
     read = lambda h: F.struct(_covered(h).alias("days"), _stated(h).alias("value"), h["rank"].alias("rank"), h["at"].alias("at"), h["hit"].alias("hit"))
     hinted = lambda t: t.rlike(r"(?i)\d|noon|midnight|closed")
-    page = lambda t: F.struct(_season(t).alias("season"), F.when(hinted(t), F.transform(_hour_hits(t), read)).alias("statements"))
-    d = df.select(*keys, flat.alias("_t")).select(*keys, let("_t", page).alias("_p"))
-    return d.select(*keys, "_p.season", F.explode_outer("_p.statements").alias("s"))
+    return F.struct(_season(text).alias("season"), F.when(hinted(text), F.transform(_hour_hits(text), read)).alias("statements"))
 
 
 def extract_hours(df: DataFrame, entity: str, order: str, html: str) -> DataFrame:
@@ -150,7 +165,12 @@ def extract_hours(df: DataFrame, entity: str, order: str, html: str) -> DataFram
 
     Patterns are tried in rank order over all pages; the first statement about a day stands. One scan and one aggregate.
     """
-    d = hour_statements(df, [entity, order], html)
+    return fold_hours(hour_statements(df, [entity, order], html), entity, order)
+
+
+def fold_hours(statements: DataFrame, entity: str, order: str) -> DataFrame:
+    """The rows of ``hour_statements`` folded per entity."""
+    d = statements
     at = F.struct(F.col("s.rank"), F.col(order), F.col("s.at").alias("at"))
     said = F.col("s.value").isNotNull()
     day = lambda i: F.min_by(F.col("s.value"), F.when(said & F.array_contains("s.days", i), at))
@@ -164,9 +184,16 @@ def extract_hours(df: DataFrame, entity: str, order: str, html: str) -> DataFram
 # ---------------------------------------------------------------- reservations
 def extract_reservation(df: DataFrame, entity: str, order: str, html: str) -> DataFrame:
     """Reservation policy per entity: a timed-entry cue on any page beats a walk-in cue; links from the first page that has one."""
-    d = df.withColumn("_t", html_text(html))
-    d = d.select(entity, order, match_window("_t", fx.TIMED_ENTRY, 80, 80).alias("_timed"), match_window("_t", fx.WALK_IN_WELCOME, 80, 80).alias("_walk"),
-                 visit_links(html).alias("_l")).select(entity, order, "_timed", "_walk", F.col("_l.booking_url").alias("_book"), F.col("_l.pass_holder_url").alias("_pass"))
+    d = df.withColumn("_t", html_text(html)).select(entity, order, *_reservation_cues("_t", html))
+    return fold_reservation(d.select(entity, order, "_timed", "_walk", F.col("_l.booking_url").alias("_book"), F.col("_l.pass_holder_url").alias("_pass")), entity, order)
+
+
+def _reservation_cues(text: str, html: str) -> list[Column]:
+    return [match_window(text, fx.TIMED_ENTRY, 80, 80).alias("_timed"), match_window(text, fx.WALK_IN_WELCOME, 80, 80).alias("_walk"), visit_links(html).alias("_l")]
+
+
+def fold_reservation(d: DataFrame, entity: str, order: str) -> DataFrame:
+    """Cues and links of pages (_timed, _walk, _book, _pass) folded per entity."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
     g = d.groupBy(entity).agg(*[first(c) for c in ("_timed", "_walk", "_book", "_pass")])
     timed, walk = F.col("_timed").isNotNull(), F.col("_walk").isNotNull()
@@ -208,11 +235,56 @@ def visitor_eligibility(text) -> Column:
 
 def extract_visitor_eligibility(df: DataFrame, entity: str, order: str, html: str) -> DataFrame:
     """Strongest reading over the pages of an entity, earliest page on equal strength."""
-    d = df.withColumn("_t", html_text(html)).select(entity, order, visitor_eligibility("_t").alias("_v"))
+    return fold_visitors(df.withColumn("_t", html_text(html)).select(entity, order, visitor_eligibility("_t").alias("_v")), entity, order)
+
+
+def fold_visitors(d: DataFrame, entity: str, order: str) -> DataFrame:
+    """Readings of pages (_v) folded per entity."""
     return d.groupBy(entity).agg(F.min_by("_v", F.struct("_v.rank", order)).alias("_v")).select(
         entity, "_v.residency", "_v.scope", "_v.locals_free", "_v.note", "_v.source_phrase")
 
 
+# ---------------------------------------------------------------- all facts of a page at once
+FACTS = ("price", "hours", "reservation", "visitors")
+
+
+def page_facts(df: DataFrame, entity: str, order: str, html: str) -> DataFrame:
+    """Every fact of every page from one scan that strips a page once: (entity, order, kind, fact_no, price, hours, reservation, visitors).
+
+    A row carries one kind (see FACTS) and its value in the column of that name, the others are null, so that the rows can be written
+    partitioned by kind and each fold reads its own part (``facts_of``). Every page gives one reservation and one visitors row, one hours row per
+    statement (at least one, for the season) and one price row per sum of money. A null page reads as one without text.
+    """
+    d = with_value(df.select(entity, order, F.coalesce(html, F.lit("")).alias("_html")), _t=html_text("_html"))
+    dashed = F.regexp_replace("_t", fx.DASHES, "-")
+    timed, walk, links = _reservation_cues("_t", "_html")
+    d = with_value(d, _price=F.when(F.col("_t").contains("$"), _price_hits("_t")), _hours=let(dashed, _hours_of),
+                   _res=F.struct(timed, walk, links), _vis=visitor_eligibility("_t"))
+    statements = F.when(F.size("_hours.statements") > 0, F.col("_hours.statements")).otherwise(F.array(F.lit(None)))
+    hours = F.transform(statements, lambda s: F.struct(F.col("_hours.season").alias("season"), s.alias("s")))
+    values = {"price": F.col("_price"), "hours": hours, "reservation": F.array("_res"), "visitors": F.array("_vis")}
+    null = {k: F.get(v, F.lit(-1)) for k, v in values.items()}  # of the kind's own type
+    def tagged(kind):
+        return F.transform(values[kind], lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("fact_no"), *[(v if o == kind else null[o]).alias(o) for o in FACTS]))
+    always = [tagged(k) for k in FACTS[1:]]
+    rows = F.concat(F.coalesce(tagged("price"), F.slice(always[0], 1, 0)), *always)
+    return d.select(entity, order, F.explode(rows).alias("_f")).select(entity, order, "_f.*")
+
+
+def facts_of(facts: DataFrame, kind: str, entity: str, order: str, max_price: float | None = None) -> DataFrame:
+    """One kind of the rows of ``page_facts`` folded per entity, as its own extraction gives it."""
+    d = facts.filter(F.col("kind") == kind)
+    if kind == "price":
+        return fold_prices(_priced(d.select(entity, order, F.col("fact_no").alias("token_no"), F.col("price").alias("_k")), [entity, order]), entity, order, max_price)
+    if kind == "hours":
+        return fold_hours(d.select(entity, order, "hours.season", "hours.s"), entity, order)
+    if kind == "reservation":
+        return fold_reservation(d.select(entity, order, "reservation._timed", "reservation._walk", F.col("reservation._l.booking_url").alias("_book"), F.col("reservation._l.pass_holder_url").alias("_pass")), entity, order)
+    if kind == "visitors":
+        return fold_visitors(d.select(entity, order, F.col("visitors").alias("_v")), entity, order)
+    raise ValueError(f"kind {kind!r}")
+
+
 # ---------------------------------------------------------------- links
 def page_links(df: DataFrame, keys: Sequence[str], html: str, base: str) -> DataFrame:
     """Scored same-site links below the home page: (keys, url, score), best score per URL."""

@@ -1,5 +1,7 @@
 """Jobs and parsers over pages: the crawled pages themselves, and pages laid out from table columns."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftline import fixed_values as fx
@@ -9,7 +11,8 @@ from weftline.operators import page_parsers as P
 from weftline.plans.derived import spread, view
 from weftline.plans.registry import query
 from weftline.plans.suite_keys import UNESC
-from weftline.sources import scans
+from weftline.session import checkpoint_dir
+from weftline.sources import json_split, scans
 from weftline.sources.scans import keyed_by_path
 
 V = view
@@ -234,6 +237,72 @@ def page_visitor_eligibility(spark, sf):
     return J.extract_visitor_eligibility(d, "p_partkey", "page", "html").select("p_partkey", "residency", "scope", "locals_free", "note")
 
 
+def venue_site(spark, sf):
+    """Four pages per part: prices, hours, reservations, residency."""
+    k, key = F.col("p_partkey"), S("p_partkey")
+    hours = F.when(k % 3 == 0, "Tuesday-Sunday 9:00-17:00. Closed Mondays.").when(k % 3 == 1, "Open daily from 10 a.m. to 5 p.m.").otherwise("Ask at the desk.")
+    visit = F.when(k % 4 == 0, F.concat(F.lit('<p>Timed entry required.</p><a href="https://www.eventbrite.com/e/'), key, F.lit('">Go</a>'))).when(k % 4 == 1, "<p>Walk-ins welcome!</p>").otherwise("<p>Hello</p>")
+    who = F.when(k % 5 == 0, "Free admission for Massachusetts residents on Sundays").when(k % 5 == 2, "Many residents visit us each year").otherwise("Welcome")
+    price = venue_pages(spark, sf).select("p_partkey", "page", "html")
+    rest = spread(spark, sf, "part").select("p_partkey", F.explode(F.array(*[F.struct(F.lit(i).alias("page"), F.concat(F.lit("<div>"), body, F.lit("</div>")).alias("html")) for i, body in enumerate([hours, visit, who], 1)])).alias("x"))
+    return price.unionByName(rest.select("p_partkey", "x.*"))
+
+
+@query("page_facts", """SELECT p_partkey, 'price' AS kind, concat(audience, ' ', CAST(price * 100 AS BIGINT)) AS fact FROM (SELECT p_partkey, 'adult' AS audience, CAST(p_size AS DOUBLE) AS price FROM {part} WHERE p_partkey % 5 IN (0, 3) UNION ALL SELECT p_partkey, 'child', 2.0 FROM {part} WHERE p_partkey % 5 = 0
+    UNION ALL SELECT p_partkey, 'senior', p_size + 0.5 FROM {part} WHERE p_partkey % 5 = 1 UNION ALL SELECT p_partkey, 'student', p_size FROM {part} WHERE p_partkey % 5 = 2)
+    UNION ALL SELECT p_partkey, 'hours', CASE p_partkey % 3 WHEN 0 THEN 'closed 09:00-17:00' WHEN 1 THEN '10:00-17:00 10:00-17:00' ELSE 'unknown unknown' END FROM {part}
+    UNION ALL SELECT p_partkey, 'reservation', CASE p_partkey % 4 WHEN 0 THEN concat('timed_entry https://www.eventbrite.com/e/', p_partkey) ELSE 'walk_in_ok -' END FROM {part}
+    UNION ALL SELECT p_partkey, 'visitors', CASE p_partkey % 5 WHEN 0 THEN 'ma_resident MA' ELSE 'unknown -' END FROM {part}""")
+def page_facts(spark, sf):
+    """All facts of four pages per part from one pass over the pages, stored by kind, each kind folded from its own files."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/weftline-facts-{uuid.uuid4().hex}"
+    facts = J.page_facts(venue_site(spark, sf), "p_partkey", "page", "html")
+    facts.write.partitionBy("kind").parquet(path)
+    stored = spark.read.schema(facts.schema).parquet(path)
+    of = lambda kind, fact: J.facts_of(stored, kind, "p_partkey", "page").select("p_partkey", F.lit(kind).alias("kind"), fact.alias("fact"))
+    two = lambda a, b: F.concat_ws(" ", a, F.coalesce(b, F.lit("-")))
+    return (of("price", two(F.col("audience"), F.round(F.col("price") * 100).cast("bigint").cast("string"))).unionByName(of("hours", two(F.col("monday"), F.col("sunday"))))
+            .unionByName(of("reservation", two(F.col("required"), F.col("booking_url")))).unionByName(of("visitors", two(F.col("residency"), F.col("scope")))))
+
+
+# ---------------------------------------------------------------- JSON files written from tables, read by the splitting readers
+def _json_parts(spark, df, order, body, first, last):
+    """One JSON document over all rows of a table, written by many tasks in the order of a key: texts between commas."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/weftline-json-{uuid.uuid4().hex}"
+    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    d = df.join(ends, F.col(order).between(F.col("_lo"), F.col("_hi")))
+    text = F.concat(F.when(F.col(order) == F.col("_lo"), first).otherwise(""), body, F.when(F.col(order) == F.col("_hi"), last).otherwise("\n"))
+    d.select(order, text.alias("value")).repartitionByRange(order).sortWithinPartitions(order).select("value").write.option("lineSep", ",").text(path)
+    return path
+
+
+@query("big_json_map", """SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos, CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS status, concat('a,b] "', o_orderpriority, '{') AS note, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS n_tags FROM {orders}""")
+def big_json_map(spark, sf):
+    """One map over all orders, its values with commas, brackets and quotes inside strings, in files cut anywhere at a comma."""
+    tags = F.when(F.col("o_orderkey") % 3 == 0, '["x,y", {"z": [1, 2]}]').otherwise("[]")
+    body = F.concat(F.lit('"'), S("o_orderkey"), F.lit('": {"status": "'), "o_orderstatus", F.lit('", "note": "a,b] \\"'), "o_orderpriority", F.lit('{", "tags": '), tags, F.lit("}"))
+    path = _json_parts(spark, V(spark, sf, "orders"), "o_orderkey", body, "{", "}\n")
+    d = json_split.scan_big_map(spark, path, "folder").withColumn("_v", F.from_json("value", "status string, note string, tags array<string>"))
+    return d.select("pos", "key", "_v.status", "_v.note", F.size("_v.tags").alias("n_tags"))
+
+
+@query("big_json_list", """SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS pos, c_custkey AS id, c_mktsegment AS town FROM {customer}""")
+def big_json_list(spark, sf):
+    body = F.concat(F.lit('{"id": '), S("c_custkey"), F.lit(', "town": "'), "c_mktsegment", F.lit('", "more": {"a": [1, 2]}}'))
+    path = _json_parts(spark, V(spark, sf, "customer"), "c_custkey", body, "[\n", "]")
+    return json_split.scan_big_list(spark, path, "id bigint, town string", "folder").select("pos", "id", "town")
+
+
+@query("catalog_scan", """SELECT CAST(library_id AS VARCHAR) AS library_id, platform, CAST(row_number() OVER (PARTITION BY library_id ORDER BY attraction_rawslug) - 1 AS INTEGER) AS pos, attraction_rawslug AS slug, p_type AS kind FROM {d_catalog}""")
+def catalog_scan(spark, sf):
+    """Catalog documents, one per library in a folder per platform, written and read back by the catalog reader."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/weftline-catalog-{uuid.uuid4().hex}"
+    d = V(spark, sf, "d_catalog").groupBy("platform", S("library_id").alias("library_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("attraction_rawslug").alias("slug"), F.col("p_type").alias("kind")))).alias("passes"))
+    for platform in ("wizard", "libcal", "login"):
+        d.filter(F.col("platform") == platform).select("library_id", "passes").write.json(f"{root}/{platform}/catalog")
+    return scans.scan_exploded(spark, f"{root}/*/catalog/*.json", "library_id string, passes array<struct<slug:string,kind:string>>", "passes", lines=True)
+
+
 # ---------------------------------------------------------------- listing pages laid out from the suppliers, nations and customers
 @query("index_page", """SELECT p_partkey, pos, concat(kind, '-', p_partkey) AS attraction_slug, concat(upper(kind[1]), kind[2:], ' ', p_partkey) AS title, CASE WHEN kind = 'art' THEN concat('Admits ', p_size, ' people.', chr(10), 'Enjoy the day.') END AS benefit_text, CASE WHEN kind = 'art' THEN 'physical-circ' ELSE 'digital' END AS pass_type
     FROM {part}, (SELECT 'art' AS kind, 0 AS pos UNION ALL SELECT 'zoo', 1)""")

@@ -28,9 +28,12 @@ def path_part(n: int) -> Column:
     return F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-n))
 
 
-def scan_exploded(spark: SparkSession, glob: str, schema: str, array: str, platform_depth: int = 3) -> DataFrame:
-    """One JSON document per library -> one row per array element, with the platform taken from the path and the element position."""
-    d = spark.read.schema(schema).option("multiLine", True).json(glob).withColumn("platform", path_part(platform_depth))
+def scan_exploded(spark: SparkSession, glob: str, schema: str, array: str, platform_depth: int = 3, lines: bool = False) -> DataFrame:
+    """JSON documents -> one row per array element, with the platform taken from the path and the element position.
+
+    A file holds one document, or with ``lines`` one per line, which lets Spark deal a large file to many tasks.
+    """
+    d = spark.read.schema(schema).option("multiLine", not lines).json(glob).withColumn("platform", path_part(platform_depth))
     rest = [c for c in d.columns if c != array]
     return d.select(*rest, F.posexplode(array).alias("pos", "_e")).select(*rest, "pos", "_e.*")
 
