@@ -67,23 +67,31 @@ def run_starts(tokens: DataFrame) -> DataFrame:
     return size.select("run", (F.sum("_n").over(Window.orderBy("run")) - F.col("_n")).alias("run_start"))
 
 
+def with_starts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Rows with their run and place in it -> the same with `start`, the ids of all documents before; one number per run is joined."""
+    return rows.join(run_starts(tokens), "run").withColumn("start", F.col("run_start") + F.col("start_in_run"))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids, read from the files; columns that are not used are not read."""
     tokens = spark.read.schema(SCHEMA).parquet(path)
-    return tokens.join(run_starts(tokens), "run").select("doc_id", (F.col("run_start") + F.col("start_in_run")).alias("start"), "n_tokens", "ids")
+    return with_starts(tokens, tokens).select("doc_id", "start", "n_tokens", "ids")
 
 
 def crc32_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, n_tokens, ids) -> the same with ids_crc32 in place of the ids."""
+    """Stored rows -> the same with ids_crc32 in place of the ids."""
     for batch in batches:
-        lists = batch.column(3)
+        lists = batch.column(4)
         ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4", copy=False)
         crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], ["doc_id", "run", "start_in_run", "n_tokens", "ids_crc32"])
 
 
 def token_digests(docs: DataFrame, **options) -> DataFrame:
-    """Write token files to the shared folder, read them back, and digest each document's ids."""
-    path = shared_path(docs.sparkSession, "tokens")
+    """Write token files to the shared folder, read them back, and digest each document's ids where they are read: only the narrow
+    rows meet the starts of the runs."""
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, **options)
-    return read_tokens(docs.sparkSession, path).mapInArrow(crc32_of_ids, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tokens = spark.read.schema(SCHEMA).parquet(path)
+    narrow = tokens.mapInArrow(crc32_of_ids, "doc_id long, run int, start_in_run long, n_tokens long, ids_crc32 long")
+    return with_starts(narrow, tokens).select("doc_id", "start", "n_tokens", "ids_crc32")
