@@ -269,9 +269,9 @@ def page_facts(spark, sf):
 def _json_parts(spark, df, order, body, first, last):
     """One JSON document over all rows of a table, written by many tasks in the order of a key: texts between commas."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/weftline-json-{uuid.uuid4().hex}"
-    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    d = df.join(ends, F.col(order).between(F.col("_lo"), F.col("_hi")))
-    text = F.concat(F.when(F.col(order) == F.col("_lo"), first).otherwise(""), body, F.when(F.col(order) == F.col("_hi"), last).otherwise("\n"))
+    lo, hi = (df.agg(f(order).alias(order)).withColumn(mark, F.lit(True)) for f, mark in ((F.min, "_lo"), (F.max, "_hi")))
+    d = df.join(lo, order, "left").join(hi, order, "left")
+    text = F.concat(F.when(F.col("_lo"), first).otherwise(""), body, F.when(F.col("_hi"), last).otherwise("\n"))
     d.select(order, text.alias("value")).repartitionByRange(order).sortWithinPartitions(order).select("value").write.option("lineSep", ",").text(path)
     return path
 
